@@ -3,9 +3,10 @@
 Texts are equal when identical after lower-casing A-Z. A digest only says which texts may be equal; every merge compares
 the whole text:
 
-1. Digests are counted. Texts with a digest of their own can't have a copy and travel no further.
-2. The rest is dealt out by (digest, salt). Digests that hold over 1/HEAVY of all rows, of which there can be no more than
-   HEAVY, are salted by document, so that a group with a third of all rows spreads over all tasks.
+1. Digests are counted. A text with a digest of its own can't have a copy.
+2. Texts are dealt out by (digest, salt) to meet the digests that more than one text has; the same way at every size. Digests that hold over 1/HEAVY of all rows, of which there can be no more
+   than HEAVY, are salted by document, so that a group with a third of all rows spreads
+   over all tasks.
 3. Each task combines equal texts to one winner, first locally, then within its salt; winners of all salts are combined last.
 
 Defined cases: null text counts as empty, and empty texts are copies of each other. The largest doc_id stays, null ids lose
@@ -45,7 +46,7 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
     all_salts = F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     shared = counts.select("digest", F.explode(all_salts).alias("salt"))
     salted = (
-        dealt.join(shared, ["digest", "salt"], "left_semi")
+        dealt.join(shared.hint("shuffle_hash"), ["digest", "salt"], "left_semi")
         .groupBy("digest", "salt", "norm")
         .agg(F.max("doc_id").alias("winner"), F.count(F.lit(1)).alias("n"))
     )
