@@ -4,9 +4,9 @@ Texts are equal when identical after lower-casing A-Z. A digest only says which
 the whole text:
 
 1. Digests are counted. A text with a digest of its own can't have a copy.
-2. Texts are dealt out by (digest, salt) to meet the digests that more than one text has; the same way at every size. Digests that hold over 1/HEAVY of all rows, of which there can be no more
-   than HEAVY, are salted by document, so that a group with a third of all rows spreads
-   over all tasks.
+2. Texts are dealt out by (digest, salt) to meet the digests that several texts have, the same way at every size. Digests
+   that hold over 1/HEAVY of all rows, of which there can be no more than HEAVY, are salted by document, so that a group
+   with a third of all rows spreads over all tasks.
 3. Each task combines equal texts to one winner, first locally, then within its salt; winners of all salts are combined last.
 
 Defined cases: null text counts as empty, and empty texts are copies of each other. The largest doc_id stays, null ids lose

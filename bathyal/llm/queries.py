@@ -8,10 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .language import language_id
+from .language_model import lm_scores
 from .line_dedup import line_dedup
+from .minhash import near_groups
 from .mixing import mix_plan
+from .neighbours import nearest_neighbours
+from .packing import pack
+from .quality import quality_scores
 from .sharding import byte_shards
 
+#: A document counts as good from this score on.
+GOOD = 0.7
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,11 +35,36 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scores.withColumn("predicted", (F.col("score") >= GOOD).cast("int"))
+
+
+def op4_near_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(_table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
 def op7_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = byte_shards(_table(spark, sf_dir, "documents"), shards=40)
     return result.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
+def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix_plan(_table(spark, sf_dir, "documents"))
     each = plan.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("n_rows").cast("int"))))
@@ -39,7 +73,18 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_exact_dedup, op3_line_dedup, op7_byte_shards, op10_pareto_mix)
+    found = (
+        op1_exact_dedup,
+        op2_quality,
+        op3_line_dedup,
+        op4_near_groups,
+        op5_neighbours,
+        op6_language_id,
+        op7_byte_shards,
+        op8_lm_scores,
+        op9_pack,
+        op10_pareto_mix,
+    )
     return {f.__name__: f for f in found}
 
 
