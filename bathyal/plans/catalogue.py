@@ -1,13 +1,21 @@
-"""Named queries over the test tables and their SQL oracles."""
+"""All named queries over the test tables and their SQL oracles."""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+from pyspark.sql import DataFrame, SparkSession
 
+from bathyal.plans import linear, survey  # noqa: F401  they register their queries
+from bathyal.plans.registry import ORACLES, QUERIES, Query
 
-def queries():
-    return {}
 
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth estimates from competing hypotheses at every node of a grid."""
+    return survey.cube_density(spark, sf_dir)
 
-def oracle_sql():
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
