@@ -52,31 +52,30 @@ def signs(text: str) -> np.ndarray:
     return points[keep]
 
 
-def ngrams(s: np.ndarray) -> np.ndarray:
-    """Codes of the n-grams of one to three signs; those of a gap alone are left out."""
-    two = (s[:-1] << BITS) | s[1:]
-    three = (two[:-1] << BITS) | s[2:]
-    return np.concatenate([s[s > 0], two + (1 << 62) if len(two) else two, three])
+def _codes(one: np.ndarray, two: np.ndarray, three: np.ndarray) -> np.ndarray:
+    """One number per n-gram from the code points of its signs, a row each. A pair's has bit 62, which no triple sets."""
+    return np.concatenate([one, ((two[0] << BITS) | two[1]) + (1 << 62), (((three[0] << BITS) | three[1]) << BITS) | three[2]])
 
 
 def counted(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams and their counts. A pair's code has bit 62, which no triple of code points sets."""
+    """Distinct n-grams of one to three signs and their counts; those with two gaps in a row, as where texts meet, are left out."""
+    gap = s == 0
+    pair = ~(gap[:-1] & gap[1:])
+    triple = pair[:-1] & pair[1:]
     alphabet = np.flatnonzero(np.bincount(s))
     k = len(alphabet)
     if k**3 > DENSE * len(s) + 50_000:
-        return np.unique(ngrams(s), return_counts=True)
+        two, three = np.stack([s[:-1], s[1:]])[:, pair], np.stack([s[:-2], s[1:-1], s[2:]])[:, triple]
+        return np.unique(_codes(s[~gap], two, three), return_counts=True)
     place = np.zeros(alphabet[-1] + 1, np.int64)
     place[alphabet] = np.arange(k)
     c = place[s]
-    one, two = np.bincount(c, minlength=k), np.bincount(c[:-1] * k + c[1:], minlength=k * k)
-    three = np.bincount((c[:-2] * k + c[1:-1]) * k + c[2:], minlength=k**3) if len(c) > 2 else np.zeros(0, np.int64)
-    i, j, l = np.flatnonzero(one * (alphabet > 0)), np.flatnonzero(two), np.flatnonzero(three)
-    codes = [
-        alphabet[i],
-        ((alphabet[j // k] << BITS) | alphabet[j % k]) + (1 << 62),
-        (((alphabet[l // (k * k)] << BITS) | alphabet[l // k % k]) << BITS) | alphabet[l % k],
-    ]
-    return np.concatenate(codes), np.concatenate([one[i], two[j], three[l]])
+    one = np.bincount(c[~gap], minlength=k)
+    two = np.bincount((c[:-1] * k + c[1:])[pair], minlength=k * k)
+    three = np.bincount(((c[:-2] * k + c[1:-1]) * k + c[2:])[triple], minlength=k**3)
+    i, j, m = np.flatnonzero(one), np.flatnonzero(two), np.flatnonzero(three)
+    pairs, triples = alphabet[np.stack([j // k, j % k])], alphabet[np.stack([m // (k * k), m // k % k, m % k])]
+    return _codes(alphabet[i], pairs, triples), np.concatenate([one[i], two[j], three[m]])
 
 
 def top(codes: np.ndarray, counts: np.ndarray, most: int = PROFILE) -> np.ndarray:

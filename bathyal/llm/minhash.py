@@ -3,12 +3,13 @@
 1. A text becomes its set of distinct word shingles. SAMPLES minima of hashed shingles form BANDS bands of ROWS minima; texts
    that agree in a band are candidates. At a similarity of 0.8 a pair fails to meet in any band once in a million.
 2. The minima are also folded into an odd sketch: minimum i toggles one bit of a bitmap, so minima that two texts share
-   cancel out and the population count of the XOR tells how many they don't share. Candidates whose sketches put them more
-   than MARGIN standard deviations below the threshold are dropped; sketches are precise where similarities are high.
+   cancel out and the population count of the XOR tells how many they don't share. A second odd sketch takes all shingles;
+   with the sets' sizes it is sharper for texts of up to some thousand words. Candidates that either sketch puts more than
+   MARGIN standard deviations below the threshold are dropped; sketches are precise where similarities are high.
 3. What remains is confirmed on the full sets of both texts.
 
 Groups need no pairs of all members. Texts with one set are one class, and only its first document goes on. In each band
-bucket a few leaders, found by partial aggregates, meet all members: a number of pairs that is linear in the rows. Connected
+bucket two leaders, the smallest id and the one in the fullest buckets, meet all members: a number of pairs that is linear in the rows. Connected
 components of the confirmed links follow. Only buckets whose members are still in different components hold links that
 could matter; their members outside the bucket's largest component then meet all others, in blocks of BLOCK members, each
 block pair in a task of its own that compares sketches alone and returns the pairs in doubt, which are confirmed like the rest.
@@ -34,8 +35,8 @@ from .common import UPPER, LOWER, stash
 
 ROWS, BANDS = 5, 34
 SAMPLES = ROWS * BANDS
-SKETCH_BITS, MARGIN = 1024, 4.0
-LEADERS, BLOCK = 3, 512
+SKETCH_BITS, SET_BITS, MARGIN = 1024, 2048, 4.0
+BLOCK = 512
 
 _rng = np.random.default_rng(4)
 _TIMES = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -63,7 +64,7 @@ def shingle_hashes(part, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, set_hash (16 bytes), bands, sketch, for each row of docs."""
+    """doc_id, n_shingles, set_hash (16 bytes), bands, sketch (of the minima, then of the set), for each row of docs."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,6 +78,9 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 at = np.cumsum(n[full]) - n[full]
                 bands = np.zeros((len(n), BANDS), np.uint64)
                 sketch = np.zeros((len(n), SKETCH_BITS), np.uint8)
+                owner = np.repeat(np.arange(len(n)), n)
+                bit = (flat >> np.uint64(20)).astype(np.int64) % SET_BITS
+                whole = (np.bincount(owner * SET_BITS + bit, minlength=len(n) * SET_BITS) & 1).astype(np.uint8).reshape(-1, SET_BITS)
                 set_hash = np.zeros((len(n), 2), np.uint64)
                 if len(full):
                     set_hash[full, 0] = np.add.reduceat(flat, at)
@@ -94,7 +98,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                         pa.array(n, pa.int64()),
                         pa.array([x.tobytes() for x in set_hash], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat_bands) + 1, BANDS), pa.int32()), flat_bands),
-                        pa.array([x.tobytes() for x in np.packbits(sketch, axis=1)], pa.binary()),
+                        pa.array([x.tobytes() for x in np.packbits(np.hstack([sketch, whole]), axis=1)], pa.binary()),
                     ],
                     names=["doc_id", "n_shingles", "set_hash", "bands", "sketch"],
                 )
@@ -116,20 +120,37 @@ def sketch_limit(percent: int) -> int:
     return int(left + MARGIN * np.sqrt(left / 2))
 
 
+WORDS = (SKETCH_BITS + SET_BITS) // 64
+
+
 def _bits(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint64).reshape(-1, SKETCH_BITS // 64) if len(column) else np.zeros((0, SKETCH_BITS // 64), np.uint64)
+    return np.frombuffer(b"".join(column), np.uint64).reshape(-1, WORDS) if len(column) else np.zeros((0, WORDS), np.uint64)
+
+
+def sketches_near(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of sketches leave the similarity possible; nx, ny: sizes of the sets.
+
+    Sets of sizes a and b with similarity s differ in (a + b) * (1 - s) / (1 + s) shingles at most.
+    """
+    ok = 100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)
+    odd = np.bitwise_count(x ^ y)
+    cut = SKETCH_BITS // 64
+    ok &= odd[:, :cut].sum(axis=1) <= sketch_limit(percent)
+    differ = (nx + ny) * (100 - percent) / (100 + percent)
+    left = SET_BITS / 2 * (1 - np.exp(-2 * differ / SET_BITS))
+    return ok & (odd[:, cut:].sum(axis=1) <= left + MARGIN * np.sqrt(left / 2 + 1))
 
 
-def near_by_sketch(pairs: DataFrame, sketches: DataFrame, limit: int) -> DataFrame:
-    """Of the pairs (a, b), those whose sketches differ in at most `limit` bits."""
+def near_by_sketch(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b), those whose sketches are near."""
 
     @F.pandas_udf("boolean")
-    def near(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series(np.bitwise_count(_bits(x) ^ _bits(y)).sum(axis=1) <= limit)
+    def near(x: pd.Series, y: pd.Series, nx: pd.Series, ny: pd.Series) -> pd.Series:
+        return pd.Series(sketches_near(_bits(x), _bits(y), nx.to_numpy(), ny.to_numpy(), percent))
 
-    left = sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sketch_a"))
-    right = sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sketch_b"))
-    return pairs.join(left, "a").join(right, "b").where(near("sketch_a", "sketch_b")).select("a", "b")
+    left = sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sketch_a"), F.col("n_shingles").alias("n_a"))
+    right = sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sketch_b"), F.col("n_shingles").alias("n_b"))
+    return pairs.join(left, "a").join(right, "b").where(near("sketch_a", "sketch_b", "n_a", "n_b")).select("a", "b")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -180,15 +201,17 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def leader_pairs(buckets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each bucket's leaders with its members."""
-    draws = [F.struct(F.xxhash64("doc_id", F.lit(i)).alias("h"), "doc_id") for i in range(LEADERS - 1)]
-    heads = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.array(F.min("doc_id"), *[F.min(d)["doc_id"] for d in draws]).alias("leaders"))
-    heads = heads.where("n > 1").select("bucket", "leaders")
-    met = buckets.join(heads, "bucket").select(F.explode(F.array_distinct("leaders")).alias("leader"), "doc_id").where("leader <> doc_id")
+    """Pairs (a, b) of each bucket's leaders with its members: the smallest id, and the document whose buckets are fullest,
+    which in a group of copies with different changes is nearest to what they were made from."""
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
+    central = buckets.join(sizes.select("bucket", "n"), "bucket").groupBy("doc_id").agg(F.sum("n").alias("score"))
+    best = F.max_by("doc_id", F.struct("score", -F.col("doc_id")))
+    heads = buckets.join(central, "doc_id").groupBy("bucket").agg(best.alias("central")).join(sizes.select("bucket", "first"), "bucket")
+    met = buckets.join(heads, "bucket").select(F.explode(F.array_distinct(F.array("first", "central"))).alias("leader"), "doc_id").where("leader <> doc_id")
     return met.select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct()
 
 
-def remaining_pairs(buckets: DataFrame, found: DataFrame, sketches: DataFrame, limit: int) -> DataFrame | None:
+def remaining_pairs(buckets: DataFrame, found: DataFrame, sketches: DataFrame, percent: int) -> DataFrame | None:
     """Pairs (a, b) in one bucket but not in one component whose sketches are near, found block by block; None if no bucket is left."""
     members = buckets.join(found, "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     sizes = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -215,13 +238,14 @@ def remaining_pairs(buckets: DataFrame, found: DataFrame, sketches: DataFrame, l
     def compared(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         _, low, high = key
         bits, own, component, ids = _bits(rows["sketch"]), rows["own"].to_numpy(), rows["component"].to_numpy(), rows["doc_id"].to_numpy()
+        n = rows["n_shingles"].to_numpy()
         left = np.flatnonzero(own == high)
         right = np.flatnonzero(own == low)
         out_a, out_b = [], []
         for i in left:
             others = right[right > i] if low == high else right
             others = others[component[others] != component[i]]
-            near = others[np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1) <= limit]
+            near = others[sketches_near(bits[others], bits[i], n[others], n[i], percent)]
             out_a.append(np.full(len(near), ids[i]))
             out_b.append(ids[near])
         a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
@@ -241,20 +265,19 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     same = classes.where("doc_id <> first_id").select(F.col("first_id").alias("a"), F.col("doc_id").alias("b"))
     reps = full.join(first.select(F.col("first_id").alias("doc_id"), F.col("set_hash").alias("its_hash")), "doc_id")
     reps = reps.where(F.col("set_hash") == F.col("its_hash")).dropDuplicates(["doc_id"])
-    reps = stash(reps.select("doc_id", "bands", "sketch"), "representatives")
-    sketches = reps.select("doc_id", "sketch")
+    reps = stash(reps.select("doc_id", "n_shingles", "bands", "sketch"), "representatives")
+    sketches = reps.select("doc_id", "n_shingles", "sketch")
     buckets = reps.select("doc_id", F.posexplode("bands").alias("band", "hash")).select("doc_id", F.xxhash64("band", "hash").alias("bucket"))
     crowded = buckets.groupBy("bucket").count().where("count > 1").select("bucket")
     buckets = stash(buckets.join(crowded, "bucket", "left_semi"), "buckets")
-    limit = sketch_limit(percent)
 
     def check(pairs: DataFrame) -> DataFrame:
-        pairs = stash(near_by_sketch(pairs, sketches, limit), "pairs")
+        pairs = stash(near_by_sketch(pairs, sketches, percent), "pairs")
         return stash(confirmed(pairs, texts, size, percent), "links")
 
     links = check(leader_pairs(buckets))
     found = components(links)
-    rest = remaining_pairs(buckets, found, sketches, limit)
+    rest = remaining_pairs(buckets, found, sketches, percent)
     if rest is not None:
         links = links.union(check(rest))
     found = components(links.union(same))
