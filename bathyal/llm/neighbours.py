@@ -2,8 +2,8 @@
 
 Vectors are scaled to the largest norm and given one coordinate more that makes all norms equal; queries are scaled to norm
 one. Distances then fall as inner products rise. Each of PROJECTIONS random directions keeps a block's vectors in a sorted
-array. A query opens a window around its own projection in every array; virtual rehashing widens the windows by a factor
-GROWTH at a time. Vectors that lie in at least THRESHOLD of the windows are verified:
+array. A query opens a window around its own projection in every array; virtual rehashing widens the windows by a
+factor GROWTH at a time, or by less if the k-th best tells how wide they must be. Vectors that lie in at least THRESHOLD of the windows are verified:
 their inner products are computed exactly. A query is done when any vector nearer than its k-th best would have passed the
 threshold by CONFIDENCE standard deviations, or when every vector has been verified.
 
@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import stash
 
-PROJECTIONS, THRESHOLD, GROWTH, CONFIDENCE = 64, 0.6, 1.4, 0.6
+PROJECTIONS, THRESHOLD, GROWTH, CONFIDENCE = 64, 0.6, 2.0, 1.0
 BLOCK, CHUNK = 1 << 13, 1 << 9
-FIRST_WIDTH = 0.27
+FIRST_WIDTH = 0.25
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -90,7 +90,7 @@ class Block:
         while True:
             ranges = np.array([np.searchsorted(line, (c - width, c + width)) for line, c in zip(self.sorted, centre, strict=True)])
             low, length = (part.astype(self.place.dtype) for part in (ranges[:, :1], ranges[:, 1:] - ranges[:, :1]))
-            counts = ((self.place - low) < length).sum(axis=0, dtype=np.uint8)  # a place below `low` wraps round
+            counts = ((self.place - low) < length).view(np.uint8).sum(axis=0, dtype=np.uint8)  # a place below `low` wraps round
             new = np.flatnonzero((counts >= need) & ~known)
             if len(new):
                 known[new] = True
@@ -109,7 +109,9 @@ class Block:
                 distance = math.sqrt(max(0.0, 2 - 2 * best[k - 1] / (norm * self.largest)))
                 if REACH * distance <= width:
                     return best_ids, best
-            width *= GROWTH
+                width = min(width * GROWTH, REACH * distance)
+            else:
+                width *= GROWTH
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
         found = [self.nearest(i, q, k) for i, q in zip(query_ids.tolist(), queries, strict=True)]
