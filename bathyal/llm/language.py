@@ -30,7 +30,7 @@ from .common import remainder
 
 PROFILE, MODULUS, HELD_OUT, UNKNOWN = 300, 3, 1, "und"
 #: A dense table counts n-grams if it has at most DENSE cells for each sign; else they are sorted.
-DENSE, SLICE_CHARS = 16, 1 << 21
+DENSE, SLICE_CHARS = 16, 1 << 19
 BITS = 21
 _letters: list[np.ndarray] = []
 

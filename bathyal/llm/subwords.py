@@ -15,8 +15,7 @@ import pyarrow as pa
 from .bytestext import slices, span_hashes
 
 #: Entries of the cache, a power of two, and ids that it may hold before it is emptied.
-CACHE_SLOTS, CACHE_IDS = 1 << 21, 12 << 20
-SLICE = 8 << 20
+CACHE_SLOTS, CACHE_IDS = 1 << 20, 8 << 20
 
 _VISIBLE = np.zeros(256, bool)
 _VISIBLE[0x21:0x7F] = True
@@ -74,7 +73,7 @@ class Subwords:
 
     def encode(self, texts: pa.Array):
         """Yields, for some rows at a time, the first row, the end row, all their ids, and the bounds of each row's ids."""
-        for part in slices(texts, SLICE):
+        for part in slices(texts):
             data = part.data
             cut = np.zeros(len(data) + 1, bool)
             cut[part.starts] = True
