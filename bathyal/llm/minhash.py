@@ -9,10 +9,12 @@
 3. What remains is confirmed on the full sets of both texts.
 
 Groups need no pairs of all members. Texts with one set are one class, and only its first document goes on. In each band
-bucket two leaders, the smallest id and the one in the fullest buckets, meet all members: a number of pairs that is linear in the rows. Connected
-components of the confirmed links follow. Only buckets whose members are still in different components hold links that
-could matter; their members outside the bucket's largest component then meet all others, in blocks of BLOCK members, each
-block pair in a task of its own that compares sketches alone and returns the pairs in doubt, which are confirmed like the rest.
+bucket two leaders, the smallest id and the one in the fullest buckets, meet all members: a number of pairs that is linear in
+the rows. Connected components of the confirmed links follow. Only buckets whose members are still in different components
+hold links that could matter; their members outside the bucket's largest component then meet all others, in blocks of BLOCK
+members, each block pair in a task of its own. There a pair is looked at in the first band that it shares, if it isn't
+connected yet, its sketches are near and then its full sets (64-bit hashes of all shingles) are similar enough; a task
+returns the links that connect its members, fewer than it has members.
 
 Defined cases: a text with fewer words than a shingle is one shingle; without words its set is empty and it links with
 nothing. Rows that repeat a doc_id share its component; a null id is a component of its own. An empty table gives an empty
@@ -211,16 +213,31 @@ def leader_pairs(buckets: DataFrame) -> DataFrame:
     return met.select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct()
 
 
-def remaining_pairs(buckets: DataFrame, found: DataFrame, sketches: DataFrame, percent: int) -> DataFrame | None:
-    """Pairs (a, b) in one bucket but not in one component whose sketches are near, found block by block; None if no bucket is left."""
-    members = buckets.join(found, "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
+    """doc_id and shingles: the sorted 64-bit hashes of each text's set."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id")
+            for part in slices(batch.column("text")):
+                hashes, bounds = shingle_hashes(part, size)
+                found = [np.unique(hashes[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([ids.slice(part.first, len(found)), pa.array(found, pa.binary())], names=["doc_id", "shingles"])
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.select("doc_id", "text").mapInArrow(sets, f"doc_id {kind}, shingles binary")
+
+
+def remaining_links(buckets: DataFrame, found: DataFrame, reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """Links (a, b) that connect members of one bucket in different components, block by block; None if no bucket is left."""
+    members = buckets.join(found, "doc_id", "left").select("bucket", "band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     sizes = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     split = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"))
     split = split.where("parts > 1").select(
         "bucket",
         F.col("most.component").alias("main"),
         F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int").alias("blocks"),
-        F.ceil(F.col("most.n") / (4 * BLOCK)).cast("int").alias("outer_blocks"),
+        F.ceil(F.col("most.n") / BLOCK).cast("int").alias("outer_blocks"),
     )
     split = stash(split, "split")
     if split.isEmpty():
@@ -231,28 +248,33 @@ def remaining_pairs(buckets: DataFrame, found: DataFrame, sketches: DataFrame, p
     # blocks of the main component have numbers below 0 and meet all other blocks, but not each other
     met = F.sequence(F.when(outer, F.lit(0)).otherwise(-F.col("outer_blocks")), F.col("blocks") - 1)
     member = member.withColumn("own", F.when(outer, -1 - block("outer_blocks")).otherwise(block("blocks")))
-    dealt = member.select("bucket", "doc_id", "component", "own", F.explode(met).alias("other"))
-    dealt = dealt.select("bucket", "doc_id", "component", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    dealt = dealt.join(sketches, "doc_id")
+    dealt = member.select("bucket", "band", "doc_id", "component", "own", F.explode(met).alias("other"))
+    dealt = dealt.select("bucket", "band", "doc_id", "component", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    dealt = stash(dealt, "dealt")
+    wanted = texts.join(dealt.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
+    sets = shingle_sets(wanted, size).dropDuplicates(["doc_id"])
+    rows = dealt.join(reps.join(sets, "doc_id"), "doc_id")
 
     def compared(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         _, low, high = key
-        bits, own, component, ids = _bits(rows["sketch"]), rows["own"].to_numpy(), rows["component"].to_numpy(), rows["doc_id"].to_numpy()
-        n = rows["n_shingles"].to_numpy()
-        left = np.flatnonzero(own == high)
-        right = np.flatnonzero(own == low)
-        out_a, out_b = [], []
+        bits, n, own, ids = _bits(rows["sketch"]), rows["n_shingles"].to_numpy(), rows["own"].to_numpy(), rows["doc_id"].to_numpy()
+        bands, band = np.vstack(rows["bands"].to_numpy()), rows["band"].iloc[0]
+        sets = [np.frombuffer(b, np.uint64) for b in rows["shingles"]]
+        group = np.unique(rows["component"].to_numpy(), return_inverse=True)[1]
+        left, right, links = np.flatnonzero(own == high), np.flatnonzero(own == low), []
         for i in left:
             others = right[right > i] if low == high else right
-            others = others[component[others] != component[i]]
-            near = others[sketches_near(bits[others], bits[i], n[others], n[i], percent)]
-            out_a.append(np.full(len(near), ids[i]))
-            out_b.append(ids[near])
-        a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
-        b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            others = others[group[others] != group[i]]
+            others = others[(bands[others] == bands[i]).argmax(axis=1) == band]
+            for j in others[sketches_near(bits[others], bits[i], n[others], n[i], percent)]:
+                if group[j] != group[i]:
+                    shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if shared and 100 * shared >= percent * (len(sets[i]) + len(sets[j]) - shared):
+                        links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                        group[group == group[j]] = group[i]
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    return dealt.groupBy("bucket", "low", "high").applyInPandas(compared, "a long, b long").distinct()
+    return rows.groupBy("bucket", "low", "high").applyInPandas(compared, "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -266,20 +288,14 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     reps = full.join(first.select(F.col("first_id").alias("doc_id"), F.col("set_hash").alias("its_hash")), "doc_id")
     reps = reps.where(F.col("set_hash") == F.col("its_hash")).dropDuplicates(["doc_id"])
     reps = stash(reps.select("doc_id", "n_shingles", "bands", "sketch"), "representatives")
-    sketches = reps.select("doc_id", "n_shingles", "sketch")
-    buckets = reps.select("doc_id", F.posexplode("bands").alias("band", "hash")).select("doc_id", F.xxhash64("band", "hash").alias("bucket"))
+    buckets = reps.select("doc_id", F.posexplode("bands").alias("band", "hash")).select("doc_id", "band", F.xxhash64("band", "hash").alias("bucket"))
     crowded = buckets.groupBy("bucket").count().where("count > 1").select("bucket")
     buckets = stash(buckets.join(crowded, "bucket", "left_semi"), "buckets")
-
-    def check(pairs: DataFrame) -> DataFrame:
-        pairs = stash(near_by_sketch(pairs, sketches, percent), "pairs")
-        return stash(confirmed(pairs, texts, size, percent), "links")
-
-    links = check(leader_pairs(buckets))
-    found = components(links)
-    rest = remaining_pairs(buckets, found, sketches, percent)
+    pairs = stash(near_by_sketch(leader_pairs(buckets), reps, percent), "pairs")
+    links = stash(confirmed(pairs, texts, size, percent), "links")
+    rest = remaining_links(buckets, components(links), reps, texts, size, percent)
     if rest is not None:
-        links = links.union(check(rest))
+        links = links.union(stash(rest, "rest"))
     found = components(links.union(same))
     component = F.coalesce("component", "doc_id")
     return signed.join(found, "doc_id", "left").select(
