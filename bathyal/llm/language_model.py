@@ -11,9 +11,8 @@ counted over all training texts. Classes follow from counts too: frequent words
 every other id that begins a word belongs to the group that it follows most often.
 
 On top of the transitions, one causal self-attention layer over WINDOW classes is trained in numpy by local gradient descent:
-in each of ROUNDS rounds every partition takes steps on its own training texts' windows, each window with chance SAMPLED, so
-the work grows with the input; the partitions' parameters, a few thousand numbers each, are averaged in Spark, weighted by
-windows. Texts are scored in windows that overlap by OVERLAP positions; every id counts once, in the first window that
+in each of ROUNDS rounds every partition takes steps on all windows of its own training texts; the partitions' parameters, a
+few thousand numbers each, are averaged in Spark, weighted by windows. Texts are scored in windows that overlap by OVERLAP positions; every id counts once, in the first window that
 reaches it. A text ends with an end sign, so its probability is one over all texts.
 
 Texts are encoded once; ids are kept in the shared folder, from where counting, training and scoring read them.
@@ -46,7 +45,9 @@ INNER = 1 + OWN + GROUPS * TIERS
 CLASSES, WINDOW, OVERLAP, KEYS, VALUES = INNER + 1, 32, 6, 8, 16
 BEGINS = 1 + OWN + np.arange(GROUPS) * TIERS + TIERS - 1
 PAIRS, LEAN = 1 << 19, 20.0
-ROUNDS, SAMPLED, BATCH, RATE = 2, 1 / 40, 128, 0.01
+ROUNDS, BATCH, RATE = 2, 128, 0.01
+#: Windows that are worked on at a time; their arrays stay in a core's cache.
+AT_ONCE = 32
 MERGE_AT = 4 << 20
 #: Subword ids of the public vocabulary; they come after the HEAD words, the end sign after them.
 SPELT = 50256
@@ -216,31 +217,35 @@ class Attention:
         return target - whole, np.log(z[:, :, BEGINS].sum(axis=2)) - whole
 
     def gradients(self, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean over all real targets, AT_ONCE windows at a time."""
+        share = (real / max(real.sum(), 1)).astype(self.p["r"].dtype)
+        parts = [self._gradients(x[i : i + AT_ONCE], y[i : i + AT_ONCE], share[i : i + AT_ONCE]) for i in range(0, len(x), AT_ONCE)]
+        return {k: sum(part[k] for part in parts) for k in parts[0]}
+
+    def _gradients(self, x: np.ndarray, y: np.ndarray, share: np.ndarray) -> dict[str, np.ndarray]:
         q, k, v, a, h, z = self.forward(x)
         p, n = self.p, x.shape[1]
+        at, each, share = x.ravel(), np.arange(x.size), share.ravel()
         z -= z.max(axis=2, keepdims=True)
-        d = np.exp(z)
-        d /= d.sum(axis=2, keepdims=True)
-        np.put_along_axis(d, y[:, :, None].astype(np.int64), np.take_along_axis(d, y[:, :, None].astype(np.int64), 2) - 1, 2)
-        d *= (real / max(real.sum(), 1)).astype(np.float32)[:, :, None]
-        flat = d.reshape(-1, CLASSES)
-        dh = (flat @ p["o"].T).reshape(h.shape)
-        da = dh @ v.transpose(0, 2, 1)
-        ds = a * (da - (a * da).sum(axis=2, keepdims=True))
+        d = np.exp(z, out=z).reshape(-1, CLASSES)
+        d *= (share / d.sum(axis=1))[:, None]
+        d[each, y.ravel()] -= share
+        dh = (d @ p["o"].T).reshape(h.shape)
+        ds = dh @ v.transpose(0, 2, 1)
+        ds -= np.einsum("bij,bij->bi", a, ds)[:, :, None]
+        ds *= a
         lag = (np.arange(n)[:, None] - np.arange(n)).ravel()
         scale = np.float32(KEYS**-0.5)
-        at = x.ravel()
-
-        def added(rows: np.ndarray) -> np.ndarray:
-            rows = rows.reshape(len(at), -1)
-            return np.column_stack([np.bincount(at, rows[:, i], CLASSES) for i in range(rows.shape[1])])
-
+        rows = [d, a.transpose(0, 2, 1) @ dh, ds @ k * scale, ds.transpose(0, 2, 1) @ q * scale]
+        member = np.zeros((x.size, CLASSES), d.dtype)
+        member[each, at] = 1
+        r, dv, dq, dk = np.split(member.T @ np.concatenate([g.reshape(x.size, -1) for g in rows], axis=1), np.cumsum([CLASSES, VALUES, KEYS]), axis=1)
         return {
-            "o": h.reshape(-1, VALUES).T @ flat,
-            "r": added(flat),
-            "v": added(a.transpose(0, 2, 1) @ dh),
-            "q": added(ds @ k * scale),
-            "k": added(ds.transpose(0, 2, 1) @ q * scale),
+            "o": h.reshape(-1, VALUES).T @ d,
+            "r": r,
+            "v": dv,
+            "q": dq,
+            "k": dk,
             "b": np.bincount(lag[lag >= 0], ds.sum(axis=0).ravel()[lag >= 0], WINDOW),
         }
 
@@ -367,7 +372,7 @@ def transition_counts(tokens: DataFrame, classes: np.ndarray) -> np.ndarray:
 
 
 def trained(model: Attention, tokens: DataFrame, classes: np.ndarray) -> Attention:
-    """Rounds of local gradient descent whose results are averaged."""
+    """Rounds of local gradient descent on all windows, whose results are averaged."""
     for turn in range(ROUNDS):
         held = model.flat()
 
@@ -378,12 +383,11 @@ def trained(model: Attention, tokens: DataFrame, classes: np.ndarray) -> Attenti
             for batch in _pieces(batches):
                 ids, bounds = _with_end(batch)
                 text, start = window_starts(np.diff(bounds))
-                chosen = np.flatnonzero(rng.random(len(text)) < SAMPLED)
-                rng.shuffle(chosen)
-                x, y, real, _, _ = window_classes(classes[ids], bounds, text[chosen], start[chosen])
-                for i in range(0, len(chosen), BATCH):
+                order = rng.permutation(len(text))
+                x, y, real, _, _ = window_classes(classes[ids], bounds, text[order], start[order])
+                for i in range(0, len(order), BATCH):
                     adam.step(mine.gradients(x[i : i + BATCH], y[i : i + BATCH], real[i : i + BATCH]))
-                seen += len(chosen)
+                seen += len(order)
             if seen:
                 flat = mine.flat() * seen
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat), pa.array(np.full(len(flat), float(seen)))], names=["at", "value", "weight"])
@@ -431,8 +435,8 @@ def model_scores(tokens: DataFrame, model: Attention, classes: np.ndarray, count
             c = classes[ids]
             text, start = window_starts(np.diff(bounds))
             each, begun = np.zeros(len(ids)), np.zeros(len(ids))
-            for i in range(0, len(text), 2 * BATCH):
-                x, y, _, once, at = window_classes(c, bounds, text[i : i + 2 * BATCH], start[i : i + 2 * BATCH])
+            for i in range(0, len(text), AT_ONCE):
+                x, y, _, once, at = window_classes(c, bounds, text[i : i + AT_ONCE], start[i : i + AT_ONCE])
                 lp, lb = model.log_probabilities(x, y)
                 each[at[once]], begun[at[once]] = lp[once], lb[once]
             each += logs[ids]

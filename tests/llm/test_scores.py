@@ -135,6 +135,16 @@ def test_attention_is_causal_and_windows_count_once():
     assert (np.bincount(at[once], minlength=bounds[-1]) == 1).all()
 
 
+def test_every_window_trains(spark):
+    c, n = language_model.CLASSES, 40
+    texts = [(np.full(5, i, np.uint32).tobytes(),) for i in range(1, n)]  # no two texts share a class
+    tokens = spark.createDataFrame(texts, "ids binary").coalesce(1)
+    classes = np.zeros(language_model.IDS, np.uint8)
+    classes[:n] = np.arange(n)
+    model = language_model.trained(language_model.Attention(np.zeros((c, c))), tokens, classes)
+    assert (np.abs(model.p["r"][:n]).max(axis=1) > 0).all() and not model.p["r"][n:].any()
+
+
 @pytest.fixture(scope="module")
 def lm_rows(docs):
     return language_model.lm_scores(docs).collect()
