@@ -5,8 +5,8 @@ table of fixed size; a text's other words meet their counts in one join.
 
 Model: a text is its words as subword ids of a public vocabulary, each word's first one with a space in front; the HEAD most
 frequent words, if found OFTEN times, have ids of their own. The probability of an id is that of its class, given the ids
-before it, times its share of the class. Within a word an id's share depends on the id before it, by the PAIRS most frequent
-pairs. A spelt word that training texts hold can also be drawn as a whole, by its count. Shares and class transitions are
+before it, times its share of the class. Within a word an id's share depends on the id before it, by the counts of all such
+pairs: the PAIRS most frequent ones go to all tasks, the others meet the words spelt with them in a join. A spelt word that training texts hold can also be drawn as a whole, by its count. Shares and class transitions are
 counted over all training texts. Classes follow from counts too: frequent words that keep the same company form GROUPS, and
 every other id that begins a word belongs to the group that it follows most often.
 
@@ -402,8 +402,8 @@ def trained(model: Attention, tokens: DataFrame, classes: np.ndarray) -> Attenti
     return model
 
 
-def frequent_pairs(tokens: DataFrame, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The PAIRS most frequent pairs of an id within a word and the id before it, in order, with their counts."""
+def pair_counts_of(tokens: DataFrame, classes: np.ndarray) -> DataFrame:
+    """pair and n: how often each pair of an id within a word and the id before it is there."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches):
@@ -411,22 +411,55 @@ def frequent_pairs(tokens: DataFrame, classes: np.ndarray) -> tuple[np.ndarray,
             yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(n, pa.int64())], names=["pair", "n"])
 
     sums = tokens.select("ids").mapInArrow(partial, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    top = sums.where("n > 1").orderBy(F.col("n").desc(), "pair").limit(PAIRS).toPandas().sort_values("pair")
+    return stash(sums, "pairs")
+
+
+def frequent_pairs(sums: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The PAIRS most frequent pairs, in order, with their counts."""
+    top = sums.orderBy(F.col("n").desc(), "pair").limit(PAIRS).toPandas().sort_values("pair")
     return top["pair"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
 
 
+def rare_pair_gains(tokens: DataFrame, sums: DataFrame, pairs: np.ndarray, classes: np.ndarray, share: np.ndarray) -> DataFrame:
+    """word and gain: what pairs outside `pairs` add to the log10 probability of each word that is spelt with some."""
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches):
+            ids, bounds = _with_end(batch)
+            inner, pair = _pairs(ids, classes)
+            rare = pairs[np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)] != pair
+            inner, pair = inner[rare], pair[rare]
+            opens = np.flatnonzero((ids >= HEAD) & (ids < END) & (classes[ids] != INNER))
+            word = np.frombuffer(b"".join(batch.column("others").to_pylist()), np.int64)
+            at = np.searchsorted(opens, inner, side="right") - 1
+            # a word's first occurrence in the piece stands for all
+            _, first, same = np.unique(word, return_index=True, return_inverse=True)
+            keep = first[same[at]] == at
+            rows = np.column_stack([word[at[keep]], pair[keep], ids[inner[keep]].astype(np.int64)])
+            rows, times = np.unique(rows, axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(LEAN * share[rows[:, 2]], pa.float64()), pa.array(times, pa.int64())], names=["word", "pair", "lean", "times"]
+            )
+
+    spelt = tokens.select("ids", "others").mapInArrow(met, "word long, pair long, lean double, times long").groupBy("word", "pair").agg(F.max("lean").alias("lean"), F.max("times").alias("times"))
+    gain = F.sum(F.col("times") * F.log10((F.col("n") + F.col("lean")) / F.col("lean")))
+    return spelt.join(sums.hint("merge"), "pair").groupBy("word").agg(gain.alias("gain"))
+
+
 def _pairs(ids: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero(classes[ids] == INNER)
     return at, ids[at - 1].astype(np.int64) * IDS + ids[at]
 
 
-def model_scores(tokens: DataFrame, model: Attention, classes: np.ndarray, counts: np.ndarray) -> DataFrame:
+def model_scores(tokens: DataFrame, model: Attention, classes: np.ndarray, counts: np.ndarray) -> tuple[DataFrame, DataFrame | None]:
     """For each text rid and score, the log10 probability of its end and frequent words; and for each of its other words rid,
-    word, spelt and begun: the log10 probabilities that it is spelt so, and that any spelt word begins there."""
+    word, spelt and begun: the log10 probabilities that it is spelt so, and that any spelt word begins there. Beside these, if there
+are more than PAIRS pairs, what the others add to a word's spelt."""
     used = counts + 0.5
     share = used / np.bincount(classes, used, CLASSES)[classes]
     logs = np.log(share)
-    pairs, pair_counts = frequent_pairs(tokens.where("learn"), classes)
+    sums = pair_counts_of(tokens.where("learn"), classes)
+    pairs, pair_counts = frequent_pairs(sums)
     before = counts.astype(float)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -460,7 +493,8 @@ def model_scores(tokens: DataFrame, model: Attention, classes: np.ndarray, count
             )
 
     names = ("rid", "score", "word", "spelt", "begun")
-    return tokens.select("rid", "ids", "others").mapInArrow(scored, "rid long, score double, word long, spelt double, begun double")
+    found = tokens.select("rid", "ids", "others").mapInArrow(scored, "rid long, score double, word long, spelt double, begun double")
+    return found, rare_pair_gains(tokens, sums, pairs, classes, share) if sums.count() > len(pairs) else None
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
@@ -480,15 +514,17 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     classes, used = learn_classes(training, top["c"].to_numpy(np.int64))
     steps = transition_counts(training, classes) + 0.1
     model = trained(Attention(np.log(steps / steps.sum(axis=1, keepdims=True))), training, classes)
-    found = stash(model_scores(rows, model, classes, used), "found")
+    found, gains = model_scores(rows, model, classes, used)
+    found = stash(found, "found")
+    per_word = counts.withColumn("gain", F.lit(0.0)) if gains is None else counts.join(gains, "word", "full")
     scores = found.where("word is null").groupBy("rid").agg(F.sum("score").alias("score"))
 
     c = F.coalesce("c", F.lit(0))
     drawn = 1 - (once + 0.5) / (rare + 1.0)  # the chance that a spelt word is one of the training texts'
-    spelt = F.pow(10.0, F.col("spelt")) * (1 - drawn) + F.pow(10.0, F.col("begun")) * (drawn / max(rare, 1)) * c
+    spelt = F.pow(10.0, F.col("spelt") + F.coalesce("gain", F.lit(0.0))) * (1 - drawn) + F.pow(10.0, F.col("begun")) * (drawn / max(rare, 1)) * c
     others = (
         found.where("word is not null")
-        .join(counts.hint("merge"), "word", "left")
+        .join(per_word.hint("merge"), "word", "left")
         .groupBy("rid")
         .agg(F.sum(F.log10(c + 0.5)).alias("rest_sum"), F.sum((c > 0).cast("long")).alias("rest_known"), F.sum(F.log10(spelt + 1e-300)).alias("rest_score"))
     )

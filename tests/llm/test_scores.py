@@ -159,6 +159,14 @@ def test_lm_base_against_brute_force(lm_rows, table):
     assert got == want and all(r.score <= 0 and math.isfinite(r.score) for r in lm_rows)
 
 
+def test_lm_scores_use_all_pairs(docs, lm_rows, monkeypatch):
+    """Scores don't depend on how many pairs go to all tasks."""
+    monkeypatch.setattr(language_model, "PAIRS", 8)
+    want = sorted((str(r.doc_id), r.n_tokens, r.score) for r in lm_rows)
+    got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in language_model.lm_scores(docs).collect())
+    assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2] for r in got], [r[2] for r in want], rtol=1e-5)
+
+
 def test_lm_empty(empty):
     assert language_model.lm_scores(empty).count() == 0
 
