@@ -68,12 +68,13 @@ def radius_outliers(points: DataFrame, radius: float = 1.0, min_neighbours: int
 
 def match_table(points: DataFrame, table: DataFrame, start: float, max_dist: float = 0.0, method: str = "nearest", k: int = 4) -> DataFrame:
     """point_id and value of the nearest row of table (point_id, x, y, value), or the IDW mean of the k nearest; none beyond max_dist."""
-    near = knn(points, table, 1 if method == "nearest" else k, start, axes=("x", "y"))
+    near = knn(points, table, 1, start, axes=("x", "y"), limit=max_dist if max_dist > 0 else None)
+    if method != "nearest":  # the k nearest may lie beyond max_dist, but only of points that match at all
+        matched = points.join(near.select(F.col("a").alias("point_id")), "point_id", "left_semi") if max_dist > 0 else points
+        near = knn(matched, table, k, start, axes=("x", "y"))
     near = near.join(table.select(F.col("point_id").alias("b"), "value"), "b")
     w = F.pow(F.greatest("d", F.lit(1e-9)), F.lit(-2.0))
-    out = near.groupBy("a").agg((F.sum(w * F.col("value")) / F.sum(w)).alias("value"), F.min("d").alias("d"))
-    if max_dist > 0:
-        out = out.where(F.col("d") <= max_dist)
+    out = near.groupBy("a").agg((F.sum(w * F.col("value")) / F.sum(w)).alias("value"))
     return out.select(F.col("a").alias("point_id"), "value")
 
 

@@ -268,11 +268,14 @@ d AS (SELECT p.point_id, t.id, t.value, sqrt((p.x - t.x) ** 2 + (p.y - t.y) ** 2
 k AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d, id) AS k FROM d)"""
 
 
+def _match(spark, sf_dir: str, near: DataFrame, method: str) -> DataFrame:
+    table = views.structures(spark, sf_dir).select(F.col("structure_id").alias("point_id"), "x", "y", (F.col("diameter") * F.col("y")).alias("value"))
+    return knn.match_table(near, table, 8.0, 6.0, method).withColumn("value", round6(F.col("value")))
+
+
 def _matched(method: str):
     def run(spark, sf_dir: str) -> DataFrame:
-        table = views.structures(spark, sf_dir).select(F.col("structure_id").alias("point_id"), "x", "y", (F.col("diameter") * F.col("y")).alias("value"))
-        near = views.pts(spark, sf_dir).where("x < 90 and y < 40")
-        return knn.match_table(near, table, 8.0, 6.0, method).withColumn("value", round6(F.col("value")))
+        return _match(spark, sf_dir, views.pts(spark, sf_dir).where("x < 90 and y < 40"), method)
 
     run.__name__ = f"{method}_table"
     k = 1 if method == "nearest" else 4
@@ -286,6 +289,17 @@ def _matched(method: str):
 nearest_table, idw_table = _matched("nearest"), _matched("idw")
 
 
+@query()
+def nearest_whole_table(spark, sf_dir):
+    """Over all points; an oracle that joins every pair would be too slow."""
+    return _match(spark, sf_dir, views.pts(spark, sf_dir), "nearest")
+
+
+@query()
+def idw_whole_table(spark, sf_dir):
+    return _match(spark, sf_dir, views.pts(spark, sf_dir), "idw")
+
+
 @query("vec3", """v AS (SELECT point_id, floor(x / .15)::BIGINT AS vx, floor(y / .15)::BIGINT AS vy, floor(z / .15)::BIGINT AS vz FROM vec3),
 g AS (SELECT min(point_id) AS id, vx, vy, vz FROM v GROUP BY ALL),
 e AS (SELECT a.id AS a, b.id AS b FROM g a, g b WHERE abs(a.vx - b.vx) <= 1 AND abs(a.vy - b.vy) <= 1 AND abs(a.vz - b.vz) <= 1),

@@ -10,6 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from bathyal.operators import graph, grid, ground, hydrography, knn, mesh, noise, points, routes, surfaces
+from bathyal.plans.catalogue import QUERIES
+from bathyal.sources import views
 
 
 def frame(spark, **columns):
@@ -192,3 +194,19 @@ def test_sky_and_pick(spark):
     assert [r[0] for r in rows.select(noise.sky_coloured(F.col("r"), F.col("g"), F.col("b"))).collect()] == [True, True, False]
     seen = spark.createDataFrame([(1, 10.0, 10.0, 5.0), (2, 11.0, 10.0, 4.0), (3, 90.0, 90.0, 1.0)], "point_id long, sx double, sy double, w double")
     assert points.pick(seen, 10.0, 10.0).first().point_id == 2
+
+
+@pytest.mark.parametrize(("name", "k"), [("nearest_whole_table", 1), ("idw_whole_table", 4)])
+def test_match_whole_table(spark, name, k):
+    sf = "/root/testdata/sf0.01"
+    p = views.pts(spark, sf).select("point_id", "x", "y").toPandas()
+    t = views.structures(spark, sf).selectExpr("structure_id", "x", "y", "diameter * y AS value").toPandas().sort_values("structure_id")
+    d = np.hypot(p.x.to_numpy()[:, None] - t.x.to_numpy(), p.y.to_numpy()[:, None] - t.y.to_numpy())
+    near = np.argsort(d, axis=1, kind="stable")[:, :k]
+    w = np.maximum(np.take_along_axis(d, near, 1), 1e-9) ** -2.0
+    value = (w * t.value.to_numpy()[near]).sum(axis=1) / w.sum(axis=1)
+    want = {i: v for i, v, least in zip(p.point_id, value, d.min(axis=1), strict=True) if least <= 6}
+    got = {r.point_id: r.value for r in QUERIES[name](spark, sf).collect()}
+    outside = set(p.point_id[(p.x >= 90) | (p.y >= 40)])
+    assert got.keys() == want.keys() and outside & got.keys()
+    assert all(got[i] == pytest.approx(want[i], abs=2e-6) for i in want)
