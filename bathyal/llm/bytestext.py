@@ -12,7 +12,8 @@ import pyarrow as pa
 SLICE_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20240)
-_VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: A random odd number for each byte, or for each number of 16 bits.
+_VALUES = _rng.integers(1, 2**63, 1 << 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 WHITE = np.zeros(256, bool)
@@ -32,8 +33,9 @@ class Slice(NamedTuple):
     ends: np.ndarray
 
 
-def slices(texts: pa.Array | pa.ChunkedArray, most: int = SLICE_BYTES) -> Iterator[Slice]:
-    """Nulls count as empty."""
+def slices(texts: pa.Array | pa.ChunkedArray, most: int = SLICE_BYTES, split: bool = False) -> Iterator[Slice]:
+    """Nulls count as empty. With `split`, a text over twice `most` comes in pieces that end before white space: slices of it
+    whose first row is also their last, then one that ends the row."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -44,8 +46,18 @@ def slices(texts: pa.Array | pa.ChunkedArray, most: int = SLICE_BYTES) -> Iterat
     first = 0
     while first < n:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, side="right")) - 1)
-        low = offsets[first]
-        yield Slice(first, last, data[low : offsets[last]], offsets[first:last] - low, offsets[first + 1 : last + 1] - low)
+        low, high = offsets[first], offsets[last]
+        while split and high - low > 2 * most:
+            cut = low + most
+            while cut < high and not (white := np.flatnonzero(WHITE[data[cut : min(cut + most, high)]])).size:
+                cut += most
+            if cut >= high:
+                break
+            cut += white[0]
+            yield Slice(first, first, data[low:cut], np.zeros(1, np.int64), np.full(1, cut - low))
+            low = cut
+        starts = np.maximum(offsets[first:last] - low, 0)
+        yield Slice(first, last, data[low:high], starts, offsets[first + 1 : last + 1] - low)
         first = last
 
 
@@ -66,7 +78,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, by differences of one running polynomial sum modulo 2**64."""
+    """A 64-bit hash of each span of bytes (or numbers of 16 bits), by differences of one running polynomial sum modulo 2**64."""
     n = len(data)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_VALUES[data] * _power("up", _BASE, n)[:n], out=sums[1:])

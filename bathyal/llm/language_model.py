@@ -1,545 +1,329 @@
 """Language-model scores: a causal self-attention model over subword ids, beside a word-frequency base.
 
-Base: words are hashed to 64 bits and counted over all training texts. The HEAD most frequent words go to all tasks as a
-table of fixed size; a text's other words meet their counts in one join.
+A text is its lower-cased words as ids of a public subword vocabulary, a space in front of each word, and an end id. Texts are
+encoded once; ids are kept in the shared folder, from where counting, training and scoring read them.
 
-Model: a text is its words as subword ids of a public vocabulary, each word's first one with a space in front; the HEAD most
-frequent words, if found OFTEN times, have ids of their own. The probability of an id is that of its class, given the ids
-before it, times its share of the class. Within a word an id's share depends on the id before it, by the counts of all such
-pairs: the PAIRS most frequent ones go to all tasks, the others meet the words spelt with them in a join. A spelt word that training texts hold can also be drawn as a whole, by its count. Shares and class transitions are
-counted over all training texts. Classes follow from counts too: frequent words that keep the same company form GROUPS, and
-every other id that begins a word belongs to the group that it follows most often.
+Model (attention.py): its tables hold a row for each id that the training texts use and one for all others, which share its
+probability evenly. It is trained in numpy by local descent: in each of ROUNDS rounds every partition takes steps on its own
+training texts, each window exactly once in all rounds, beginning from the model of the round before; the partitions' models
+are averaged in Spark, weighted by ids, as a tree of block sums. A text's score is the sum of the log10 probabilities of all
+its ids, its end among them, in windows that overlap: each id counts once, in the first window that reaches it.
 
-On top of the transitions, one causal self-attention layer over WINDOW classes is trained in numpy by local gradient descent:
-in each of ROUNDS rounds every partition takes steps on all windows of its own training texts; the partitions' parameters, a
-few thousand numbers each, are averaged in Spark, weighted by windows. Texts are scored in windows that overlap by OVERLAP positions; every id counts once, in the first window that
-reaches it. A text ends with an end sign, so its probability is one over all texts.
-
-Texts are encoded once; ids are kept in the shared folder, from where counting, training and scoring read them.
+Base: a word is a run of ids that begins with a space, hashed to 64 bits, and counted over all training texts. The most
+frequent words, HEAD at most, go to all tasks in a table of fixed size; a text's other distinct words meet their counts in a
+join, so every count is exact.
 
 Defined cases: a null or empty text is its end alone. Rows that repeat a document are scored alike, and learnt from as often.
 Without training texts counts are 0 and all ids are alike to the model. An empty table gives an empty result. Other columns
-are ignored. Words are told apart by 64-bit hashes.
+are ignored. Words are told apart by 64-bit hashes. A text longer than a slice is encoded in pieces.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .attention import BATCH, OVERLAP, WINDOW, Attention, window_ids, windows
 from .bytestext import ASCII_LOWER, group_sums, slices, span_hashes, words
 from .common import remainder, stash
-from .subwords import subwords
+from .subwords import multi_subwords
 
 MODULUS, HELD_OUT = 5, 1
-#: Words with ids of their own, of those found OFTEN times at least; rarer ones teach how words are spelt.
-HEAD, OFTEN = 1 << 16, 3
-GROUPS, SEEDS, OWN, TIERS = 6, 64, 28, 3
-#: Class 0 is the end sign's and stands before every text; then the classes of frequent ids, of groups, and of ids within words.
-INNER = 1 + OWN + GROUPS * TIERS
-CLASSES, WINDOW, OVERLAP, KEYS, VALUES = INNER + 1, 32, 6, 8, 16
-BEGINS = 1 + OWN + np.arange(GROUPS) * TIERS + TIERS - 1
-PAIRS, LEAN = 1 << 19, 20.0
-ROUNDS, BATCH, RATE = 2, 128, 0.01
-#: Windows that are worked on at a time; their arrays stay in a core's cache.
-AT_ONCE = 32
+ROUNDS = 2
+#: Local models that are trained at a time; with more partitions, a task goes on with its model from one to the next.
+LOCAL_MODELS = 4096
+#: Words that all tasks hold, and the places of their table.
+HEAD, SLOTS = 1 << 16, 1 << 18
 MERGE_AT = 4 << 20
-#: Subword ids of the public vocabulary; they come after the HEAD words, the end sign after them.
-SPELT = 50256
-END = HEAD + SPELT
-IDS = END + 1
-
-
-# ---- base -------------------------------------------------------------------------------------------------------------
-
-
-def word_counts(texts: DataFrame) -> DataFrame:
-    """word (64-bit hash) and c over all texts."""
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            h, place = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-            return h, np.bincount(place, np.concatenate([n for _, n in held])).astype(np.int64)
-
-        def batch_of(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["word", "c"])
-
-        for batch in batches:
-            for part in slices(batch.column("text")):
-                starts, ends, _ = words(part)
-                held.append(np.unique(span_hashes(ASCII_LOWER[part.data], starts, ends), return_counts=True))
-                if sum(len(h) for h, _ in held) > MERGE_AT:
-                    held[:] = [merged()]
-                    if len(held[0][0]) > MERGE_AT // 2:
-                        yield batch_of(*held.pop())
-        if held:
-            yield batch_of(*merged())
-
-    return texts.select("text").mapInArrow(partial, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
+#: Numbers that are summed up together when models are averaged.
+BLOCK = 1 << 16
+END, IDS = 50256, 50257
+PIECE_BYTES = 1 << 20
 
 
-def text_parts(docs: DataFrame, head: tuple[np.ndarray, np.ndarray], end_count: int) -> DataFrame:
-    """For each text: rid, learn, n_tokens, sums over its end and its frequent words, its ids (32 bits each) and the hashes of
-    its other words (64 bits each), in order."""
-    head_words, head_counts = head
-    logs = np.log10(np.append(head_counts, 0) + 0.5)
+def encoded(docs: DataFrame) -> DataFrame:
+    """rid (a number for each row), doc_id, learn, and the ids of each text (16 bits each, without the end); docs has doc_id, text, learn."""
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = subwords(use="words")
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, row, begun = multi_subwords(), TaskContext.get().partitionId() << 33, []
         for batch in batches:
-            rids = batch.column("rid").to_numpy()
-            for part in slices(batch.column("text")):
+            for part in slices(batch.column("text"), split=True):
                 starts, ends, bounds = words(part)
                 low = ASCII_LOWER[part.data]
-                h = span_hashes(low, starts, ends)
-                at = np.searchsorted(head_words, h)
-                hit = head_words[np.minimum(at, len(head_words) - 1)] == h if len(head_words) else np.zeros(len(h), bool)
-                rid, n = rids[part.first : part.last], np.diff(bounds)
-
-                rest = np.flatnonzero(~hit)
-                where, k = encoder.located(low, starts[rest], ends[rest], h[rest], b" ")
-                spans = np.ones(len(h), np.int64)
-                spans[rest] = k
-                begins = np.concatenate([[0], np.cumsum(spans)])
-                ids = np.empty(begins[-1], np.uint32)
-                ids[begins[:-1][hit]] = at[hit]
-                step = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
-                ids[np.repeat(begins[:-1][rest], k) + step] = encoder.held[np.repeat(where, k) + step].astype(np.uint32) + HEAD
-                raw, cuts = memoryview(ids.tobytes()), (4 * begins[bounds]).tolist()
-                others = np.concatenate([[0], np.cumsum(~hit)])[bounds] * 8
-                hashes = memoryview(h[rest].tobytes())
+                where, k = encoder.located(low, starts, ends, span_hashes(low, starts, ends), b" ")
+                total = np.concatenate([[0], np.cumsum(k)])
+                index = np.repeat(where - total[:-1], k)
+                index += np.arange(len(index))
+                raw, cuts = memoryview(encoder.held[index].tobytes()), (2 * total[bounds]).tolist()
+                if part.last == part.first:  # the text goes on
+                    begun.append(bytes(raw))
+                    continue
+                found = [bytes(raw[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                if begun:
+                    found[0] = b"".join([*begun, found[0]])
+                    begun = []
+                n = part.last - part.first
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(rid),
-                        batch.column("learn").slice(part.first, len(rid)),
-                        pa.array(n + 1),
-                        pa.array(group_sums(hit.astype(float), bounds).astype(np.int64) + (end_count > 0)),
-                        pa.array(group_sums(np.where(hit, logs[np.where(hit, at, -1)], 0.0), bounds) + np.log10(end_count + 0.5)),
-                        pa.array([bytes(raw[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
-                        pa.array([bytes(hashes[a:b]) for a, b in zip(others[:-1].tolist(), others[1:].tolist(), strict=True)], pa.binary()),
-                    ],
-                    names=["rid", "learn", "n_tokens", "head_known", "head_sum", "ids", "others"],
+                    [pa.array(row + np.arange(n)), batch.column("doc_id").slice(part.first, n), batch.column("learn").slice(part.first, n), pa.array(found, pa.binary())],
+                    names=["rid", "doc_id", "learn", "ids"],
                 )
+                row += n
 
-    shape = "rid long, learn boolean, n_tokens long, head_known long, head_sum double, ids binary, others binary"
-    return stash(docs.select("rid", "learn", "text").mapInArrow(parts, shape), "parts")
-
-
-# ---- model ------------------------------------------------------------------------------------------------------------
-
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return stash(docs.select("doc_id", "text", "learn").mapInArrow(encode, f"rid long, doc_id {kind}, learn boolean, ids binary"), "encoded")
 
-def seed_groups(near: np.ndarray) -> np.ndarray:
-    """Puts frequent words that keep the same company in one of GROUPS groups: k-means of their positive mutual information."""
-    near = near + near.T + 0.1
-    share = near / near.sum()
-    x = np.maximum(np.log(share / np.outer(share.sum(axis=1), share.sum(axis=0))), 0)
-    x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-9
-    centres = [0]
-    while len(centres) < min(GROUPS, len(x)):  # the farthest from all centres so far
-        centres.append(int(np.argmin((x @ x[centres].T).max(axis=1))))
-    middle = x[centres]
-    for _ in range(30):
-        group = np.argmax(x @ middle.T, axis=1)
-        middle = np.array([x[group == g].mean(axis=0) if (group == g).any() else middle[g] for g in range(len(middle))])
-        middle /= np.linalg.norm(middle, axis=1, keepdims=True) + 1e-9
-    return group
 
-
-def id_classes(counts: np.ndarray, company: np.ndarray) -> np.ndarray:
-    """The class of each id. counts by id; company: how often an id follows each group.
-
-    A group has a tier for frequent words, one for other words, and one for subwords that begin a word.
-    """
-    tier = np.full(IDS, 1)
-    tier[np.argsort(-counts[:HEAD], kind="stable")[:2000]] = 0
-    tier[HEAD:END] = 2
-    expected = company.sum(axis=0, keepdims=True) + 1.0
-    group = np.argmax((company + 0.5 * expected / expected.sum()) / expected, axis=1)
-    classes = 1 + OWN + group * TIERS + tier
-    frequent = np.argsort(-counts[:HEAD], kind="stable")[:OWN]
-    classes[frequent] = 1 + np.arange(len(frequent))
-    classes[HEAD:END][inner_ids()] = INNER
-    classes[END] = 0
-    return classes.astype(np.uint8)
-
-
-def inner_ids() -> np.ndarray:
-    """Which subword ids of the vocabulary stand within a word: those without a space in front."""
-    encoding = subwords(use="words").encoding
-    return np.array([not encoding.decode_single_token_bytes(i).startswith(b" ") for i in range(SPELT)])
-
-
-class Attention:
-    """Scores of the next class: the transition's from the last one, plus what attention to the window gathers."""
-
-    def __init__(self, transitions: np.ndarray):
-        rng = np.random.default_rng(8)
-        draw = lambda *shape: (rng.normal(size=shape) * 0.3).astype(np.float32)
-        self.p = {
-            "q": draw(CLASSES, KEYS),
-            "k": draw(CLASSES, KEYS),
-            "v": draw(CLASSES, VALUES),
-            "o": np.zeros((VALUES, CLASSES), np.float32),
-            "b": np.zeros(WINDOW, np.float32),
-            "r": transitions.astype(np.float32),
-        }
-
-    def forward(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
-        """x: classes, a row per window. Later positions are masked."""
-        p, n = self.p, x.shape[1]
-        lag = np.arange(n)[:, None] - np.arange(n)
-        bias = np.where(lag >= 0, p["b"][np.abs(lag)], np.float32(-1e9)).astype(np.float32)
-        q, k, v = p["q"][x], p["k"][x], p["v"][x]
-        a = q @ k.transpose(0, 2, 1)
-        a *= np.float32(KEYS**-0.5)
-        a += bias
-        np.minimum(a, np.float32(30), out=a)
-        np.exp(a, out=a)
-        a /= a.sum(axis=2, keepdims=True)
-        h = a @ v
-        z = (h.reshape(-1, VALUES) @ p["o"]).reshape(*x.shape, CLASSES)
-        z += p["r"][x]
-        return q, k, v, a, h, z
-
-    def log_probabilities(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the target classes, and of any class that begins a spelt word."""
-        z = self.forward(x)[-1]
-        target = np.take_along_axis(z, y[:, :, None].astype(np.int64), axis=2)[:, :, 0]
-        np.exp(z, out=z)
-        whole = np.log(z.sum(axis=2))
-        return target - whole, np.log(z[:, :, BEGINS].sum(axis=2)) - whole
-
-    def gradients(self, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean over all real targets, AT_ONCE windows at a time."""
-        share = (real / max(real.sum(), 1)).astype(self.p["r"].dtype)
-        parts = [self._gradients(x[i : i + AT_ONCE], y[i : i + AT_ONCE], share[i : i + AT_ONCE]) for i in range(0, len(x), AT_ONCE)]
-        return {k: sum(part[k] for part in parts) for k in parts[0]}
-
-    def _gradients(self, x: np.ndarray, y: np.ndarray, share: np.ndarray) -> dict[str, np.ndarray]:
-        q, k, v, a, h, z = self.forward(x)
-        p, n = self.p, x.shape[1]
-        at, each, share = x.ravel(), np.arange(x.size), share.ravel()
-        z -= z.max(axis=2, keepdims=True)
-        d = np.exp(z, out=z).reshape(-1, CLASSES)
-        d *= (share / d.sum(axis=1))[:, None]
-        d[each, y.ravel()] -= share
-        dh = (d @ p["o"].T).reshape(h.shape)
-        ds = dh @ v.transpose(0, 2, 1)
-        ds -= np.einsum("bij,bij->bi", a, ds)[:, :, None]
-        ds *= a
-        lag = (np.arange(n)[:, None] - np.arange(n)).ravel()
-        scale = np.float32(KEYS**-0.5)
-        rows = [d, a.transpose(0, 2, 1) @ dh, ds @ k * scale, ds.transpose(0, 2, 1) @ q * scale]
-        member = np.zeros((x.size, CLASSES), d.dtype)
-        member[each, at] = 1
-        r, dv, dq, dk = np.split(member.T @ np.concatenate([g.reshape(x.size, -1) for g in rows], axis=1), np.cumsum([CLASSES, VALUES, KEYS]), axis=1)
-        return {
-            "o": h.reshape(-1, VALUES).T @ d,
-            "r": r,
-            "v": dv,
-            "q": dq,
-            "k": dk,
-            "b": np.bincount(lag[lag >= 0], ds.sum(axis=0).ravel()[lag >= 0], WINDOW),
-        }
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([self.p[k].ravel() for k in sorted(self.p)]).astype(np.float64)
-
-    def load(self, flat: np.ndarray) -> None:
-        at = 0
-        for k in sorted(self.p):
-            n = self.p[k].size
-            self.p[k] = flat[at : at + n].reshape(self.p[k].shape).astype(np.float32)
-            at += n
-
-
-class Adam:
-    def __init__(self, model: Attention):
-        self.model, self.t = model, 0
-        self.m = {k: np.zeros_like(v) for k, v in model.p.items()}
-        self.s = {k: np.zeros_like(v) for k, v in model.p.items()}
-
-    def step(self, grads: dict[str, np.ndarray]) -> None:
-        self.t += 1
-        for k, g in grads.items():
-            self.m[k] = 0.9 * self.m[k] + 0.1 * g
-            self.s[k] = 0.99 * self.s[k] + 0.01 * g * g
-            move = self.m[k] / (1 - 0.9**self.t) / (np.sqrt(self.s[k] / (1 - 0.99**self.t)) + 1e-8)
-            self.model.p[k] = (self.model.p[k] - RATE * move).astype(np.float32)
-
-
-def window_starts(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Text and first position of each window; a text of n subwords needs one, and one more for each further stride."""
-    stride = WINDOW - OVERLAP
-    n = 1 + np.maximum(0, -(-(lengths - WINDOW) // stride))
-    text = np.repeat(np.arange(len(lengths)), n)
-    return text, (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * stride
-
-
-def window_classes(classes: np.ndarray, bounds: np.ndarray, text: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Inputs, targets, which targets are a text's own, and which of these no earlier window has reached."""
-    place = start[:, None] + np.arange(WINDOW)
-    at = bounds[text][:, None] + place
-    real = at < bounds[text + 1][:, None]
-    at = np.where(real, at, 0)
-    y = classes[at]
-    x = np.where(place > 0, classes[np.maximum(at - 1, 0)], 0)
-    return x, y, real, real & ((place - start[:, None] >= OVERLAP) | (start == 0)[:, None]), at
-
-
-def _pieces(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that a piece's ids take `most` bytes, or one row's."""
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a piece's ids take PIECE_BYTES, or one row's."""
     for batch in batches:
-        ends = np.cumsum([len(r) + 4 for r in batch.column("ids").to_pylist()])
+        ends = np.cumsum(pc.binary_length(batch.column("ids")).to_numpy(zero_copy_only=False).astype(np.int64) + 2)
         first = 0
         while first < len(ends):
-            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, side="right")))
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PIECE_BYTES, side="right")))
             yield batch.slice(first, last - first)
             first = last
 
 
 def _with_end(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of a batch, each row's followed by the end sign, and their bounds."""
-    rows = batch.column("ids").to_pylist()
-    lengths = np.array([len(r) // 4 + 1 for r in rows], np.int64)
-    end = END.to_bytes(4, "little")
-    return np.frombuffer(b"".join(x for r in rows for x in (r, end)), np.uint32), np.concatenate([[0], np.cumsum(lengths)])
+    """All ids of a batch, each row's followed by the end id, and their bounds."""
+    rows, end = batch.column("ids").to_pylist(), END.to_bytes(2, "little")
+    lengths = np.array([len(r) // 2 + 1 for r in rows], np.int64)
+    return np.frombuffer(b"".join(x for r in rows for x in (r, end)), np.uint16), np.concatenate([[0], np.cumsum(lengths)])
+
+
+def word_hashes(ids: np.ndarray, bounds: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word, and how many words stand before each text and after the last. begins: which ids begin with a space."""
+    starts = np.flatnonzero(begins[ids])
+    ends = np.flatnonzero(np.append(begins[ids] | (ids == END), True))
+    ends = ends[np.searchsorted(ends, starts, side="right")] if len(starts) else starts
+    return span_hashes(ids, starts, ends), np.searchsorted(starts, bounds)
+
 
+# ---- counts -----------------------------------------------------------------------------------------------------------
 
-def counted(tokens: DataFrame, cells: int, places) -> np.ndarray:
-    """How often each cell is hit; `places` gives the cells that a batch hits. The driver gets `cells` numbers at most."""
+
+def counts_of(tokens: DataFrame) -> DataFrame:
+    """is_id, key and n: how often each id, and each word by its hash, is there."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, np.int64)
-        for batch in _pieces(batches):
-            total += np.bincount(places(*_with_end(batch)), minlength=cells)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["cell", "n"])
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        begins, seen = multi_subwords().begins, np.zeros(IDS, np.int64)
 
-    found = tokens.select("ids").mapInArrow(partial, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(cells, np.int64)
-    out[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    return out
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            h, place = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            return h, np.bincount(place, np.concatenate([n for _, n in held])).astype(np.int64)
 
+        def batch_of(is_id: bool, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), is_id)), pa.array(key.view(np.int64)), pa.array(n, pa.int64())], names=["is_id", "key", "n"])
 
-def _last_seed(seed: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """For each position the place of the last seed before it in its text, or -1."""
-    at = np.where(seed >= 0, np.arange(len(seed)), -1)
-    last = np.concatenate([[-1], np.maximum.accumulate(at)[:-1]])
-    return np.where(last >= np.repeat(bounds[:-1], np.diff(bounds)), last, -1)
+        for batch in _pieces(batches):
+            ids, bounds = _with_end(batch)
+            seen += np.bincount(ids, minlength=IDS)
+            held.append(np.unique(word_hashes(ids, bounds, begins)[0], return_counts=True))
+            if sum(len(h) for h, _ in held) > MERGE_AT:
+                held[:] = [merged()]
+                if len(held[0][0]) > MERGE_AT // 2:
+                    yield batch_of(False, *held.pop())
+        if held:
+            yield batch_of(False, *merged())
+        used = np.flatnonzero(seen)
+        yield batch_of(True, used, seen[used])
+
+    parts = tokens.select("ids").mapInArrow(partial, "is_id boolean, key long, n long")
+    return stash(parts.groupBy("is_id", "key").agg(F.sum("n").alias("n")), "counts")
 
 
-def learn_classes(tokens: DataFrame, head_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The class of each id, and how often each id is there."""
-    seeds = np.full(IDS, -1)
-    top = np.argsort(-head_counts, kind="stable")[:SEEDS]
-    seeds[top] = np.arange(len(top))
+def frequent_words(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """The words found `least` times or more, where `least` is as low as HEAD words allow: a table of hashes and their counts
+    by the low bits of the hash, and `least`. Of words that meet in one place the more frequent one has it."""
+    levels = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.col("n").desc()).limit(HEAD).collect()
+    least, total = 0, 0
+    for n, kinds in levels:
+        total += kinds
+        if total > HEAD:
+            break
+        least = n
+    keys, n = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int64)
+    if least:
+        top = counts.where(F.col("n") >= least).toPandas().sort_values(["n", "key"])  # HEAD rows at most
+        h = top["key"].to_numpy(np.int64).view(np.uint64)
+        at = (h & np.uint64(SLOTS - 1)).astype(np.int64)
+        keys[at], n[at] = h, top["n"].to_numpy(np.int64)
+    return keys, n, least
 
-    def pairs(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        seed = seeds[ids]
-        last = _last_seed(seed, bounds)
-        at = np.flatnonzero((seed >= 0) & (last >= 0))
-        return np.concatenate([SEEDS * SEEDS + ids.astype(np.int64), seed[last[at]] * SEEDS + seed[at]])
 
-    found = counted(tokens, SEEDS * SEEDS + IDS, pairs)
-    groups = np.append(seed_groups(found[: SEEDS * SEEDS].reshape(SEEDS, SEEDS)), -1)
+# ---- training ---------------------------------------------------------------------------------------------------------
 
-    def company(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        seed = seeds[ids]
-        last = _last_seed(seed, bounds)
-        at = np.flatnonzero(last >= 0)
-        return ids[at].astype(np.int64) * GROUPS + groups[seed[last[at]]]
 
-    counts = found[SEEDS * SEEDS :]
-    return id_classes(counts, counted(tokens, IDS * GROUPS, company).reshape(IDS, GROUPS)), counts
+def block_means(parts: DataFrame) -> np.ndarray | None:
+    """The mean by weight of flat arrays that come as rows: block, part, weight, values (float64 bytes, times the weight).
 
+    A block is first summed over about the square root of all parts at a time, then over these sums.
+    """
+
+    def added(keys: list[str]):
+        def add(rows: pd.DataFrame) -> pd.DataFrame:
+            total = np.zeros(len(rows["values"].iloc[0]) // 8)
+            for raw in rows["values"]:
+                total += np.frombuffer(raw)
+            return rows.iloc[:1][keys].assign(weight=rows["weight"].sum(), values=[total.tobytes()])
 
-def transition_counts(tokens: DataFrame, classes: np.ndarray) -> np.ndarray:
-    def steps(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        y = classes[ids].astype(np.int64)
-        x = np.concatenate([[0], y[:-1]])
-        x[bounds[:-1]] = 0
-        return x * CLASSES + y
+        return add
 
-    return counted(tokens, CLASSES * CLASSES, steps).reshape(CLASSES, CLASSES)
+    branches = max(1, math.isqrt(parts.rdd.getNumPartitions()))
+    first = parts.withColumn("branch", F.col("part") % branches).groupBy("block", "branch")
+    first = first.applyInPandas(added(["block", "branch"]), "block int, branch int, weight double, values binary")
+    rows = first.groupBy("block").applyInPandas(added(["block"]), "block int, weight double, values binary").collect()
+    return np.concatenate([np.frombuffer(r["values"]) / r["weight"] for r in sorted(rows, key=lambda r: r["block"])]) if rows else None
 
 
-def trained(model: Attention, tokens: DataFrame, classes: np.ndarray) -> Attention:
-    """Rounds of local gradient descent on all windows, whose results are averaged."""
+def trained(tokens: DataFrame, shares: np.ndarray, rank: np.ndarray) -> Attention:
+    """A model that has seen every window of tokens once. rank: the number of each id among the model's."""
+    model, spark = Attention(shares), tokens.sparkSession
+    tokens = tokens.select("ids", F.pmod(F.xxhash64("rid"), F.lit(ROUNDS)).alias("turn")).coalesce(LOCAL_MODELS)
     for turn in range(ROUNDS):
-        held = model.flat()
+        sent = spark.sparkContext.broadcast((model.flat(), shares, rank))
 
-        def local(batches: Iterator[pa.RecordBatch], held: np.ndarray = held, turn: int = turn) -> Iterator[pa.RecordBatch]:
-            mine = Attention(np.zeros((CLASSES, CLASSES)))
-            mine.load(held)
-            adam, rng, seen = Adam(mine), np.random.default_rng((turn, TaskContext.get().partitionId())), 0
+        def local(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent, turn: int = turn) -> Iterator[pa.RecordBatch]:
+            flat, shares, rank = sent.value
+            part = TaskContext.get().partitionId()
+            mine, rng, seen = Attention(shares), np.random.default_rng((turn, part)), 0
+            mine.load(flat)
             for batch in _pieces(batches):
                 ids, bounds = _with_end(batch)
-                text, start = window_starts(np.diff(bounds))
-                order = rng.permutation(len(text))
-                x, y, real, _, _ = window_classes(classes[ids], bounds, text[order], start[order])
+                y = rank[ids]
+                x = _shifted(y, bounds, rank[END])
+                start, end, _ = windows(bounds, WINDOW)
+                order = rng.permutation(len(start))
                 for i in range(0, len(order), BATCH):
-                    adam.step(mine.gradients(x[i : i + BATCH], y[i : i + BATCH], real[i : i + BATCH]))
-                seen += len(order)
+                    w = order[i : i + BATCH]
+                    mine.step(*window_ids(y, x, start[w], end[w])[:3])
+                seen += len(ids)
             if seen:
-                flat = mine.flat() * seen
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat), pa.array(np.full(len(flat), float(seen)))], names=["at", "value", "weight"])
-
-        sums = tokens.select("ids").mapInArrow(local, "at long, value double, weight double").groupBy("at").agg(F.sum("value") / F.sum("weight"))
-        rows = sums.collect()  # one for each parameter
-        if rows:
-            flat = held.copy()
-            for at, value in rows:
-                flat[at] = value
-            model.load(flat)
-    return model
-
-
-def pair_counts_of(tokens: DataFrame, classes: np.ndarray) -> DataFrame:
-    """pair and n: how often each pair of an id within a word and the id before it is there."""
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _pieces(batches):
-            pair, n = np.unique(_pairs(_with_end(batch)[0], classes)[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(n, pa.int64())], names=["pair", "n"])
+                total = mine.flat().astype(np.float64) * seen
+                blocks = [total[i : i + BLOCK].tobytes() for i in range(0, len(total), BLOCK)]
+                n = len(blocks)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, float(seen))), pa.array(blocks, pa.binary())],
+                    names=["block", "part", "weight", "values"],
+                )
 
-    sums = tokens.select("ids").mapInArrow(partial, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    return stash(sums, "pairs")
+        mean = block_means(tokens.where(F.col("turn") == turn).select("ids").mapInArrow(local, "block int, part int, weight double, values binary"))
+        if mean is not None:
+            model.load(mean)
+        sent.destroy()
+    return model
 
 
-def frequent_pairs(sums: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The PAIRS most frequent pairs, in order, with their counts."""
-    top = sums.orderBy(F.col("n").desc(), "pair").limit(PAIRS).toPandas().sort_values("pair")
-    return top["pair"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
+def _shifted(y: np.ndarray, bounds: np.ndarray, end: int) -> np.ndarray:
+    """The id before each position; the end id before a text."""
+    x = np.concatenate([y[-1:], y[:-1]])
+    x[bounds[:-1]] = end
+    return x
 
 
-def rare_pair_gains(tokens: DataFrame, sums: DataFrame, pairs: np.ndarray, classes: np.ndarray, share: np.ndarray) -> DataFrame:
-    """word and gain: what pairs outside `pairs` add to the log10 probability of each word that is spelt with some."""
+# ---- scores -----------------------------------------------------------------------------------------------------------
 
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _pieces(batches):
-            ids, bounds = _with_end(batch)
-            inner, pair = _pairs(ids, classes)
-            rare = pairs[np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)] != pair
-            inner, pair = inner[rare], pair[rare]
-            opens = np.flatnonzero((ids >= HEAD) & (ids < END) & (classes[ids] != INNER))
-            word = np.frombuffer(b"".join(batch.column("others").to_pylist()), np.int64)
-            at = np.searchsorted(opens, inner, side="right") - 1
-            # a word's first occurrence in the piece stands for all
-            _, first, same = np.unique(word, return_index=True, return_inverse=True)
-            keep = first[same[at]] == at
-            rows = np.column_stack([word[at[keep]], pair[keep], ids[inner[keep]].astype(np.int64)])
-            rows, times = np.unique(rows, axis=0, return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(LEAN * share[rows[:, 2]], pa.float64()), pa.array(times, pa.int64())], names=["word", "pair", "lean", "times"]
-            )
 
-    spelt = tokens.select("ids", "others").mapInArrow(met, "word long, pair long, lean double, times long").groupBy("word", "pair").agg(F.max("lean").alias("lean"), F.max("times").alias("times"))
-    gain = F.sum(F.col("times") * F.log10((F.col("n") + F.col("lean")) / F.col("lean")))
-    return spelt.join(sums.hint("merge"), "pair").groupBy("word").agg(gain.alias("gain"))
+def text_scores(model: Attention, ids: np.ndarray, bounds: np.ndarray, rank: np.ndarray, rest: float) -> np.ndarray:
+    """The log10 probability of each text. rest: how many ids share the probability of the model's last one."""
+    y = rank[ids]
+    x = _shifted(y, bounds, rank[END])
+    start, end, opens = windows(bounds, WINDOW - OVERLAP)
+    each = np.where(y == len(model.tier) - 1, -math.log(rest), 0.0)
+    fresh = np.arange(WINDOW) >= OVERLAP
+    for i in range(0, len(start), BATCH):
+        some = slice(i, i + BATCH)
+        xs, ys, use, at = window_ids(y, x, start[some], end[some])
+        found, lp = model.log_probabilities(xs, ys, use & (fresh | opens[some, None]))
+        each[at.ravel()[found]] += lp
+    return group_sums(each, bounds) / math.log(10)
 
 
-def _pairs(ids: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.flatnonzero(classes[ids] == INNER)
-    return at, ids[at - 1].astype(np.int64) * IDS + ids[at]
+SCORED = "rid long, doc_id {kind}, learn boolean, n_tokens long, head_known long, head_sum double, score double, others long, words array<long>, times array<int>"
 
 
-def model_scores(tokens: DataFrame, model: Attention, classes: np.ndarray, counts: np.ndarray) -> tuple[DataFrame, DataFrame | None]:
-    """For each text rid and score, the log10 probability of its end and frequent words; and for each of its other words rid,
-    word, spelt and begun: the log10 probabilities that it is spelt so, and that any spelt word begins there. Beside these, if there
-are more than PAIRS pairs, what the others add to a word's spelt."""
-    used = counts + 0.5
-    share = used / np.bincount(classes, used, CLASSES)[classes]
-    logs = np.log(share)
-    sums = pair_counts_of(tokens.where("learn"), classes)
-    pairs, pair_counts = frequent_pairs(sums)
-    before = counts.astype(float)
+def scored(tokens: DataFrame, model: Attention, shares: np.ndarray, rank: np.ndarray, head: tuple[np.ndarray, np.ndarray], ends: int) -> DataFrame:
+    """For each row: the model's score, sums over its end and its frequent words, and its other words and how often each is there."""
+    keys, n = head
+    sent = tokens.sparkSession.sparkContext.broadcast((model.flat(), shares, rank, keys, n))
+    log_end = math.log10(ends + 0.5)
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, shares, rank, keys, n = sent.value
+        mine, begins = Attention(shares), multi_subwords().begins
+        mine.load(flat)
+        logs = np.log10(n + 0.5)
         for batch in _pieces(batches):
             ids, bounds = _with_end(batch)
-            c = classes[ids]
-            text, start = window_starts(np.diff(bounds))
-            each, begun = np.zeros(len(ids)), np.zeros(len(ids))
-            for i in range(0, len(text), AT_ONCE):
-                x, y, _, once, at = window_classes(c, bounds, text[i : i + AT_ONCE], start[i : i + AT_ONCE])
-                lp, lb = model.log_probabilities(x, y)
-                each[at[once]], begun[at[once]] = lp[once], lb[once]
-            each += logs[ids]
-            inner, pair = _pairs(ids, classes)
-            if len(inner) and len(pairs):
-                place = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
-                n = np.where(pairs[place] == pair, pair_counts[place], 0)
-                each[inner] += np.log((n + LEAN * share[ids[inner]]) / (before[ids[inner - 1]] + LEAN)) - logs[ids[inner]]
-            spelt = (ids >= HEAD) & (ids < END)
-            opens = np.flatnonzero(spelt & (c != INNER))
-            sums = np.concatenate([[0], np.cumsum(np.where(spelt, each, 0.0))])
-            ends = np.flatnonzero(np.append(~(spelt & (c == INNER)), True))  # places where no word goes on
-            ends = ends[np.searchsorted(ends, opens, side="right")]
-            rid = batch.column("rid").to_numpy()
-            own = group_sums(np.where(spelt, 0.0, each), bounds) / np.log(10)
-            words_of = np.frombuffer(b"".join(batch.column("others").to_pylist()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(own), *(pa.nulls(len(rid), k) for k in (pa.int64(), pa.float64(), pa.float64()))], names=list(names))
-            owner = rid[np.searchsorted(bounds, opens, side="right") - 1]
+            h, at = word_hashes(ids, bounds, begins)
+            slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
+            hit = (keys[slot] == h) & (n[slot] > 0)
+            text = np.repeat(np.arange(len(bounds) - 1), np.diff(at))[~hit]
+            order = np.lexsort((h[~hit], text))
+            rare, text = h[~hit][order], text[order]
+            new = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]) | (text[1:] != text[:-1])])) if len(rare) else np.zeros(0, np.int64)
+            times = np.diff(np.append(new, len(rare)))
+            cuts = pa.array(np.searchsorted(text[new], np.arange(len(bounds))), pa.int32())
+            known = group_sums(hit.astype(float), at).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(owner), pa.nulls(len(opens), pa.float64()), pa.array(words_of), pa.array((sums[ends] - sums[opens]) / np.log(10)), pa.array(begun[opens] / np.log(10))], names=list(names)
+                [
+                    *(batch.column(c) for c in ("rid", "doc_id", "learn")),
+                    pa.array(np.diff(at) + 1),
+                    pa.array(known + (ends > 0)),
+                    pa.array(group_sums(np.where(hit, logs[slot], 0.0), at) + log_end),
+                    pa.array(text_scores(mine, ids, bounds, rank, IDS - len(shares) + 1)),
+                    pa.array(np.diff(at) - known),
+                    pa.ListArray.from_arrays(cuts, pa.array(rare[new].view(np.int64))),
+                    pa.ListArray.from_arrays(cuts, pa.array(times, pa.int32())),
+                ],
+                names=[x.split()[0] for x in SCORED.split(", ")],
             )
 
-    names = ("rid", "score", "word", "spelt", "begun")
-    found = tokens.select("rid", "ids", "others").mapInArrow(scored, "rid long, score double, word long, spelt double, begun double")
-    return found, rare_pair_gains(tokens, sums, pairs, classes, share) if sums.count() > len(pairs) else None
+    kind = tokens.schema["doc_id"].dataType.simpleString()
+    return stash(tokens.select("rid", "doc_id", "learn", "ids").mapInArrow(score, SCORED.format(kind=kind)), "scored")
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, for each row of docs."""
-    learn = remainder(F.col("doc_id"), MODULUS) != HELD_OUT
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), learn.alias("learn"))
-    texts = texts.withColumn("rid", F.xxhash64("doc_id", "text"))
-    counts = stash(word_counts(texts.where("learn")), "counts")
-    end_count = texts.where("learn").count()
-    n, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    n, kinds = n + end_count, kinds + (end_count > 0)
-    top = counts.where(F.col("c") >= OFTEN).orderBy(F.col("c").desc(), "word").limit(HEAD).toPandas().sort_values("word", key=lambda s: s.to_numpy().view(np.uint64))  # HEAD rows at most
-    rows = text_parts(texts, (top["word"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)), end_count)
-    rare, once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)) - int(top["c"].sum()), F.count(F.when(F.col("c") == 1, 1))).first()
-
-    training = rows.where("learn")
-    classes, used = learn_classes(training, top["c"].to_numpy(np.int64))
-    steps = transition_counts(training, classes) + 0.1
-    model = trained(Attention(np.log(steps / steps.sum(axis=1, keepdims=True))), training, classes)
-    found, gains = model_scores(rows, model, classes, used)
-    found = stash(found, "found")
-    per_word = counts.withColumn("gain", F.lit(0.0)) if gains is None else counts.join(gains, "word", "full")
-    scores = found.where("word is null").groupBy("rid").agg(F.sum("score").alias("score"))
-
-    c = F.coalesce("c", F.lit(0))
-    drawn = 1 - (once + 0.5) / (rare + 1.0)  # the chance that a spelt word is one of the training texts'
-    spelt = F.pow(10.0, F.col("spelt") + F.coalesce("gain", F.lit(0.0))) * (1 - drawn) + F.pow(10.0, F.col("begun")) * (drawn / max(rare, 1)) * c
-    others = (
-        found.where("word is not null")
-        .join(per_word.hint("merge"), "word", "left")
-        .groupBy("rid")
-        .agg(F.sum(F.log10(c + 0.5)).alias("rest_sum"), F.sum((c > 0).cast("long")).alias("rest_known"), F.sum(F.log10(spelt + 1e-300)).alias("rest_score"))
+    tokens = encoded(docs.select("doc_id", "text", (remainder(F.col("doc_id"), MODULUS) != HELD_OUT).alias("learn")))
+    counts = counts_of(tokens.where("learn"))
+    counted, words_of = counts.where("is_id"), counts.where("not is_id").select("key", "n")
+    used = counted.select("key", "n").orderBy(F.col("n").desc(), "key").toPandas()  # a row for each id of the vocabulary at most
+    ends = int(used.loc[used["key"] == END, "n"].sum())
+    n, kinds = words_of.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    n, kinds = n + ends, kinds + (ends > 0)
+    rank = np.full(IDS, len(used), np.int32)
+    rank[used["key"].to_numpy(np.int64)] = np.arange(len(used))
+    shares = np.append(used["n"].to_numpy(np.float64), 0) + 0.5
+    shares /= shares.sum()
+    keys, key_counts, least = frequent_words(words_of)
+
+    model = trained(tokens.where("learn"), shares, rank)
+    rows = scored(tokens, model, shares, rank, (keys, key_counts), ends)
+    rare = rows.select("rid", F.explode(F.arrays_zip("words", "times")).alias("w")).select("rid", F.col("w.words").alias("key"), F.col("w.times").alias("times"))
+    met = rare.join(words_of, "key").groupBy("rid").agg(
+        F.sum(F.col("times") * F.log10(F.col("n") + 0.5)).alias("rest_sum"), F.sum("times").alias("rest_known")
     )
-
-    ids = texts.select("doc_id", "learn", "rid").groupBy("rid", "doc_id", "learn").agg(F.count(F.lit(1)).alias("times"))
-    rows = rows.groupBy("rid").agg(F.first("n_tokens").alias("n_tokens"), F.first("head_known").alias("head_known"), F.first("head_sum").alias("head_sum"))
-    joined = ids.join(rows, "rid").join(scores, "rid").join(others, "rid", "left")
-    part = lambda name: F.coalesce(F.col(name) / F.col("times"), F.lit(0.0))
-    base = F.col("head_sum") + part("rest_sum") - F.col("n_tokens") * F.log10(F.lit(n + 0.5 * (kinds + 1)))
-    return joined.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(
+    rest_known = F.coalesce("rest_known", F.lit(0))
+    base = (
+        F.col("head_sum") + F.coalesce("rest_sum", F.lit(0.0)) + (F.col("others") - rest_known) * math.log10(0.5)
+        - F.col("n_tokens") * math.log10(n + 0.5 * (kinds + 1))
+    )
+    return rows.join(met, "rid", "left").select(
         "doc_id",
         (~F.col("learn")).alias("held_out"),
         "n_tokens",
-        (F.col("head_known") + part("rest_known")).cast("long").alias("n_known"),
+        (F.col("head_known") + rest_known).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        (part("score") + part("rest_score")).alias("score"),
+        "score",
     )

@@ -37,6 +37,9 @@ class Subwords:
         #: Ids after which a sentence or a line ends.
         self.ends = np.zeros(65536, bool)
         self.ends[[i for b, i in ranks.items() if b.strip()[-1:] in (b".", b"!", b"?") or b"\n" in b]] = True
+        #: Ids that begin with a space.
+        self.begins = np.zeros(65536, bool)
+        self.begins[[i for b, i in ranks.items() if b[:1] == b" "]] = True
         self._empty()
 
     def _empty(self) -> None:
@@ -102,3 +105,10 @@ def subwords(ranks_path: str | None = None, use: str = "texts") -> Subwords:
     if key not in _subwords:
         _subwords[key] = Subwords(ranks_path)
     return _subwords[key]
+
+
+def multi_subwords() -> Subwords:
+    """The vocabulary for many languages, for words with a space in front."""
+    import public_tokenizers
+
+    return subwords(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), use="words")
