@@ -11,12 +11,12 @@ from __future__ import annotations
 
 import numpy as np
 
-WIDTH, KEYS = 16, 8
+WIDTH, KEYS = 16, 4
 #: Positions of a window, and how many of them the next window of a text sees again.
 WINDOW, OVERLAP = 32, 4
 HEAD, GROWTH = 24, 1.6
 #: Windows for each step of descent, and its rate.
-BATCH, RATE = 256, 0.15
+BATCH, RATE = 256, 0.2
 SLIGHT = 1e-4
 _LAG = np.arange(WINDOW)[:, None] - np.arange(WINDOW)
 _PAST = _LAG >= 0
@@ -32,6 +32,11 @@ def tier_ends(size: int) -> np.ndarray:
     return np.array(ends)
 
 
+def _largest(vectors: np.ndarray) -> float:
+    """The largest norm of the vectors along the last axis."""
+    return float(np.sqrt(np.einsum("...i,...i->...", vectors, vectors).max(initial=0)))
+
+
 class Attention:
     """A model for as many ids as `shares` has, which holds each id's share of all ids, falling."""
 
@@ -65,9 +70,10 @@ class Attention:
         v[:, :, :WIDTH] = rows[:, _value].reshape(n, w, WIDTH)
         q, k = rows[:, _query].reshape(n, w, KEYS), rows[:, _key].reshape(n, w, KEYS)
         a = q @ k.transpose(0, 2, 1)
-        a += np.where(_PAST[:w, :w], self.p["lag"][np.abs(_LAG[:w, :w])], np.float32(-200))
-        np.minimum(a, np.float32(60), out=a)
+        if _largest(q) * _largest(k) > 50:
+            np.clip(a, -50, 50, out=a)
         np.exp(a, out=a)
+        a *= np.where(_PAST[:w, :w], np.exp(np.clip(self.p["lag"], -25, 25))[np.abs(_LAG[:w, :w])], np.float32(0))
         mixed = a @ v
         total = mixed[:, :, WIDTH:].copy()
         mixed /= total
@@ -99,8 +105,7 @@ class Attention:
         for a, b, low, high, target in parts:
             z = h[a:b] @ self.p["out"][low:high].T
             out[a:b] += z[np.arange(b - a), target]
-            top = z.max(initial=0) > 80
-            if top:  # beyond the range of exp
+            if _largest(h[a:b]) * _largest(self.p["out"][low:high]) > 80 and z.max() > 80:  # beyond the range of exp
                 z -= (most := z.max(axis=1, keepdims=True))
                 out[a:b] -= most[:, 0]
             np.exp(z, out=z)
@@ -118,7 +123,8 @@ class Attention:
         dh, changes = np.zeros((len(at), WIDTH), np.float32), []
         for first, last, low, high, target in parts:
             z = h[first:last] @ out[low:high].T
-            np.minimum(z, np.float32(80), out=z)
+            if _largest(h[first:last]) * _largest(out[low:high]) > 80:
+                np.minimum(z, np.float32(80), out=z)
             np.exp(z, out=z)
             z *= (1 / (z @ np.ones(high - low, np.float32)))[:, None]
             z[np.arange(last - first), target] -= 1
