@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import pytest
 
+from bathyal.llm import exact_dedup as exact_dedup_module
 from bathyal.llm.exact_dedup import exact_dedup, keep_one_of_each
 from bathyal.llm.line_dedup import line_dedup
 
@@ -38,11 +39,31 @@ def test_exact_dedup_hot_group(spark):
     assert sum(r.kept for r in got.values()) == 1001 and got[1].keep_id == 2999 and got[1].group_size == 2000
 
 
-def test_keep_one_of_each_keeps_columns(docs):
-    kept = keep_one_of_each(docs)
+def test_exact_dedup_in_many_chunks(docs, table, monkeypatch):
+    """Results don't depend on what is combined locally."""
+    want = sorted((tuple(r) for r in exact_dedup(docs).collect()), key=repr)
+    monkeypatch.setattr(exact_dedup_module, "CHUNK_BYTES", 1)
+    got = sorted((tuple(r) for r in exact_dedup(docs.repartition(9)).collect()), key=repr)
+    assert got == want
+
+
+@pytest.mark.parametrize("parts, digest_bytes", [(1, 32), (3, 32), (4, 1)])
+def test_keep_one_of_each_keeps_one_row_of_each(spark, docs, table, parts, digest_bytes):
+    kept = keep_one_of_each(docs.repartition(parts), digest_bytes)
     assert kept.columns == docs.columns
-    texts = [(r.text or "").translate(LOWER) for r in kept.collect() if r.doc_id != 4]
-    assert len(texts) == len(set(texts))
+    best = {}
+    for i, t in table:
+        key = (t or "").translate(LOWER)
+        best[key] = max(best.get(key, -1), -1 if i is None else i)
+    got = [((r.text or "").translate(LOWER), -1 if r.doc_id is None else r.doc_id) for r in kept.collect()]
+    assert sorted(got) == sorted(best.items())
+
+
+def test_keep_one_of_each_of_repeated_ids(spark):
+    rows = [(4, "same text"), (4, "same text"), (4, "other"), (9, "SAME text"), (7, "aaa"), (7, "aaa"), (None, "x"), (None, "X"), (None, "y")]
+    for parts in (1, 5):
+        kept = keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        assert sorted((str(r.doc_id), r.text.lower()) for r in kept) == [("4", "other"), ("7", "aaa"), ("9", "same text"), ("None", "x"), ("None", "y")]
 
 
 def brute_lines(table, min_chars=40, min_docs=5):
