@@ -2,8 +2,9 @@
 
 Lines are exploded with their position, normalised and hashed; distinct documents are counted per hash (in two steps, so a
 line that a third of all documents hold is counted in parts); lines over the threshold lose all but the largest document's
-copies; texts are put together again by position. Only 16-byte hashes are shuffled to count and to find lines; a text
-travels once, to meet the list of its dropped positions.
+copies; texts are put together again by position. Lines are exploded and hashed once; only their 16-byte hashes are shuffled
+to count and to find lines. A hash meets its count under SALTS salts, so no line is one task's. A text travels once, to meet
+the list of its dropped positions.
 
 Defined cases: a null or empty text is one empty line. Lines of documents without an id count for no document and are only
 dropped when five others hold them. Rows that repeat one doc_id count as one document. An empty table gives an empty
@@ -15,7 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, ascii_lower
+from .common import WHITE, ascii_lower, stash
+
+SALTS = 16
 
 
 def line_key(line: Column) -> Column:
@@ -28,14 +31,16 @@ def dropped_positions(docs: DataFrame, min_chars: int, min_docs: int) -> DataFra
     lines = keyed.where(F.length("key") >= min_chars).select(
         "doc_id", "text_hash", "pos", F.substring(F.unhex(F.sha2("key", 256)), 1, 16).alias("hash")
     )
+    lines = stash(lines, "lines")
     common = (
         lines.groupBy("hash")
         .agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("last_id"))
         .where(F.col("n_docs") >= min_docs)
-        .drop("n_docs")
+        .select("hash", "last_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     )
+    salted = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)).cast("int"))
     return (
-        lines.join(common, "hash")
+        salted.join(common, ["hash", "salt"])
         .where(~F.col("doc_id").eqNullSafe(F.col("last_id")))
         .groupBy("doc_id", "text_hash")
         .agg(F.collect_list("pos").alias("dropped"))
