@@ -12,9 +12,9 @@ Groups need no pairs of all members. Texts with one set are one class, and only
 bucket two leaders, the smallest id and the one in the fullest buckets, meet all members: a number of pairs that is linear in
 the rows. Connected components of the confirmed links follow. Only buckets whose members are still in different components
 hold links that could matter; their members outside the bucket's largest component then meet all others, in blocks of BLOCK
-members, each block pair in a task of its own. There a pair is looked at in the first band that it shares, if it isn't
-connected yet, its sketches are near and then its full sets (64-bit hashes of all shingles) are similar enough; a task
-returns the links that connect its members, fewer than it has members.
+members. There a pair is looked at in the first band that it shares, if it isn't connected yet and its sketches are near. Only
+members of such pairs get their full sets (64-bit hashes of all shingles), which each block's task compares; it returns the
+links that connect its members, fewer than it has members. All links, those within a class among them, are confirmed on words.
 
 Defined cases: a text with fewer words than a shingle is one shingle; without words its set is empty and it links with
 nothing. Rows that repeat a doc_id share its component; a null id is a component of its own. An empty table gives an empty
@@ -23,6 +23,7 @@ result. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -39,6 +40,8 @@ ROWS, BANDS = 5, 34
 SAMPLES = ROWS * BANDS
 SKETCH_BITS, SET_BITS, MARGIN = 1024, 2048, 4.0
 BLOCK = 512
+#: Rows whose blocks are looked at together; salts that a set of many documents is dealt out by.
+CHUNK_ROWS, SALTS = 1 << 13, 16
 
 _rng = np.random.default_rng(4)
 _TIMES = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -48,10 +51,8 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _TO_LOWER = str.maketrans(UPPER, LOWER)
 
 
-def shingle_hashes(part, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all shingles of a slice, and the bounds of each text's."""
-    starts, ends, bounds = words(part)
-    h = span_hashes(ASCII_LOWER[part.data], starts, ends)
+def shingle_hashes(h: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of some texts from their words' hashes, and the bounds of each text's."""
     n = np.diff(bounds)
     pieces = np.where(n == 0, 0, np.maximum(n - size + 1, 1))
     out_bounds = np.concatenate([[0], np.cumsum(pieces)])
@@ -65,15 +66,37 @@ def shingle_hashes(part, size: int) -> tuple[np.ndarray, np.ndarray]:
     return out, out_bounds
 
 
+def text_sets(texts: pa.Array, size: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """First and end row and the sorted sets of shingle hashes of some rows at a time. A long text comes in pieces: each but the
+    last hands its last words on, so that no shingle is lost where pieces meet."""
+    tail, found = np.zeros(0, np.uint64), []
+    for part in slices(texts, split=True):
+        starts, ends, bounds = words(part)
+        h = span_hashes(ASCII_LOWER[part.data], starts, ends)
+        goes_on = part.first == part.last
+        if goes_on or found or len(tail):
+            h = np.concatenate([tail, h])
+            if goes_on:
+                if len(h) >= size:
+                    found.append(np.unique(shingle_hashes(h, np.array([0, len(h)]), size)[0]))
+                tail = h[max(0, len(h) - size + 1) :] if size > 1 else h[:0]
+                continue
+            if len(h) >= size or not found:
+                found.append(np.unique(shingle_hashes(h, np.array([0, len(h)]), size)[0]))
+            yield part.first, part.last, [np.unique(np.concatenate(found))]
+            tail, found = np.zeros(0, np.uint64), []
+            continue
+        hashes, cuts = shingle_hashes(h, bounds, size)
+        yield part.first, part.last, [np.unique(hashes[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def signatures(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n_shingles, set_hash (16 bytes), bands, sketch (of the minima, then of the set), for each row of docs."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
-            for part in slices(batch.column("text")):
-                hashes, bounds = shingle_hashes(part, size)
-                sets = [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            for begin, end, sets in text_sets(batch.column("text"), size):
                 n = np.array([len(s) for s in sets])
                 full = np.flatnonzero(n)
                 flat = np.concatenate([sets[i] for i in full]) if len(full) else np.zeros(0, np.uint64)
@@ -96,7 +119,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 flat_bands = pa.array(bands.view(np.int64).ravel())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(part.first, part.last - part.first),
+                        ids.slice(begin, end - begin),
                         pa.array(n, pa.int64()),
                         pa.array([x.tobytes() for x in set_hash], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat_bands) + 1, BANDS), pa.int32()), flat_bands),
@@ -219,17 +242,48 @@ def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
-            for part in slices(batch.column("text")):
-                hashes, bounds = shingle_hashes(part, size)
-                found = [np.unique(hashes[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([ids.slice(part.first, len(found)), pa.array(found, pa.binary())], names=["doc_id", "shingles"])
+            for begin, end, sets in text_sets(batch.column("text"), size):
+                yield pa.RecordBatch.from_arrays([ids.slice(begin, end - begin), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "shingles"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     return texts.select("doc_id", "text").mapInArrow(sets, f"doc_id {kind}, shingles binary")
 
 
+def in_doubt(dealt: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The rows of dealt, whose blocks are (bucket, low, high), that hold a pair of different components whose sizes and
+    sketches leave a link possible, in the first band that the pair shares. Blocks are worked on many at a time."""
+    chunks = max(1, math.ceil(dealt.count() / CHUNK_ROWS))
+    rows = dealt.join(reps, "doc_id").withColumn("chunk", F.pmod(F.xxhash64("bucket", "low", "high"), F.lit(chunks)))
+
+    def doubtful(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["bucket", "low", "high", "doc_id"], ignore_index=True)
+        bits, bands = _bits(rows["sketch"]), np.vstack(rows["bands"].to_numpy())
+        n, own, band = (rows[c].to_numpy() for c in ("n_shingles", "own", "band"))
+        block = rows.groupby(["bucket", "low", "high"], sort=False).ngroup().to_numpy()
+        inner = (rows["low"] == rows["high"]).to_numpy()
+        group = np.unique(rows["component"].to_numpy(), return_inverse=True)[1]
+        found = np.zeros(len(rows), bool)
+        i, step = np.arange(len(rows)), 0
+        while len(i):  # all pairs of a block, by their distance in the sorted rows
+            step += 1
+            i = i[i + step < len(rows)]
+            i = i[block[i] == block[i + step]]
+            j = i + step
+            new = (group[i] != group[j]) & (inner[i] | (own[i] != own[j]))
+            new &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+            a, b = i[new], j[new]
+            if len(a):
+                new = (bands[a] == bands[b]).argmax(axis=1) == band[a]
+                a, b = a[new], b[new]
+                new = sketches_near(bits[a], bits[b], n[a], n[b], percent)
+                found[a[new]] = found[b[new]] = True
+        return rows.loc[found, ["bucket", "band", "doc_id", "component", "own", "low", "high"]]
+
+    return rows.groupBy("chunk").applyInPandas(doubtful, dealt.select("bucket", "band", "doc_id", "component", "own", "low", "high").schema)
+
+
 def remaining_links(buckets: DataFrame, found: DataFrame, reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame | None:
-    """Links (a, b) that connect members of one bucket in different components, block by block; None if no bucket is left."""
+    """Links (a, b) that connect members of one bucket in different components, block by block; None if there can't be any."""
     members = buckets.join(found, "doc_id", "left").select("bucket", "band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     sizes = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     split = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"))
@@ -250,13 +304,16 @@ def remaining_links(buckets: DataFrame, found: DataFrame, reps: DataFrame, texts
     member = member.withColumn("own", F.when(outer, -1 - block("outer_blocks")).otherwise(block("blocks")))
     dealt = member.select("bucket", "band", "doc_id", "component", "own", F.explode(met).alias("other"))
     dealt = dealt.select("bucket", "band", "doc_id", "component", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    dealt = stash(dealt, "dealt")
+    dealt = stash(in_doubt(stash(dealt, "dealt"), reps, percent), "doubt")
+    if dealt.isEmpty():
+        return None
     wanted = texts.join(dealt.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
     sets = shingle_sets(wanted, size).dropDuplicates(["doc_id"])
     rows = dealt.join(reps.join(sets, "doc_id"), "doc_id")
 
     def compared(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         _, low, high = key
+        rows = rows.sort_values("doc_id")
         bits, n, own, ids = _bits(rows["sketch"]), rows["n_shingles"].to_numpy(), rows["own"].to_numpy(), rows["doc_id"].to_numpy()
         bands, band = np.vstack(rows["bands"].to_numpy()), rows["band"].iloc[0]
         sets = [np.frombuffer(b, np.uint64) for b in rows["shingles"]]
@@ -274,7 +331,8 @@ def remaining_links(buckets: DataFrame, found: DataFrame, reps: DataFrame, texts
                         group[group == group[j]] = group[i]
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    return rows.groupBy("bucket", "low", "high").applyInPandas(compared, "a long, b long").distinct()
+    found = stash(rows.groupBy("bucket", "low", "high").applyInPandas(compared, "a long, b long").distinct(), "rest")
+    return confirmed(found, texts, size, percent)  # hashes told these; words confirm them
 
 
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -282,12 +340,15 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     texts = docs.select("doc_id", "text")
     signed = stash(signatures(texts, size), "signed")
     full = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    first = full.groupBy("set_hash").agg(F.min("doc_id").alias("first_id"))
-    classes = stash(full.select("doc_id", "set_hash").join(first, "set_hash").select("doc_id", "first_id").distinct(), "classes")
-    same = classes.where("doc_id <> first_id").select(F.col("first_id").alias("a"), F.col("doc_id").alias("b"))
-    reps = full.join(first.select(F.col("first_id").alias("doc_id"), F.col("set_hash").alias("its_hash")), "doc_id")
-    reps = reps.where(F.col("set_hash") == F.col("its_hash")).dropDuplicates(["doc_id"])
-    reps = stash(reps.select("doc_id", "n_shingles", "bands", "sketch"), "representatives")
+    alike = full.groupBy("set_hash").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    salted = full.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    classes = salted.join(alike.select("set_hash", "first_id", salts), ["set_hash", "salt"], "left")
+    classes = stash(classes.select("doc_id", "n_shingles", "bands", "sketch", F.coalesce("first_id", "doc_id").alias("first_id")), "classes")
+    same = classes.where("doc_id <> first_id").select(F.col("first_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+    same = stash(confirmed(same, texts, size, percent), "same")
+    reps = classes.where("doc_id = first_id").drop("first_id").dropDuplicates(["doc_id"])
+    reps = stash(reps, "representatives")
     buckets = reps.select("doc_id", F.posexplode("bands").alias("band", "hash")).select("doc_id", "band", F.xxhash64("band", "hash").alias("bucket"))
     crowded = buckets.groupBy("bucket").count().where("count > 1").select("bucket")
     buckets = stash(buckets.join(crowded, "bucket", "left_semi"), "buckets")
