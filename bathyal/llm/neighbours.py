@@ -12,7 +12,8 @@ group, whose size doesn't depend on the data, and yields k rows per query. These
 
 Defined cases: vectors that are null or zero, or hold a null or a component that isn't finite, take no part, nor do vectors
 whose length isn't the most frequent one (the larger among equals), nor rows without an id. Equal scores rank by the smaller
-id. Of rows that repeat an id each is a candidate, but for a query no row with its own id is. Fewer candidates than k are
+id. Of rows that repeat an id each is a candidate, but for a query no row with its own id is; of rows that repeat a query's id
+the least vector asks. Inner products beyond the range of doubles are infinite and rank as such. Fewer candidates than k are
 all returned. An empty table gives an empty result. Other columns are ignored.
 """
 
@@ -68,9 +69,12 @@ REACH = _reach()
 class Block:
     """Vectors of one block with a sorted array for each projection."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, largest: float):
-        self.ids, self.vectors, self.largest = ids, vectors, largest
-        lifted = np.hstack([vectors / largest, np.sqrt(np.maximum(0, 1 - (vectors**2).sum(axis=1) / largest**2))[:, None]])
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, peak: float, largest: float):
+        """peak: the largest component of all vectors; largest: the largest norm of all vectors over peak. Vectors are divided
+        by one after the other, so that no square can overflow."""
+        self.ids, self.vectors = ids, vectors
+        self.units = vectors / peak / largest
+        lifted = np.hstack([self.units, np.sqrt(np.maximum(0, 1 - (self.units**2).sum(axis=1)))[:, None]])
         self.turn = directions(lifted.shape[1])
         places = (lifted @ self.turn).T
         order = np.argsort(places, axis=1, kind="stable")
@@ -81,37 +85,38 @@ class Block:
         np.put_along_axis(self.place, order, np.arange(len(ids), dtype=kind)[None, :], axis=1)
 
     def nearest(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        norm = math.sqrt(float(query @ query))
-        centre = np.append(query / norm, 0.0) @ self.turn
+        unit = query / np.abs(query).max()
+        unit /= math.sqrt(float(unit @ unit))
+        centre = np.append(unit, 0.0) @ self.turn
         need = math.ceil(THRESHOLD * PROJECTIONS)
         known = self.ids == query_id
-        best_ids, best = np.zeros(0, np.int64), np.zeros(0)
+        best_rows, best = np.zeros(0, np.int64), np.zeros(0)
         width = FIRST_WIDTH
-        while True:
+        while not known.all():
             ranges = np.array([np.searchsorted(line, (c - width, c + width)) for line, c in zip(self.sorted, centre, strict=True)])
             low, length = (part.astype(self.place.dtype) for part in (ranges[:, :1], ranges[:, 1:] - ranges[:, :1]))
             counts = ((self.place - low) < length).view(np.uint8).sum(axis=0, dtype=np.uint8)  # a place below `low` wraps round
             new = np.flatnonzero((counts >= need) & ~known)
             if len(new):
                 known[new] = True
-                scores = np.einsum("ij,j->i", self.vectors[new], query)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    scores = np.nan_to_num(np.einsum("ij,j->i", self.vectors[new], query), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
                 if len(best) >= k:
                     new, scores = new[scores >= best[k - 1]], scores[scores >= best[k - 1]]
                 elif len(new) > 4 * k:
                     worst = np.partition(scores, len(scores) - k)[len(scores) - k]
                     new, scores = new[scores >= worst], scores[scores >= worst]
-                best_ids, best = np.append(best_ids, self.ids[new]), np.append(best, scores)
-                keep = np.lexsort((best_ids, -best))[:k]
-                best_ids, best = best_ids[keep], best[keep]
-            if known.all():
-                return best_ids, best
+                best_rows, best = np.append(best_rows, new), np.append(best, scores)
+                keep = np.lexsort((self.ids[best_rows], -best))[:k]
+                best_rows, best = best_rows[keep], best[keep]
             if len(best) >= k:
-                distance = math.sqrt(max(0.0, 2 - 2 * best[k - 1] / (norm * self.largest)))
+                distance = math.sqrt(max(0.0, 2 - 2 * float(self.units[best_rows[k - 1]] @ unit)))
                 if REACH * distance <= width:
-                    return best_ids, best
+                    break
                 width = min(width * GROWTH, REACH * distance)
             else:
                 width *= GROWTH
+        return self.ids[best_rows], best
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
         found = [self.nearest(i, q, k) for i, q in zip(query_ids.tolist(), queries, strict=True)]
@@ -128,18 +133,19 @@ def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = 20) -> Data
     """query_id, rank, vec_id, score; queries are the rows whose vec_id is divisible by `every`."""
     rows = stash(usable(vectors), "vectors")
     queries = rows.where(F.col("vec_id") % every == 0)
-    squares = F.aggregate("embedding", F.lit(0.0), lambda s, c: s + c * c)
-    n, largest = rows.agg(F.count(F.lit(1)), F.sqrt(F.max(squares))).first()
+    n, peak = rows.agg(F.count(F.lit(1)), F.max(F.array_max(F.transform("embedding", F.abs)))).first()
+    squares = F.aggregate("embedding", F.lit(0.0), lambda s, c: s + (c / peak) * (c / peak))
+    largest = rows.agg(F.sqrt(F.max(squares))).first()[0] if n else 1.0
     blocks, chunks = math.ceil(n / BLOCK) or 1, math.ceil(queries.count() / CHUNK) or 1
     part = lambda parts, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(parts)).cast("int")
     each = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     left = rows.withColumn("block", part(blocks, 1)).withColumn("chunk", each(chunks))
-    right = queries.dropDuplicates(["vec_id"]).withColumn("chunk", part(chunks, 2)).withColumn("block", each(blocks))
+    right = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("chunk", part(chunks, 2)).withColumn("block", each(blocks))
 
     def searched(_: tuple, block: pd.DataFrame, chunk: pd.DataFrame) -> pd.DataFrame:
         if not len(block) or not len(chunk):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        index = Block(block["vec_id"].to_numpy(np.int64), np.vstack(block["embedding"].to_numpy()), largest)
+        index = Block(block["vec_id"].to_numpy(np.int64), np.vstack(block["embedding"].to_numpy()), peak, largest)
         return index.search(chunk["vec_id"].to_numpy(np.int64), np.vstack(chunk["embedding"].to_numpy()), k)
 
     found = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(searched, FOUND)

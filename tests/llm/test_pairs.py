@@ -103,6 +103,16 @@ def test_words_of_slices():
     assert found == [WORD.findall(t or "") for t in texts]
 
 
+@pytest.mark.parametrize("size", [1, 2, 5])
+def test_long_texts_lose_no_shingle_between_pieces(size, monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"{'abcdefg'[rng.integers(7)]}{rng.integers(50)}" for _ in range(n)) for n in (0, 1, 2, 5, 3000, 7, 1)] + [None, "x" * 9000, " \n" * 4000 + "one two", "a b c d e f g h"]
+    whole = [s.tolist() for _, _, sets in minhash.text_sets(pa.array(texts), size) for s in sets]
+    monkeypatch.setattr(minhash, "slices", lambda column, split: slices(column, 100, split))
+    pieces = [s.tolist() for _, _, sets in minhash.text_sets(pa.array(texts), size) for s in sets]
+    assert pieces == whole and len(whole) == len(texts)
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, score double, rank int")
 
@@ -135,6 +145,24 @@ def test_neighbours_few_and_none(spark):
     assert neighbours.nearest_neighbours(few.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rows", [
+    [(0, [1e-170, 0.0]), (1, [1e-170, 1e-170]), (2, [2e-170, 0.0])],
+    [(0, [1.0, 0.0]), (1, [1e200, 0.0]), (2, [0.0, 1.0])],
+    [(0, [1.7e308, 1.7e308]), (1, [1.7e308, -1.7e308]), (2, [1e-300, 1.0])],
+])
+def test_neighbours_of_extreme_vectors(spark, rows):
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in neighbours.nearest_neighbours(frame, 20, 5).orderBy("rank").collect()]
+    assert sorted(i for i, _ in got) == [1, 2] and got[0][1] >= got[1][1]
+
+
+def test_neighbours_of_a_repeated_query(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 1.0]), (2, [1.0, 3.0])]
+    for parts in (1, 4):
+        frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(parts)
+        assert [(r.vec_id, r.score) for r in neighbours.nearest_neighbours(frame, 20, 5).orderBy("rank").collect()] == [(2, 3.0), (1, 1.0)]
+
+
 def test_neighbours_recall_on_the_table(spark, sf):
     rows = [(r.vec_id, np.array(r.embedding, float)) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     ids, v = np.array([i for i, _ in rows]), np.vstack([x for _, x in rows])
