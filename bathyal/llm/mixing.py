@@ -2,12 +2,14 @@
 
 A source's target is its share of the mix by weight, but at most `most` times its size; what is above is shared again
 by weight. In a source whose target is r times its size, every document gets floor(r) whole copies for certain. The rest of
-the target is a sample without replacement: documents are ranked by random odds over inclusion odds,
-U / (1 - U) / (p / (1 - p)) with p = r - floor(r), and the first ones whose words make up the rest are taken. The sample is
-fixed in words, so a source misses its target by half of one document at most.
+the target is a sample without replacement with unequal inclusion odds: a document of n words has the odds
+p / (1 - p) * bits(n) / MIDDLE with p = r - floor(r), where bits(n) is the number of binary digits of n, so that long documents
+are somewhat likelier than short ones. Documents are ranked by their random odds U / (1 - U) over these inclusion odds, and the
+first ones whose words make up the rest are taken. The sample is fixed in words, so a source misses its target by half of one
+document at most.
 
-Ranks need no sort of a whole source: words are summed per (source, slice of U), which gives each slice its start, and only
-rows of one slice are ranked among themselves. U depends on the seed and doc_id alone, so reruns agree.
+Ranks need no sort of a whole source: words are summed per (source, slice of the rank q, by q / (1 + q)), which gives each
+slice its start, and only rows of one slice are ranked among themselves. U depends on the seed and doc_id alone, so reruns agree.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order. Documents of size 0 take no
 words. A source without words has target 0. Rows that repeat one doc_id in one source with one size are taken alike.
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import stash, uniform, word_count
 
 SLICES = 4096
+#: Binary digits of a document's size at which its inclusion odds are those of its source.
+MIDDLE = 8.0
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
@@ -65,14 +69,16 @@ def mix_plan(
     targets = stash(targets, "targets")
 
     u = uniform(F.lit(seed), F.col("doc_id"))
-    drawn = sizes.withColumn("key", _source_key(F.col("source"))).withColumn("u", u)
-    drawn = drawn.withColumn("slice", F.floor(F.col("u") * slices).cast("int")).withColumn("words", F.col("size") * F.col("n_rows"))
+    bits = F.length(F.bin("size"))
+    drawn = sizes.withColumns({"key": _source_key(F.col("source")), "u": u, "words": F.col("size") * F.col("n_rows")})
+    drawn = drawn.join(targets, "key")
+    odds = F.col("p") / (1 - F.col("p")) * bits / MIDDLE
+    drawn = drawn.withColumn("rank", F.when(F.col("p") > 0, F.col("u") / (1 - F.col("u")) / odds).otherwise(F.col("u")))
+    drawn = drawn.withColumn("slice", F.floor(F.col("rank") / (1 + F.col("rank")) * slices).cast("int"))
     per_slice = drawn.groupBy("key", "slice").agg(F.sum("words").alias("words"))
     earlier = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_slice.select("key", "slice", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("slice_start"))
-    starts = starts.join(targets, "key")
-    odds = F.col("u") / (1 - F.col("u")) / (F.col("p") / (1 - F.col("p")))
-    ranked = drawn.join(starts, ["key", "slice"]).withColumn("rank", F.when(F.col("p") > 0, odds).otherwise(F.col("u")))
+    ranked = drawn.join(starts, ["key", "slice"])
     within = Window.partitionBy("key", "slice").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("slice_start") + F.coalesce(F.sum("words").over(within), F.lit(0))
     extra = (F.col("left") > 0) & (start + F.col("words") / 2 <= F.col("left"))

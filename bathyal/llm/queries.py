@@ -136,11 +136,14 @@ o AS (
 t AS (
   SELECT source, source_size,
          least(cap, weight * (SELECT arg_min(level, place) FROM o WHERE level * weight <= cap))::DOUBLE AS target FROM o),
-r AS (
+p AS (
   SELECT d.*, t.source_size, t.target, floor(t.target / t.source_size) AS whole,
-         t.target - floor(t.target / t.source_size) * t.source_size AS rest,
-         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY u, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+         t.target - floor(t.target / t.source_size) * t.source_size AS rest, rest / t.source_size AS p,
+         CASE WHEN p > 0 THEN u / (1 - u) / (p / (1 - p) * length(bin(size)) / 8.0) ELSE u END AS rank
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+r AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM p)
 SELECT doc_id, size, source_size, target,
        (size * (whole + CASE WHEN rest > 0 AND start + size / 2.0 <= rest THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM r
