@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +59,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def passing(spark: SparkSession, path: str) -> None:
+    """Has the path removed when the session's file system closes."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it again, which cuts its lineage.
 
@@ -63,6 +78,43 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stash/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    passing(spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Numbers of a flat array that are summed up together.
+BLOCK = 1 << 16
+BLOCKS = "block int, part int, weight double, values binary"
+
+
+def blocks_of(values: np.ndarray, weight: float, part: int) -> pa.RecordBatch:
+    """A flat array as rows of BLOCKS, for block_sums."""
+    flat = np.ascontiguousarray(values, np.float64).ravel()
+    pieces = [flat[i : i + BLOCK].tobytes() for i in range(0, len(flat), BLOCK)]
+    n = len(pieces)
+    columns = [pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, float(weight))), pa.array(pieces, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["block", "part", "weight", "values"])
+
+
+def block_sums(parts: DataFrame) -> tuple[float, np.ndarray] | None:
+    """The sum of all parts' weights and of their arrays, which come as rows of BLOCKS; None without any part.
+
+    A tree: each block is first summed over about the square root of all parts at a time, then over these sums, so no task
+    gets more than that many pieces. The driver gets one array.
+    """
+
+    def added(keys: list[str]):
+        def add(rows: pd.DataFrame) -> pd.DataFrame:
+            total = np.zeros(len(rows["values"].iloc[0]) // 8)
+            for raw in rows["values"]:
+                total += np.frombuffer(raw)
+            return rows.iloc[:1][keys].assign(weight=rows["weight"].sum(), values=[total.tobytes()])
+
+        return add
+
+    branches = max(1, math.isqrt(parts.rdd.getNumPartitions()))
+    first = parts.withColumn("branch", F.col("part") % branches).groupBy("block", "branch")
+    first = first.applyInPandas(added(["block", "branch"]), "block int, branch int, weight double, values binary")
+    rows = first.groupBy("block").applyInPandas(added(["block"]), "block int, weight double, values binary").collect()
+    rows.sort(key=lambda r: r["block"])
+    return (rows[0]["weight"], np.concatenate([np.frombuffer(r["values"]) for r in rows])) if rows else None

@@ -24,7 +24,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .attention import BATCH, OVERLAP, WINDOW, Attention, window_ids, windows
 from .bytestext import ASCII_LOWER, group_sums, slices, span_hashes, words
-from .common import remainder, stash
+from .common import BLOCKS, block_sums, blocks_of, remainder, stash
 from .subwords import multi_subwords
 
 MODULUS, HELD_OUT = 5, 1
@@ -43,8 +42,6 @@ LOCAL_MODELS = 4096
 #: Words that all tasks hold, and the places of their table.
 HEAD, SLOTS = 1 << 16, 1 << 18
 MERGE_AT = 4 << 20
-#: Numbers that are summed up together when models are averaged.
-BLOCK = 1 << 16
 END, IDS = 50256, 50257
 PIECE_BYTES = 1 << 20
 
@@ -163,28 +160,6 @@ def frequent_words(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
 # ---- training ---------------------------------------------------------------------------------------------------------
 
 
-def block_means(parts: DataFrame) -> np.ndarray | None:
-    """The mean by weight of flat arrays that come as rows: block, part, weight, values (float64 bytes, times the weight).
-
-    A block is first summed over about the square root of all parts at a time, then over these sums.
-    """
-
-    def added(keys: list[str]):
-        def add(rows: pd.DataFrame) -> pd.DataFrame:
-            total = np.zeros(len(rows["values"].iloc[0]) // 8)
-            for raw in rows["values"]:
-                total += np.frombuffer(raw)
-            return rows.iloc[:1][keys].assign(weight=rows["weight"].sum(), values=[total.tobytes()])
-
-        return add
-
-    branches = max(1, math.isqrt(parts.rdd.getNumPartitions()))
-    first = parts.withColumn("branch", F.col("part") % branches).groupBy("block", "branch")
-    first = first.applyInPandas(added(["block", "branch"]), "block int, branch int, weight double, values binary")
-    rows = first.groupBy("block").applyInPandas(added(["block"]), "block int, weight double, values binary").collect()
-    return np.concatenate([np.frombuffer(r["values"]) / r["weight"] for r in sorted(rows, key=lambda r: r["block"])]) if rows else None
-
-
 def trained(tokens: DataFrame, shares: np.ndarray, rank: np.ndarray) -> Attention:
     """A model that has seen every window of tokens once. rank: the number of each id among the model's."""
     model, spark = Attention(shares), tokens.sparkSession
@@ -208,17 +183,11 @@ def trained(tokens: DataFrame, shares: np.ndarray, rank: np.ndarray) -> Attentio
                     mine.step(*window_ids(y, x, start[w], end[w])[:3])
                 seen += len(ids)
             if seen:
-                total = mine.flat().astype(np.float64) * seen
-                blocks = [total[i : i + BLOCK].tobytes() for i in range(0, len(total), BLOCK)]
-                n = len(blocks)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, float(seen))), pa.array(blocks, pa.binary())],
-                    names=["block", "part", "weight", "values"],
-                )
+                yield blocks_of(mine.flat().astype(np.float64) * seen, seen, part)
 
-        mean = block_means(tokens.where(F.col("turn") == turn).select("ids").mapInArrow(local, "block int, part int, weight double, values binary"))
-        if mean is not None:
-            model.load(mean)
+        sums = block_sums(tokens.where(F.col("turn") == turn).select("ids").mapInArrow(local, BLOCKS))
+        if sums is not None:
+            model.load(sums[1] / sums[0])
         sent.destroy()
     return model
 

@@ -2,7 +2,7 @@
 
 Every whole text becomes a vector of statistics (lengths, kinds of characters, repetition). Random Fourier features
 approximate a Gaussian kernel over the standardised statistics. Each partition of labelled rows sums its own normal
-equations; the sums meet row by row of the matrix, not in one task, and the ridge weights are solved for on the driver, which
+equations; the sums meet as a tree of block sums, not in one task, and the ridge weights are solved for on the driver, which
 gets one matrix of fixed size. Isotonic regression on labelled rows that the ridge fit hasn't seen turns raw scores into
 probabilities; it needs label sums per 1/BINS of the raw score, a number of rows that is fixed too.
 
@@ -20,11 +20,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytestext import ASCII_LOWER, WHITE, Slice, group_sums, per_text, slices, span_hashes, words
-from .common import remainder, stash
+from .common import BLOCKS, block_sums, blocks_of, remainder, stash
 
 FEATURES, RIDGE, BINS, SEED = 192, 1e-3, 400, 7
 MODULUS, HELD_OUT, CALIBRATE = 4, 2, 5
@@ -199,19 +200,17 @@ def fit(labelled: DataFrame) -> Model:
         return model
     width = len(model.weights)
 
-    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((width, width + 1))
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows = np.zeros((width, width + 1)), 0
         for batch in batches:
-            phi = model.features(_stack(batch["x"]))
-            total += phi.T @ np.column_stack([phi, batch["y"].to_numpy(float)])
-        yield pd.DataFrame({"row": np.arange(width), "sums": list(total)})
-
-    def added(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"row": [key[0]], "sums": [np.vstack(rows["sums"].to_numpy()).sum(axis=0)]})
-
-    shape = "row long, sums array<double>"
-    sums = labelled.where("fold > 0").select("x", "y").mapInPandas(summed, shape).groupBy("row").applyInPandas(added, shape)
-    table = np.vstack([r["sums"] for r in sorted(sums.collect(), key=lambda r: r["row"])])  # a matrix of fixed size
+            phi = model.features(_stack(batch.column("x").to_pandas()))
+            total += phi.T @ np.column_stack([phi, batch.column("y").to_numpy(zero_copy_only=False).astype(float)])
+            rows += batch.num_rows
+        if rows:
+            yield blocks_of(total, rows, TaskContext.get().partitionId())
+
+    sums = block_sums(labelled.where("fold > 0").select("x", "y").mapInArrow(summed, BLOCKS))
+    table = sums[1].reshape(width, width + 1) if sums else np.zeros((width, width + 1))  # a matrix of fixed size
     gram, right = table[:, :-1], table[:, -1]
     rows = max(gram[-1, -1], 1.0)
     penalty = np.full(width, RIDGE * rows)
