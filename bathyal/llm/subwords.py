@@ -23,6 +23,10 @@ _AFTER_SPACE = _VISIBLE.copy()
 _AFTER_SPACE[0xC3] = True  # the first byte of U+00C0 to U+00FF, none of which is white space
 
 
+#: First bytes of white space beyond ASCII.
+_OTHER_SPACE = (b"\xc2", b"\xe1", b"\xe2", b"\xe3")
+
+
 class Subwords:
     """Encodes Arrow string arrays; ids fit 16 bits."""
 
@@ -49,10 +53,37 @@ class Subwords:
 
     def _encoded(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, front: bytes) -> tuple[np.ndarray, np.ndarray]:
         raw, encode = data.tobytes(), self.encoding.encode_ordinary
-        lists = [encode((front + raw[s:e]).decode("utf-8", "replace")) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+        spans = [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+        if front == b" " and (found := self._encoded_words(spans)) is not None:
+            return found
+        lists = [encode((front + x).decode("utf-8", "replace")) for x in spans]
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
         return np.fromiter((i for x in lists for i in x), np.uint16, int(lengths.sum())), lengths
 
+    def _encoded_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
+        """All words in one call, parted again where an id begins with a space. Words that might hold other white space, before
+        which the vocabulary's pattern could cut elsewhere in a line, are encoded alone; None if parts and words don't match."""
+        line = b"".join([b" " + w for w in words])
+        odd = [i for i, w in enumerate(words) if any(x in w for x in _OTHER_SPACE)] if any(x in line for x in _OTHER_SPACE) else []
+        if odd:
+            alone = set(odd)
+            line = b"".join([b" " + w for i, w in enumerate(words) if i not in alone])
+        ids = np.array(self.encoding.encode_ordinary(line.decode("utf-8", "replace")), np.uint16)
+        opens = np.flatnonzero(self.begins[ids])
+        if len(opens) != len(words) - len(odd):
+            return None
+        lengths = np.diff(np.append(opens, len(ids)))
+        if not odd:
+            return ids, lengths
+        rest = [self.encoding.encode_ordinary((b" " + words[i]).decode("utf-8", "replace")) for i in odd]
+        plain = np.ones(len(words), bool)
+        plain[odd] = False
+        n = np.zeros(len(words), np.int64)
+        n[plain], n[odd] = lengths, [len(x) for x in rest]
+        out, own = np.zeros(int(n.sum()), np.uint16), np.repeat(plain, n)
+        out[own], out[~own] = ids, [i for x in rest for i in x]
+        return out, n
+
     def located(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, front: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
         """Where in `held` each span's ids begin, with `front` put before the span, and how many there are."""
         slots = (hashes & np.uint64(CACHE_SLOTS - 1)).astype(np.int64)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from bathyal.llm import packing
 from bathyal.llm.mixing import mix, mix_plan, source_targets
 from bathyal.llm.sharding import byte_shards
-from bathyal.llm.subwords import subwords
+from bathyal.llm.subwords import multi_subwords, subwords
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -176,3 +176,32 @@ def test_mix_slices_do_not_matter(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
     few, many = ({r.doc_id: r.copies for r in mix_plan(frame, slices=n).collect()} for n in (1, 4096))
     assert few == many and len(list(product(few))) == 800
+
+
+def test_mix_prefers_long_documents(spark):
+    """Inclusion odds rise with the number of binary digits of the size, and words meet the target all the same."""
+    rows = [(i, " ".join("w" * (2 if i % 2 else 200)), "a" if i % 10 else "b") for i in range(8000)]
+    plan = [r for r in mix_plan(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(2, 3)).collect() if r.source == "a"]
+    assert abs(sum(r.copies * r.size for r in plan) - plan[0].target) <= 100
+    extra = {n: np.mean([r.copies for r in plan if r.size == n]) - int(plan[0].target / plan[0].source_size) for n in (2, 200)}
+    odds = {n: s / (1 - s) for n, s in extra.items()}
+    assert 0 < extra[2] < extra[200] < 1 and 3 < odds[200] / odds[2] < 5.5  # 8 digits to 2
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(st.characters(codec="utf-8", exclude_characters=" \t\n\x0b\x0c\r"), min_size=1, max_size=8), max_size=20))
+def test_words_encoded_in_one_call(words):
+    """Words have the ids that each has alone with a space in front, other white space within them or not."""
+    encoder = multi_subwords()
+    found = encoder._encoded_words([w.encode() for w in words])
+    want = [encoder.encoding.encode_ordinary(" " + w) for w in words]
+    if found is not None:
+        cuts = np.concatenate([[0], np.cumsum(found[1])])
+        assert [found[0][a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:])] == want
+
+
+def test_words_with_other_white_space():
+    encoder = multi_subwords()
+    words = ["a\u00a0", "b", "\u2003c", "\u00e4\u00f6", "d\u3000\u00a0", "\u0085", "e"]
+    ids, n = encoder._encoded_words([w.encode() for w in words])
+    assert ids.tolist() == [i for w in words for i in encoder.encoding.encode_ordinary(" " + w)] and n.sum() == len(ids)
