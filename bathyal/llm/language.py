@@ -29,6 +29,8 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from .common import remainder
 
 PROFILE, MODULUS, HELD_OUT, UNKNOWN = 300, 3, 1, "und"
+#: Texts whose score is lower are in no language that was learnt.
+REJECT = 0.2
 #: A dense table counts n-grams if it has at most DENSE cells for each sign; else they are sorted.
 DENSE, SLICE_CHARS = 16, 1 << 19
 BITS = 21
@@ -173,7 +175,8 @@ def language_id(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
 
 
-def keep_known_language(docs: DataFrame) -> DataFrame:
-    """docs without the rows in whose text no language can be told; a clean text in any language stays."""
+def keep_known_language(docs: DataFrame, least: float = REJECT) -> DataFrame:
+    """docs without the rows that language ID rejects: those without a letter, and those whose n-grams are so far out of place
+    in the nearest profile, with a score under `least`, that they are no text in any language that was learnt."""
     found = identify(docs, docs.where(~held_out(F.col("doc_id"))).select("lang", "text"))
-    return found.where(F.col("__lang") != UNKNOWN).drop("__lang", "__score")
+    return found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).drop("__lang", "__score")
