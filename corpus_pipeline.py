@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bathyal.llm.common import shared_folder
+from bathyal.llm.common import passing, remove, shared_folder
 from bathyal.llm.exact_dedup import keep_one_of_each
 from bathyal.llm.language import keep_known_language
 from bathyal.llm.minhash import keep_one_of_group
@@ -19,7 +19,7 @@ from bathyal.llm.packing import pack
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which no language can be told."""
+    """Drops documents that are in no language: without a letter, or with n-grams unlike those of every language."""
     return keep_known_language(docs)
 
 
@@ -51,10 +51,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over documents; each stage's output is written and read again."""
+    """The last stage's rows over documents. Each stage's output is written and read again; it goes when the next one is
+    written, the last one's input when the session's file system closes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline/{uuid.uuid4().hex}"
+    passing(spark, folder)
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
