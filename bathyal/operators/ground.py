@@ -6,7 +6,7 @@ columns, of a sparse cell table, so a grid of any size is one plan of hash aggre
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bathyal.functions.expressions import cell as cell_of
@@ -34,53 +34,97 @@ def lowest(points: DataFrame, cell: float) -> DataFrame:
     return points.groupBy(cell_of("y", cell).alias("row"), cell_of("x", cell).alias("col")).agg(F.min("z").alias("z"))
 
 
-def _near_ground(points: DataFrame, surface: DataFrame, cell: float, limit: Column) -> DataFrame:
+def slope_surface(surface: DataFrame, cell: float) -> DataFrame:
+    """row, col, z: the size of the gradient, by central differences, or one-sided ones where a neighbour is missing."""
+    own = surface.select("row", "col", "z")
+    side = lambda dr, dc, name: own.select((F.col("row") - dr).alias("row"), (F.col("col") - dc).alias("col"), F.col("z").alias(name))
+    for dr, dc, name in ((0, 1, "e"), (0, -1, "w"), (1, 0, "n"), (-1, 0, "s")):
+        own = own.join(side(dr, dc, name), ["row", "col"], "left")
+    along = lambda a, b: F.coalesce((F.col(a) - F.col(b)) / 2, F.col(a) - F.col("z"), F.col("z") - F.col(b), F.lit(0.0)) / cell
+    gx, gy = along("e", "w"), along("n", "s")
+    return own.select("row", "col", F.sqrt(gx * gx + gy * gy).alias("z"))
+
+
+def _on_surface(points: DataFrame, surface: DataFrame, cell: float) -> DataFrame:
+    """point_id, z, ref and slope: the surface and the size of its gradient, bilinear at each point."""
     at = surface_at(points, surface, cell, fallback=True)
-    return at.select("point_id", (F.abs(F.col("z") - F.col("ref")) <= limit).alias("ground"), (F.col("z") - F.col("ref")).alias("height"))
+    steep = surface_at(points.select("point_id", "x", "y", "z"), slope_surface(surface, cell), cell, fallback=True)
+    return at.select("point_id", "z", "ref").join(steep.select("point_id", F.col("ref").alias("slope")), "point_id")
 
 
 def smrf(points: DataFrame, cell: float = 1.0, slope: float = 0.15, window: float = 18.0, threshold: float = 0.5, scalar: float = 1.25) -> DataFrame:
-    """point_id, ground, height: openings of growing size; a cell that drops by over slope * reach * cell is an object."""
+    """point_id, ground, height: openings of growing size; a cell that drops by over slope * reach * cell is an object. Ground
+    lies within threshold + scalar * slope of the surface without objects."""
     base = saved(lowest(points, cell))
     last, objects = base, None
     for reach in range(1, int(-(-window // cell)) + 1):
-        opened = saved(opening(last, reach))
+        opened = saved(opening(base, reach))
         gone = last.join(opened.withColumnRenamed("z", "o"), ["row", "col"]).where(F.col("z") - F.col("o") > slope * reach * cell).select("row", "col")
         objects = gone if objects is None else objects.union(gone)
         last = opened
-    bare = base.join(objects.distinct(), ["row", "col"], "left_anti")
-    steep = neighbours8(bare).join(bare.withColumnRenamed("z", "own"), ["row", "col"]).where("dr <> 0 or dc <> 0")
-    run = F.sqrt(F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")) * cell
-    steep = steep.groupBy("row", "col").agg(F.max(F.abs(F.col("nz") - F.col("own")) / run).alias("steep"))
-    keyed = points.withColumns({"row": cell_of("y", cell), "col": cell_of("x", cell)}).join(steep, ["row", "col"], "left")
-    near = _near_ground(keyed.drop("row", "col"), bare, cell, threshold + scalar * F.least(F.coalesce("steep", F.lit(0.0)), F.lit(slope)))
-    return near.select("point_id", F.coalesce("ground", F.lit(False)).alias("ground"), "height")
+    bare = saved(base.join(objects.distinct(), ["row", "col"], "left_anti"))
+    height = F.col("z") - F.col("ref")
+    limit = threshold + scalar * F.coalesce("slope", F.lit(0.0))
+    return _on_surface(points, bare, cell).select("point_id", F.coalesce(F.abs(height) <= limit, F.lit(False)).alias("ground"), height.alias("height"))
+
+
+def pmf_windows(cell: float, max_window: float, slope: float, initial_dh: float, max_dh: float) -> list[tuple[int, float]]:
+    """Sizes 2 * 2**k + 1, in cells, of windows of up to max_window metres, and each one's height limit, which follows from the
+    growth of the window before it."""
+    out: list[tuple[int, float]] = []
+    limit, before = initial_dh, 1
+    while (size := 2 * 2 ** len(out) + 1) * cell <= max_window:
+        out.append((size, limit))
+        limit, before = min(slope * (size - before) * cell + initial_dh, max_dh), size
+    return out
 
 
 def pmf(points: DataFrame, cell: float = 1.0, max_window: float = 33.0, slope: float = 0.15, initial_dh: float = 0.15, max_dh: float = 2.5) -> DataFrame:
-    """point_id, ground: windows 2 * 2**k + 1; points over the opened surface by more than the window's height limit aren't ground."""
-    surface, limits, k, before = saved(lowest(points, cell)), [], 0, 1
-    while (size := 2 * 2**k + 1) <= max_window:
-        limits.append((size, min(max_dh, slope * (size - before) * cell + initial_dh)))
-        before, k = size, k + 1
+    """point_id, ground: points over the surface opened by growing windows by more than a window's height limit aren't ground."""
+    surface = saved(lowest(points, cell))
     left = points.select("point_id", "z", cell_of("y", cell).alias("row"), cell_of("x", cell).alias("col"))
-    for size, dh in limits:
+    for size, dh in pmf_windows(cell, max_window, slope, initial_dh, max_dh):
         surface = saved(opening(surface, size // 2))
         left = left.join(surface.withColumnRenamed("z", "o"), ["row", "col"]).where(F.col("z") - F.col("o") <= dh).select("point_id", "z", "row", "col")
     return points.select("point_id").join(left.select("point_id", F.lit(True).alias("g")), "point_id", "left").select("point_id", F.coalesce("g", F.lit(False)).alias("ground"))
 
 
 def grid_minimum(points: DataFrame, cell: float = 5.0, threshold: float = 0.5) -> DataFrame:
-    """point_id, ground: near the 3 x 3 mean of the cells' minima."""
-    mean = neighbours8(lowest(points, cell)).groupBy("row", "col").agg(F.avg("nz").alias("z"))
-    keyed = points.select("point_id", "z", cell_of("y", cell).alias("row"), cell_of("x", cell).alias("col"))
-    return keyed.join(mean.withColumnRenamed("z", "ref"), ["row", "col"]).select("point_id", (F.col("z") - F.col("ref") <= threshold).alias("ground"))
+    """point_id, ground: no higher over the bilinear 3 x 3 mean of the cells' minima than the threshold and slope * cell."""
+    least = lowest(points, cell)
+    mean = neighbours8(least).groupBy("row", "col").agg(F.avg("nz").alias("z"))
+    mean = saved(mean.join(least.select("row", "col"), ["row", "col"], "left_semi"))
+    ground = F.col("z") - F.col("ref") <= threshold + F.coalesce("slope", F.lit(0.0)) * cell
+    return _on_surface(points, mean, cell).select("point_id", F.coalesce(ground, F.lit(False)).alias("ground"))
+
+
+FILTERS = {"smrf": smrf, "pmf": pmf, "gridmin": grid_minimum}
+
+
+def ground(points: DataFrame, method: str, **settings: float) -> DataFrame:
+    """point_id and ground by one of the FILTERS."""
+    return FILTERS[method](points, **settings).select("point_id", "ground")
+
+
+def height_above_ground(points: DataFrame, ground_points: DataFrame, cell: float = 1.0) -> DataFrame:
+    """point_id and height over the mean surface of the ground points; none where no cell of it is near."""
+    surface = ground_points.groupBy(cell_of("y", cell).alias("row"), cell_of("x", cell).alias("col")).agg(F.avg("z").alias("z"))
+    return surface_at(points, surface, cell, fallback=True).select("point_id", (F.col("z") - F.col("ref")).alias("height"))
+
+
+def classify(points: DataFrame, method: str, height_cell: float = 1.0, bands: tuple[float, float, float] = (0.5, 2.0, 5.0), **settings: float) -> DataFrame:
+    """point_id, ground, height, class: a ground filter, then classes of all other points by their height over the
+    mean of ground points in cells of height_cell. settings: the filter's own."""
+    found = saved(points.join(ground(points, method, **settings), "point_id"))
+    height = height_above_ground(found.where("not ground"), found.where("ground"), height_cell)
+    rows = found.select("point_id", "ground").join(height, "point_id", "left")
+    return height_classes(rows, bands)
 
 
 def height_classes(with_height: DataFrame, bands: tuple[float, float, float] = (0.5, 2.0, 5.0)) -> DataFrame:
     """Adds class by height above ground: 2 ground, 1 low, 3, 4 and 5 low, medium and high vegetation."""
     h = F.col("height")
-    kind = F.when(F.col("ground"), 2).when(h < bands[0], 1).when(h < bands[1], 3).when(h < bands[2], 4).otherwise(5)
+    kind = F.when(F.col("ground"), 2).when(h.isNull() | (h < bands[0]), 1).when(h < bands[1], 3).when(h < bands[2], 4).otherwise(5)
     return with_height.withColumn("class", kind)
 
 

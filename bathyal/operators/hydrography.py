@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bathyal.functions.expressions import SIGMA_95, cell as cell_of
 from bathyal.operators.grid import block, median_surface, surface_at, window_max
+from bathyal.operators.flow import cell_components, holes
 from bathyal.operators.graph import saved
 from bathyal.operators.knn import pairs_within
 
@@ -18,6 +19,8 @@ ORDERS = [
     ("1b", 0.5, 0.013, 5.0, 0.05, 5, None),
     ("2", 1.0, 0.023, 20.0, 0.10, 5, None),
 ]
+#: Fixed value: the least vertical uncertainty of a sounding, in metres.
+LEAST_SIGMA = 1e-4
 #: Standard depths of chart contours, in metres.
 STANDARD_DEPTHS = (0, 2, 5, 10, 15, 20, 25, 30, 40, 50, 100, 200, 500, 1000)
 
@@ -86,6 +89,83 @@ def coverage(points: DataFrame, cell: float, min_points: int = 1) -> DataFrame:
     return rows.agg(F.sum("area").alias("area"), F.sum("filled").alias("filled"), (F.sum("filled") / F.sum("area") * 100).alias("pct"))
 
 
+def feature_density(points: DataFrame, order: str, depth: Column) -> DataFrame:
+    """feature_m, spacing_m, ok: whether three soundings at the mean spacing fit into the order's feature size at the median depth; one row."""
+    size = next(o[6] for o in ORDERS if o[0] == order)
+    row = points.agg(F.percentile(depth, F.lit(0.5)).alias("median"), F.sqrt((F.max("x") - F.min("x")) * (F.max("y") - F.min("y")) / F.count(F.lit(1))).alias("spacing_m"))
+    row = row.select(feature_size(order, F.col("median")).alias("feature_m") if size is not None else F.lit(None).cast("double").alias("feature_m"), "spacing_m")
+    return row.select("feature_m", "spacing_m", (F.col("spacing_m") <= F.col("feature_m") / 3).alias("ok"))
+
+
+def order_limits(spark: SparkSession, depth: float) -> DataFrame:
+    """Per order the 95 % limits at a depth."""
+    return orders(spark).select("name", "strictness", tvu(F.lit(depth)).alias("tvu"), thu(F.lit(depth)).alias("thu"))
+
+
+def covered_area(points: DataFrame, cell: float, min_points: int = 1, close_cells: int = 2) -> DataFrame:
+    """row, col, filled: the surveyed area's cells and whether each holds min_points.
+
+    The area is the occupied cells closed by close_cells (a square grows over them that often and shrinks back), with the holes
+    inside filled.
+    """
+    cells = points.groupBy(cell_of("y", cell).alias("row"), cell_of("x", cell).alias("col")).agg(F.count(F.lit(1)).alias("n"))
+    cells = saved(cells.withColumn("filled", F.col("n") >= min_points))
+    step = F.sequence(F.lit(-close_cells), F.lit(close_cells))
+    grown = cells.select("row", F.explode(F.transform(step, lambda d: F.col("col") + d)).alias("col")).distinct()
+    grown = grown.select(F.explode(F.transform(step, lambda d: F.col("row") + d)).alias("row"), "col").distinct()
+    width = 2 * close_cells + 1  # a cell stays if all cells around it have been grown over
+    kept = grown.select("row", F.explode(F.transform(step, lambda d: F.col("col") + d)).alias("col")).groupBy("row", "col").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") == width)
+    kept = kept.select(F.explode(F.transform(step, lambda d: F.col("row") + d)).alias("row"), "col").groupBy("row", "col").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") == width)
+    closed = saved(kept.select("row", "col").union(cells.select("row", "col")).distinct())
+    area = closed.union(holes(closed).select("row", "col"))
+    return area.join(cells.select("row", "col", "filled"), ["row", "col"], "left").select("row", "col", F.coalesce("filled", F.lit(False)).alias("filled"))
+
+
+def holidays(area: DataFrame) -> DataFrame:
+    """cells, filled, holiday_cells, holidays (4-connected gaps) and pct of covered_area's cells; one row."""
+    gaps = cell_components(area.where("not filled").select("row", "col"), diagonal=False)
+    parts = gaps.agg(F.count_distinct("component").alias("holidays"))
+    total = area.agg(F.count(F.lit(1)).alias("cells"), F.count_if("filled").alias("filled"), F.count_if(~F.col("filled")).alias("holiday_cells"))
+    return total.crossJoin(F.broadcast(parts)).withColumn("pct", F.col("filled") / F.col("cells") * 100)  # each is one row
+
+
+def map_cell(points: DataFrame, cell: float, max_cells: float = 40e6) -> DataFrame:
+    """cell: enlarged where the points' extent would need more cells than max_cells; one row."""
+    span = lambda c: F.max(c) - F.min(c)
+    n = (span("x") / cell + 1) * (span("y") / cell + 1)
+    return points.agg(F.when(n > max_cells, cell * F.sqrt(n / max_cells)).otherwise(F.lit(cell)).alias("cell"))
+
+
+def assess(points: DataFrame, order: str = "1a", own_tvu: Column | None = None, reference_cell: float = 1.0, cross: DataFrame | None = None, coverage_cell: float | None = None, min_points: int = 1, coverage: bool = True) -> dict[str, DataFrame]:
+    """Tables of an assessment: depths, limits, residuals and shares within each order's limits, points over the limit,
+    crosslines, coverage and feature density. points: point_id, x, y, z (heights)."""
+    depth = F.abs("z")
+    at = surface_at(points, median_surface(points, reference_cell), reference_cell)
+    rest = saved(at.withColumn("residual", F.col("z") - F.col("ref")))
+    o = next(o for o in ORDERS if o[0] == order)
+    limit = F.sqrt(F.lit(o[1] ** 2) + (o[2] * depth) * (o[2] * depth))
+    spark = points.sparkSession
+    depths = points.agg(F.count(F.lit(1)).alias("points"), F.min(depth).alias("depth_min"), F.max(depth).alias("depth_max"), F.percentile(depth, F.lit(0.5)).alias("depth_median"))
+    median = depths.first()["depth_median"]
+    out = {
+        "depths": depths,
+        "limits": order_limits(spark, float(median or 0.0)),
+        "residuals": residual_stats(rest),
+        "aposteriori": within_orders(rest, F.col("residual"), depth),
+        "over_limit": rest.where(F.abs("residual") > limit).select("point_id", "residual", limit.alias("limit")),
+        "feature": feature_density(points, order, depth),
+    }
+    if own_tvu is not None:
+        out["apriori"] = within_orders(points, own_tvu, depth)
+    if cross is not None:
+        compared = crosslines(points, cross, reference_cell)
+        out["crosslines"] = residual_stats(compared)
+        out["crosslines_by_order"] = within_orders(compared, F.col("residual"), depth)
+    if coverage:
+        out["coverage"] = holidays(covered_area(points, coverage_cell or float(o[6] or 1.0), min_points))
+    return out
+
+
 def resolve_uncertainty(rows: DataFrame, own: Column, depth: Column, order: str = "1a") -> DataFrame:
     """sigma from an own 95 % value; where that is missing, negative or not finite, from the order's limit."""
     o = next(o for o in ORDERS if o[0] == order)
@@ -103,24 +183,34 @@ def apply_separation(rows: DataFrame, separation: Column, missing_keeps: bool =
 # ---- multi-hypothesis estimation ---------------------------------------------------------------------------------------
 
 
+def node_of(value: str, rho: float) -> Column:
+    """The number of the node of the cell that holds a coordinate; the node lies at the cell's centre."""
+    return cell_of(value, rho)
+
+
 def contributions(points: DataFrame, rho: float, sigma: Column, sigma_h: Column, capture_pct: float = 5.0, s_h: float = SIGMA_95, alpha: float = 2.0) -> DataFrame:
     """Each sounding at the nodes that it reaches (at most 3 x 3), with its propagated variance.
 
-    Capture distance: a share of the depth, between 0.75 and 1.5 node spacings. Nodes lie at multiples of rho.
+    Capture distance: a share of the depth, between 0.75 and 1.5 node spacings. Nodes lie at the centres of cells of size rho;
+    only nodes within the rows and columns of the soundings' own cells take part.
     """
     reach = F.greatest(F.lit(0.75 * rho), F.least(F.lit(1.5 * rho), F.abs("z") * capture_pct / 100))
     span = F.sequence(F.lit(-1), F.lit(1))
-    rows = points.select("point_id", "x", "y", "z", sigma.alias("sv"), sigma_h.alias("sh"), reach.alias("reach"))
-    rows = rows.withColumn("i", F.explode(F.transform(span, lambda d: F.round(F.col("x") / rho).cast("long") + d)))
-    rows = rows.withColumn("j", F.explode(F.transform(span, lambda d: F.round(F.col("y") / rho).cast("long") + d)))
-    r = F.sqrt(F.pow(F.col("x") - F.col("i") * rho, 2) + F.pow(F.col("y") - F.col("j") * rho, 2))
+    own_i, own_j = node_of("x", rho), node_of("y", rho)
+    box = points.agg(*[f(c).alias(n) for f, c, n in ((F.min, own_i, "i1"), (F.max, own_i, "i2"), (F.min, own_j, "j1"), (F.max, own_j, "j2"))])
+    rows = points.select("point_id", "x", "y", "z", F.greatest(sigma, F.lit(LEAST_SIGMA)).alias("sv"), F.coalesce(F.nanvl(sigma_h, F.lit(0.0)), F.lit(0.0)).alias("sh"), reach.alias("reach"))
+    rows = rows.withColumn("i", F.explode(F.transform(span, lambda d: node_of("x", rho) + d)))
+    rows = rows.withColumn("j", F.explode(F.transform(span, lambda d: node_of("y", rho) + d)))
+    rows = rows.crossJoin(F.broadcast(box)).where("i between i1 and i2 and j between j1 and j2")  # box is one row
+    r = F.sqrt(F.pow(F.col("x") - (F.col("i") + 0.5) * rho, 2) + F.pow(F.col("y") - (F.col("j") + 0.5) * rho, 2))
     rows = rows.withColumn("r", r).where(F.col("r") <= F.col("reach"))
     var = F.col("sv") * F.col("sv") * (1 + F.pow((F.col("r") + s_h * F.col("sh")) / rho, alpha))
     return rows.select("point_id", "i", "j", "z", var.alias("var"))
 
 
 def hypotheses(contributed: DataFrame, k_h: float = 3.0) -> DataFrame:
-    """i, j, hyp, n, mean, var: soundings of a node in order of z, split where the gap exceeds k_h combined deviations."""
+    """i, j, hyp, n, mean, var (of the mean), spread: soundings of a node in order of z, split where the gap exceeds k_h
+    combined deviations."""
     w = Window.partitionBy("i", "j").orderBy("z", "point_id")
     gap = F.col("z") - F.lag("z").over(w) > k_h * F.sqrt(F.col("var") + F.lag("var").over(w))
     split = contributed.withColumn("hyp", F.coalesce(gap.cast("int"), F.lit(0))).withColumn("hyp", F.sum("hyp").over(w))
@@ -130,28 +220,52 @@ def hypotheses(contributed: DataFrame, k_h: float = 3.0) -> DataFrame:
     )
     mean = F.col("swz") / F.col("sw")
     spread = F.greatest(F.lit(0.0), F.col("swzz") / F.col("sw") - mean * mean)
-    return rows.select("i", "j", "hyp", "n", mean.alias("mean"), F.greatest(1 / F.col("sw"), spread).alias("var"))
+    return rows.select("i", "j", "hyp", "n", mean.alias("mean"), (1 / F.col("sw")).alias("var"), spread.alias("spread"))
 
 
-def estimate(found: DataFrame, rule: str = "density", shoal_high: bool = True, prior: Column | None = None) -> DataFrame:
-    """One hypothesis per node: most soundings (density), shoalest with enough support (shoal), or nearest to a prior depth."""
+def neighbour_median(chosen: DataFrame, size: int) -> DataFrame:
+    """i, j, target: the median of z over the nodes within size x size nodes; nodes without a depth take no part."""
+    reach = size // 2
+    rows = F.sequence(F.col("j") - reach, F.col("j") + reach)
+    spread = chosen.select("i", F.explode(rows).alias("j"), "z")  # every node's depth in the rows that it counts in
+    strip = spread.groupBy("i", "j").agg(F.collect_list("z").alias("zs"))  # a column of `size` depths at most
+    near = strip.select(F.explode(F.sequence(F.col("i") - reach, F.col("i") + reach)).alias("i"), "j", "zs")
+    own = near.join(chosen.select("i", "j"), ["i", "j"], "left_semi")
+    values = F.sort_array(F.flatten(F.collect_list("zs")))  # size * size depths at most
+    at = lambda k: F.get("v", k.cast("int"))
+    n = F.size("v")
+    return own.groupBy("i", "j").agg(values.alias("v")).select("i", "j", ((at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2).alias("target"))
+
+
+def estimate(found: DataFrame, rule: str = "locale", shoal_high: bool = True, prior: Column | None = None, locale_size: int = 11) -> DataFrame:
+    """One hypothesis per node: most soundings (density), shoalest with enough support (shoal), nearest to a prior depth (prior,
+    and density where there is none), or nearest to the median of the surrounding nodes' densest ones (locale).
+
+    var is the larger of the mean's variance and the soundings' spread.
+    """
     node = Window.partitionBy("i", "j")
     rows = found.withColumns({"parts": F.count(F.lit(1)).over(node), "all_n": F.sum("n").over(node)})
-    order = F.struct(-F.col("n"), F.col("var"), F.col("hyp"))
+    dense = (-F.col("n"), F.col("var"), F.col("hyp"))
+    order = F.struct(*dense)
+    deviation = F.sqrt(F.col("var") + 1e-6)
     if rule == "shoal":
         strong = F.col("n") >= F.greatest(F.lit(2.0), 0.1 * F.col("all_n"))
         any_strong = F.max(strong.cast("int")).over(node) == 1
         rows = rows.withColumn("ok", F.when(any_strong, strong).otherwise(F.lit(True))).where("ok")
-        order = F.struct(-F.col("mean") if shoal_high else F.col("mean"), F.col("hyp"))
+        order = F.struct(-F.col("mean") if shoal_high else F.col("mean"), *dense)
     elif rule == "prior":
-        order = F.struct(F.abs(F.col("mean") - prior) / F.sqrt(F.col("var") + 1e-6), F.col("hyp"))
-    best = rows.groupBy("i", "j").agg(F.min_by(F.struct("mean", "var", "n", "parts"), order).alias("b"))
+        order = F.struct(F.coalesce(F.abs(F.col("mean") - prior) / deviation, F.lit(1e12) - F.col("n")), *dense)
+    elif rule == "locale":
+        first = rows.groupBy("i", "j").agg(F.min_by("mean", order).alias("z"))
+        rows = rows.join(neighbour_median(saved(first), locale_size), ["i", "j"])
+        order = F.struct(F.abs(F.col("mean") - F.col("target")) / deviation, *dense)
+    best = rows.groupBy("i", "j").agg(F.min_by(F.struct("mean", F.greatest("var", "spread").alias("var"), "n", "parts"), order).alias("b"))
     return best.select("i", "j", F.col("b.mean").alias("z"), F.col("b.var").alias("var"), F.col("b.n").alias("n"), F.col("b.parts").alias("hypotheses"))
 
 
 def flags(points: DataFrame, nodes: DataFrame, rho: float, sigma: Column, k_f: float = 3.0) -> DataFrame:
     """Soundings farther from their own node's depth than k_f combined deviations; those without a node aren't flagged."""
-    keyed = points.select("point_id", "z", sigma.alias("sv"), F.round(F.col("x") / rho).cast("long").alias("i"), F.round(F.col("y") / rho).cast("long").alias("j"))
+    keyed = points.select("point_id", "z", F.greatest(sigma, F.lit(LEAST_SIGMA)).alias("sv"), node_of("x", rho).alias("i"), node_of("y", rho).alias("j"))
     joined = keyed.join(nodes.select("i", "j", F.col("z").alias("node_z"), "var"), ["i", "j"])
     return joined.where(F.abs(F.col("z") - F.col("node_z")) > k_f * F.sqrt(F.col("sv") * F.col("sv") + F.col("var"))).select("point_id", F.col("node_z"))
 

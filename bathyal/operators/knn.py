@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bathyal.functions.expressions import cell as cell_of
+from bathyal.operators.graph import saved
 
 
 def pairs_within(left: DataFrame, right: DataFrame, radius: float, axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
@@ -25,14 +26,22 @@ def pairs_within(left: DataFrame, right: DataFrame, radius: float, axes: tuple[s
     return a.join(b, keys).select("a", "b", d.alias("d")).where(F.col("d") <= radius)
 
 
+def placed(points: DataFrame, axes: tuple[str, ...]) -> DataFrame:
+    """The points whose coordinates are all finite numbers."""
+    for c in axes:
+        points = points.where(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
+    return points
+
+
 def knn(queries: DataFrame, candidates: DataFrame, k: int, start: float, axes: tuple[str, ...] = ("x", "y", "z"), same: bool = False, limit: float | None = None) -> DataFrame:
     """a, b, d, rank: the k nearest candidates of each query, nearest first, ties by id.
 
     same: queries are candidates themselves and no point is its own neighbour. limit: neighbours are no farther than this.
+    Points without finite coordinates take no part. Every round is written, so that none is computed twice.
     """
-    out, left, radius = None, queries, start
-    total = candidates.count() - (1 if same else 0)
-    need = min(k, total)
+    queries, candidates = placed(queries, axes), placed(candidates, axes)
+    left, radius, found = queries, start, []
+    need = min(k, candidates.count() - (1 if same else 0))
     if need <= 0:
         return queries.sparkSession.createDataFrame([], "a long, b long, d double, rank int")
     while True:
@@ -40,16 +49,22 @@ def knn(queries: DataFrame, candidates: DataFrame, k: int, start: float, axes: t
         pairs = pairs_within(left, candidates, reach, axes)
         if same:
             pairs = pairs.where("a <> b")
-        ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("rank") <= k)
+        order = Window.partitionBy("a").orderBy("d", "b")
+        ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         if limit is not None and reach >= limit:
-            return ranked if out is None else out.union(ranked)
-        settled = ranked.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= need)
-        found = ranked.join(settled.select("a"), "a", "left_semi").select("a", "b", "d", "rank")
-        out = found if out is None else out.union(found)
-        left = left.join(settled.select(F.col("a").alias("point_id")), "point_id", "left_anti")
+            found.append(ranked)
+            break
+        ranked = ranked.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("a")))
+        settled = saved(ranked.where(F.col("n") >= need).drop("n"))
+        found.append(settled)
+        left = saved(left.join(settled.select(F.col("a").alias("point_id")).distinct(), "point_id", "left_anti"))
         if left.isEmpty():
-            return out
+            break
         radius *= 2
+    out = found[0]
+    for part in found[1:]:
+        out = out.union(part)
+    return out
 
 
 def statistical_outliers(points: DataFrame, k: int = 8, n_std: float = 2.0, start: float = 1.0) -> DataFrame:

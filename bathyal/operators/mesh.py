@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bathyal.functions.expressions import cell as cell_of
@@ -19,6 +19,46 @@ def corners(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     return faces
 
 
+def numbered_vertices(vertices: DataFrame) -> DataFrame:
+    """vertices with n: their place from 1 in order of mesh and number. Ranges are sorted and counted each for itself; their
+    counts, a row for each range, tell where each begins."""
+    ranged = saved(vertices.repartitionByRange("mesh_id", "vid").sortWithinPartitions("mesh_id", "vid").withColumn("id", F.monotonically_increasing_id()))
+    part = F.shiftright("id", 33)
+    counts = ranged.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("k"))
+    before = F.sum("k").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    placed = ranged.withColumn("part", part).join(F.broadcast(starts), "part")
+    return placed.withColumn("n", F.col("before") + F.col("id").bitwiseAND((1 << 33) - 1) + 1).drop("id", "part", "before")
+
+
+def bbox(vertices: DataFrame) -> DataFrame:
+    """The least and the greatest of each coordinate of each mesh."""
+    return vertices.groupBy("mesh_id").agg(*[f(c).alias(f"{c}_{n}") for c in ("x", "y", "z") for f, n in ((F.min, "min"), (F.max, "max"))])
+
+
+def transfer_colors(vertices: DataFrame, points: DataFrame, start: float) -> DataFrame:
+    """vertices with r, g and b of the nearest point (point_id, x, y, z, r, g, b)."""
+    from bathyal.operators.knn import knn
+
+    keyed = vertices.select(F.xxhash64("mesh_id", "vid").alias("point_id"), "x", "y", "z")
+    near = knn(keyed, points, 1, start).join(points.select(F.col("point_id").alias("b"), F.struct("r", "g", "b").alias("colour")), "b")
+    found = near.select(F.col("a").alias("key"), "colour")
+    out = vertices.withColumn("key", F.xxhash64("mesh_id", "vid")).join(found, "key", "left")
+    return out.select(*vertices.columns, "colour.r", "colour.g", "colour.b")
+
+
+def vertex_shade(faces: DataFrame, vertices: DataFrame, light: tuple[float, float, float], ambient: float, z_scale: float = 1.0) -> DataFrame:
+    """mesh_id, vid, shade: brightness under a light from a direction; face normals point up and count by their area."""
+    x, y, z = _cross()
+    scaled = vertices.withColumn("z", F.col("z") * z_scale)
+    up = F.when(z < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+    f = corners(faces, scaled).select("mesh_id", F.explode(F.array("a", "b", "c")).alias("vid"), (x * up).alias("nx"), (y * up).alias("ny"), (z * up).alias("nz"))
+    n = f.groupBy("mesh_id", "vid").agg(*[F.sum(c).alias(c) for c in ("nx", "ny", "nz")])
+    size = F.greatest(F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + F.col("nz") * F.col("nz")), F.lit(1e-12))
+    lit = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("nx") * light[0] + F.col("ny") * light[1] + F.col("nz") * light[2]) / size))
+    return n.select("mesh_id", "vid", (ambient + (1 - ambient) * lit).alias("shade"))
+
+
 def _cross() -> tuple[Column, Column, Column]:
     u = [F.col(f"b{x}") - F.col(f"a{x}") for x in ("x", "y", "z")]
     v = [F.col(f"c{x}") - F.col(f"a{x}") for x in ("x", "y", "z")]
@@ -138,6 +178,6 @@ def grid_mesh(surface: DataFrame, cell: float, stride: int = 1) -> tuple[DataFra
     for name, dr, dc in (("v01", 0, 1), ("v10", 1, 0), ("v11", 1, 1)):
         other = rows.select((F.col("r") - dr).alias("r"), (F.col("c") - dc).alias("c"), vid.alias(name))
         squares = squares.join(other, ["r", "c"])
-    two = F.array(F.struct(F.lit(0).alias("h"), F.col("v00").alias("a"), F.col("v01").alias("b"), F.col("v11").alias("c")), F.struct(F.lit(1), F.col("v00"), F.col("v11"), F.col("v10")))
+    two = F.array(F.struct(F.lit(0).alias("h"), F.col("v00").alias("a"), F.col("v01").alias("b"), F.col("v11").alias("c")), F.struct(F.lit(1).alias("h"), F.col("v00").alias("a"), F.col("v11").alias("b"), F.col("v10").alias("c")))
     faces = squares.select("r", F.col("c").alias("k"), F.explode(two).alias("t"))
     return vertices, faces.select(F.lit(0).alias("mesh_id"), F.xxhash64("r", "k", "t.h").alias("fid"), "t.a", "t.b", "t.c")

@@ -242,3 +242,78 @@ def crest_and_sides(points: DataFrame, stationed: DataFrame, search: float, side
         F.max(F.when(F.abs("off") <= search, F.col("z"))).alias("crest"),
         ((mid(F.col("off") < -search) + mid(F.col("off") > search)) / 2).alias("seabed"),
     )
+
+
+def with_kp(vertices: DataFrame, start_kp: float = 0.0) -> DataFrame:
+    """vertices with kp in kilometres: their own where they have one, else the start's and the distance along the route."""
+    along = start_kp + F.col("cum") / 1000
+    return vertices.withColumn("kp", F.coalesce("kp", along) if "kp" in vertices.columns else along)
+
+
+def kp_range(vertices: DataFrame) -> DataFrame:
+    return vertices.groupBy("route_id").agg(F.min("kp").alias("kp_from"), F.max("kp").alias("kp_to"))
+
+
+def chainage_range(vertices: DataFrame, kp_from: float, kp_to: float) -> DataFrame:
+    """route_id, ch_from, ch_to of the routes that a range of kp overlaps, clipped to each. vertices: cum and kp."""
+    low, high = sorted((kp_from, kp_to))
+    if high - low < 1e-9:
+        raise ValueError("a range of kp needs a length")
+    ends = vertices.groupBy("route_id").agg(F.min("kp").alias("k0"), F.max("kp").alias("k1"), F.max("cum").alias("length"))
+    there = ends.where((F.lit(high) >= F.col("k0") - 1e-9) & (F.lit(low) <= F.col("k1") + 1e-9))
+    asked = there.select("route_id", F.posexplode(F.array(F.lit(low), F.lit(high))).alias("key", "kp"))
+    found = interpolate(asked, vertices.join(there.select("route_id"), "route_id", "left_semi"), "kp", ("cum",))
+    both = found.groupBy("route_id").agg(F.min("cum").alias("a"), F.max("cum").alias("b"))
+    return both.join(there, "route_id").select("route_id", F.greatest(F.lit(0.0), "a").alias("ch_from"), F.least("length", "b").alias("ch_to"))
+
+
+def directions(vertices: DataFrame) -> DataFrame:
+    """route_id, seq, ux, uy: the unit direction of the segment that each vertex but the last begins."""
+    w = Window.partitionBy("route_id").orderBy("seq")
+    dx, dy = F.lead("x").over(w) - F.col("x"), F.lead("y").over(w) - F.col("y")
+    size = F.greatest(F.sqrt(dx * dx + dy * dy), F.lit(1e-12))
+    return vertices.select("route_id", "seq", (dx / size).alias("ux"), (dy / size).alias("uy")).where("ux is not null")
+
+
+def stretches(stationed: DataFrame, target: float) -> DataFrame:
+    """route_id, type, ch_from, ch_to, length, worst, ch_worst: where the cable is exposed, and where its cover is below the target.
+
+    stationed: route_id, ch, seabed, top.
+    """
+    rows = stationed.withColumn("dob", F.col("seabed") - F.col("top")).where("dob is not null")
+    kinds = (("Exposed", F.col("dob") <= EPS), ("Below target", F.col("dob") < target - EPS))
+    out = None
+    for name, mask in kinds:
+        part = segments(rows, mask, "dob").select("route_id", F.lit(name).alias("type"), "ch_from", "ch_to", "length", F.col("extreme").alias("worst"), F.col("extreme_ch").alias("ch_worst"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+def burial_summary(stationed: DataFrame, target: float) -> DataFrame:
+    """A report's row per route: surveyed length and share, share that meets the target, lengths below it and exposed, least
+    cover and where, mean cover. stationed: route_id, ch, seabed, top; stations without one of the levels weren't surveyed."""
+    rows = half_way_edges(stationed.withColumn("dob", F.col("seabed") - F.col("top")))
+    length = F.col("hi") - F.col("lo")
+    part = lambda mask: F.sum(F.when(mask, length).otherwise(0.0))
+    known = F.col("dob").isNotNull()
+    out = rows.groupBy("route_id").agg(
+        F.sum(length).alias("length"),
+        part(known).alias("surveyed"),
+        part(F.col("dob") >= target - EPS).alias("compliant"),
+        part((F.col("dob") < target - EPS) & (F.col("dob") > EPS)).alias("below"),
+        part(F.col("dob") <= EPS).alias("exposed"),
+        F.min_by(F.struct("dob", "ch"), F.when(known, F.struct("dob", "ch"))).alias("least"),
+        F.avg("dob").alias("dob_mean"),
+    )
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b) * 100)
+    return out.select(
+        "route_id", "length", share("surveyed", "length").alias("coverage_pct"), share("compliant", "surveyed").alias("compliant_pct"), "below", "exposed",
+        F.col("least.dob").alias("dob_min"), F.col("least.ch").alias("ch_min"), "dob_mean",
+    )
+
+
+def burial_report(stationed: DataFrame, target: float, bin_m: float) -> dict[str, DataFrame]:
+    """The sheets of a burial report: Summary, Stretches and Bins."""
+    rows = stationed.withColumn("dob", F.col("seabed") - F.col("top"))
+    bins = chainage_bins(rows.where("dob is not null"), bin_m, "dob", F.col("dob") >= target - EPS)
+    return {"Summary": burial_summary(stationed, target), "Stretches": stretches(stationed, target), "Bins": bins}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bathyal.plans import linear, survey  # noqa: F401  they register their queries
+from bathyal.plans import display, exchange, geometry, linear, survey, terrain  # noqa: F401  they register their queries
 from bathyal.plans.registry import ORACLES, QUERIES, Query
 
 

@@ -273,31 +273,21 @@ def _match(spark, sf_dir: str, near: DataFrame, method: str) -> DataFrame:
     return knn.match_table(near, table, 8.0, 6.0, method).withColumn("value", round6(F.col("value")))
 
 
-def _matched(method: str):
+def _matched(name: str, method: str):
     def run(spark, sf_dir: str) -> DataFrame:
-        return _match(spark, sf_dir, views.pts(spark, sf_dir).where("x < 90 and y < 40"), method)
+        return _match(spark, sf_dir, views.pts(spark, sf_dir), method)
 
-    run.__name__ = f"{method}_table"
+    run.__name__ = name
     k = 1 if method == "nearest" else 4
     return query(
         "pts structures",
-        f"""q AS (SELECT * FROM pts WHERE x < 90 AND y < 40), {TABLE} SELECT point_id, round(sum(value * greatest(d, 1e-9) ** -2) / sum(greatest(d, 1e-9) ** -2), 6) AS value
+        f"""q AS (SELECT * FROM pts), {TABLE} SELECT point_id, round(sum(value * greatest(d, 1e-9) ** -2) / sum(greatest(d, 1e-9) ** -2), 6) AS value
         FROM k WHERE k <= {k} GROUP BY point_id HAVING min(d) <= 6""",
     )(run)
 
 
-nearest_table, idw_table = _matched("nearest"), _matched("idw")
-
-
-@query()
-def nearest_whole_table(spark, sf_dir):
-    """Over all points; an oracle that joins every pair would be too slow."""
-    return _match(spark, sf_dir, views.pts(spark, sf_dir), "nearest")
-
-
-@query()
-def idw_whole_table(spark, sf_dir):
-    return _match(spark, sf_dir, views.pts(spark, sf_dir), "idw")
+nearest_table, idw_table = _matched("nearest_table", "nearest"), _matched("idw_table", "idw")
+nearest_whole_table, idw_whole_table = _matched("nearest_whole_table", "nearest"), _matched("idw_whole_table", "idw")
 
 
 @query("vec3", """v AS (SELECT point_id, floor(x / .15)::BIGINT AS vx, floor(y / .15)::BIGINT AS vy, floor(z / .15)::BIGINT AS vz FROM vec3),
@@ -503,12 +493,15 @@ def datum_apply_table(spark, sf_dir):
     return _rounded(hydrography.apply_separation(rows, F.col("value")).select("point_id", "z", "unmoved"))
 
 
-CUBE = """n AS (SELECT point_id, z, round(x / 10)::BIGINT + a AS i, round(y / 10)::BIGINT + b AS j, x, y, greatest(7.5, least(15, abs(z) * .05)) AS reach FROM pts, range(-1, 2) t(a), range(-1, 2) u(b)),
-c AS (SELECT point_id, i, j, z, 25 * (1 + ((sqrt((x - i * 10) ** 2 + (y - j * 10) ** 2) + 1.96 * .5) / 10) ** 2) AS var FROM n WHERE sqrt((x - i * 10) ** 2 + (y - j * 10) ** 2) <= reach),
+# Nodes lie at the centres of cells of 10 m, within the rows and columns of the soundings' own cells.
+CUBE = """o AS (SELECT *, floor(x / 10)::BIGINT AS oi, floor(y / 10)::BIGINT AS oj FROM pts),
+n AS (SELECT point_id, z, oi + a AS i, oj + b AS j, x, y, greatest(7.5, least(15, abs(z) * .05)) AS reach FROM o, range(-1, 2) t(a), range(-1, 2) u(b)
+WHERE oi + a BETWEEN (SELECT min(oi) FROM o) AND (SELECT max(oi) FROM o) AND oj + b BETWEEN (SELECT min(oj) FROM o) AND (SELECT max(oj) FROM o)),
+d AS (SELECT *, sqrt((x - (i + .5) * 10) ** 2 + (y - (j + .5) * 10) ** 2) AS r FROM n),
+c AS (SELECT point_id, i, j, z, 25 * (1 + ((r + 1.96 * .5) / 10) ** 2) AS var FROM d WHERE r <= reach),
 s AS (SELECT *, coalesce((z - lag(z) OVER w > 3 * sqrt(var + lag(var) OVER w))::INT, 0) AS cut FROM c WINDOW w AS (PARTITION BY i, j ORDER BY z, point_id)),
 h AS (SELECT *, sum(cut) OVER (PARTITION BY i, j ORDER BY z, point_id) AS hyp FROM s),
-y AS (SELECT i, j, hyp::BIGINT AS hyp, count(*) AS n, sum(z / var) / sum(1 / var) AS mean, 1 / sum(1 / var) AS v1, greatest(0, sum(z * z / var) / sum(1 / var) - (sum(z / var) / sum(1 / var)) ** 2) AS v2 FROM h GROUP BY ALL),
-f AS (SELECT i, j, hyp, n, mean, greatest(v1, v2) AS var FROM y)"""
+f AS (SELECT i, j, hyp::BIGINT AS hyp, count(*) AS n, sum(z / var) / sum(1 / var) AS mean, 1 / sum(1 / var) AS var, greatest(0, sum(z * z / var) / sum(1 / var) - (sum(z / var) / sum(1 / var)) ** 2) AS spread FROM h GROUP BY ALL)"""
 
 
 def _hypotheses(spark, sf_dir):
@@ -516,38 +509,103 @@ def _hypotheses(spark, sf_dir):
     return hydrography.hypotheses(c)
 
 
-@query("pts", f"{CUBE} SELECT i, j, hyp, n, round(mean, 5) AS mean, round(var, 4) AS var FROM f")
+@query("pts", f"{CUBE} SELECT i, j, hyp, n, round(mean, 5) AS mean, round(var, 4) AS var, round(spread, 4) AS spread FROM f")
 def cube_hypotheses(spark, sf_dir):
-    return _hypotheses(spark, sf_dir).withColumns({"mean": F.round("mean", 5), "var": F.round("var", 4)})
+    return _hypotheses(spark, sf_dir).withColumns({"mean": F.round("mean", 5), "var": F.round("var", 4), "spread": F.round("spread", 4)})
 
 
 DENSITY = f"{CUBE}, k AS (SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY n DESC, var, hyp) AS k, count(*) OVER (PARTITION BY i, j) AS hypotheses FROM f)"
+CHOSEN = "SELECT i, j, round(mean, 5) AS z, round(greatest(var, spread), 4) AS var, n, hypotheses FROM k WHERE k = 1"
 
 
-@query("pts", f"{DENSITY} SELECT i, j, round(mean, 5) AS z, round(var, 4) AS var, n, hypotheses FROM k WHERE k = 1")
+@query("pts", f"{DENSITY} {CHOSEN}")
 def cube_density(spark, sf_dir):
-    return hydrography.estimate(_hypotheses(spark, sf_dir)).withColumns({"z": F.round("z", 5), "var": F.round("var", 4)})
+    return _cube_parts(hydrography.estimate(_hypotheses(spark, sf_dir), "density"))
 
 
 @query("pts", f"""{CUBE}, t AS (SELECT *, sum(n) OVER (PARTITION BY i, j) AS all_n, count(*) OVER (PARTITION BY i, j) AS hypotheses FROM f),
 g AS (SELECT *, n >= greatest(2, .1 * all_n) AS strong FROM t), e AS (SELECT *, bool_or(strong) OVER (PARTITION BY i, j) AS any_strong FROM g),
-k AS (SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY mean DESC, hyp) AS k FROM e WHERE strong OR NOT any_strong)
-SELECT i, j, round(mean, 5) AS z, round(var, 4) AS var, n, hypotheses FROM k WHERE k = 1""")
+k AS (SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY mean DESC, n DESC, var, hyp) AS k FROM e WHERE strong OR NOT any_strong) {CHOSEN}""")
 def cube_shoal(spark, sf_dir):
     return _cube_parts(hydrography.estimate(_hypotheses(spark, sf_dir), "shoal"))
 
 
+@query("pts", f"""{CUBE}, p AS (SELECT *, CASE WHEN (i + j) % 2 = 0 THEN 60.0 + i END AS prior, count(*) OVER (PARTITION BY i, j) AS hypotheses FROM f),
+k AS (SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY coalesce(abs(mean - prior) / sqrt(var + 1e-6), 1e12 - n), n DESC, var, hyp) AS k FROM p) {CHOSEN}""")
+def cube_prior(spark, sf_dir):
+    prior = F.when((F.col("i") + F.col("j")) % 2 == 0, 60.0 + F.col("i"))
+    return _cube_parts(hydrography.estimate(_hypotheses(spark, sf_dir), "prior", prior=prior))
+
+
+LOCALE = f"""{DENSITY.replace(", k AS (", ", first_k AS (")}, a AS (SELECT i, j, mean AS z FROM first_k WHERE k = 1),
+w AS (SELECT a.i + d AS i, a.j + e AS j, a.z FROM a, range(-5, 6) t(d), range(-5, 6) u(e)),
+m AS (SELECT i, j, quantile_cont(z, .5) AS target FROM w JOIN (SELECT i, j FROM a) USING (i, j) GROUP BY ALL),
+k AS (SELECT f.*, count(*) OVER (PARTITION BY i, j) AS hypotheses, row_number() OVER (PARTITION BY i, j ORDER BY abs(mean - target) / sqrt(var + 1e-6), n DESC, var, hyp) AS k FROM f JOIN m USING (i, j))"""
+
+
+@query("pts", f"{LOCALE} {CHOSEN}")
+def cube_locale(spark, sf_dir):
+    return _cube_parts(hydrography.estimate(_hypotheses(spark, sf_dir)))
+
+
 def _cube_parts(df: DataFrame) -> DataFrame:
     return df.withColumns({"z": F.round("z", 5), "var": F.round("var", 4)})
 
 
-@query("pts", f"""{DENSITY} SELECT point_id, round(k.mean, 5) AS node_z FROM pts p JOIN k ON k.k = 1 AND k.i = round(p.x / 10)::BIGINT AND k.j = round(p.y / 10)::BIGINT
-WHERE abs(p.z - k.mean) > 3 * sqrt(25 + k.var)""")
+@query("pts", f"""{LOCALE} SELECT point_id, round(k.mean, 5) AS node_z FROM pts p JOIN k ON k.k = 1 AND k.i = floor(p.x / 10)::BIGINT AND k.j = floor(p.y / 10)::BIGINT
+WHERE abs(p.z - k.mean) > 3 * sqrt(25 + greatest(k.var, k.spread))""")
 def cube_flags(spark, sf_dir):
     nodes = hydrography.estimate(_hypotheses(spark, sf_dir))
     return hydrography.flags(views.pts(spark, sf_dir), nodes, 10.0, F.lit(5.0)).withColumn("node_z", F.round("node_z", 5))
 
 
+@query("pts", f"""m AS (SELECT quantile_cont(z, .5) AS median, sqrt((max(x) - min(x)) * (max(y) - min(y)) / count(*)) AS s FROM pts),
+f AS (SELECT CASE WHEN median > 40 THEN .1 * median ELSE 2.0 END AS fs, s FROM m) SELECT round(fs, 6) AS feature_m, round(s, 6) AS spacing_m, s <= fs / 3 AS ok FROM f""")
+def s44_feature_density(spark, sf_dir):
+    return _rounded(hydrography.feature_density(views.pts(spark, sf_dir), "1a", F.col("z")))
+
+
+@query("pts", """o(name, strictness, a, b, c, p) AS (VALUES ('exclusive', 0, .15, .0075, 1.0, .0), ('special', 1, .25, .0075, 2.0, .0), ('1a', 2, .5, .013, 5.0, .05), ('1b', 3, .5, .013, 5.0, .05), ('2', 4, 1.0, .023, 20.0, .1)),
+d AS (SELECT quantile_cont(abs(z), .5) AS d FROM pts) SELECT name, strictness, round(sqrt(a * a + (b * d) ** 2), 6)::DOUBLE AS tvu, round(c + p * d, 6)::DOUBLE AS thu FROM o, d""")
+def s44_limits(spark, sf_dir):
+    return _rounded(hydrography.assess(views.pts(spark, sf_dir), "1a", reference_cell=24.0, coverage=False)["limits"])
+
+
+@query("pts", f"{MEDIAN_REST} SELECT point_id, round(residual, 6) AS residual, round(sqrt(.25 + (.013 * z) ** 2), 6) AS \"limit\" FROM r WHERE abs(residual) > sqrt(.25 + (.013 * z) ** 2)")
+def s44_over_limit(spark, sf_dir):
+    return _rounded(hydrography.assess(views.pts(spark, sf_dir), "1a", reference_cell=24.0, coverage=False)["over_limit"])
+
+
+# Closing by two cells, then what is cut off from the border of a box around it counts as inside.
+COVERAGE = """c AS (SELECT floor(y / 12)::BIGINT AS row, floor(x / 12)::BIGINT AS col FROM pts GROUP BY ALL),
+g AS (SELECT DISTINCT row + a AS row, col + b AS col FROM c, range(-2, 3) t(a), range(-2, 3) u(b)),
+k AS (SELECT row + a AS row, col + b AS col FROM g, range(-2, 3) t(a), range(-2, 3) u(b) GROUP BY ALL HAVING count(*) = 25),
+z AS (SELECT row, col FROM k UNION SELECT row, col FROM c),
+b AS (SELECT min(row) - 1 AS r1, max(row) + 1 AS r2, min(col) - 1 AS c1, max(col) + 1 AS c2 FROM z),
+e AS (SELECT r AS row, q AS col FROM b, range(r1, r2 + 1) t(r), range(c1, c2 + 1) u(q) EXCEPT SELECT row, col FROM z),
+x AS (SELECT r1 AS row, c1 AS col FROM b UNION SELECT e.row, e.col FROM x JOIN e ON abs(e.row - x.row) + abs(e.col - x.col) = 1),
+w AS (SELECT row, col FROM z UNION (SELECT row, col FROM e EXCEPT SELECT row, col FROM x))"""
+
+
+@query("pts", f"{COVERAGE} SELECT row, col, (row, col) IN (SELECT (row, col) FROM c) AS filled FROM w")
+def s44_covered_area(spark, sf_dir):
+    return hydrography.covered_area(views.pts(spark, sf_dir), 12.0)
+
+
+@query("pts", f"""{COVERAGE}, n AS (SELECT row, col, row_number() OVER (ORDER BY row, col) AS id FROM w ANTI JOIN c USING (row, col)),
+l AS (SELECT id, id AS root FROM n UNION SELECT q.id, l.root FROM l JOIN n ON n.id = l.id JOIN n q ON abs(q.row - n.row) + abs(q.col - n.col) = 1),
+h AS (SELECT id, min(root) AS part FROM l GROUP BY id)
+SELECT (SELECT count(*) FROM w) AS cells, (SELECT count(*) FROM w SEMI JOIN c USING (row, col)) AS filled, (SELECT count(*) FROM n) AS holiday_cells,
+(SELECT count(DISTINCT part) FROM h) AS holidays, round((SELECT count(*) FROM w SEMI JOIN c USING (row, col)) / (SELECT count(*) FROM w) * 100, 6) AS pct""")
+def s44_holidays(spark, sf_dir):
+    return _rounded(hydrography.holidays(hydrography.covered_area(views.pts(spark, sf_dir), 12.0)))
+
+
+@query("pts", """SELECT round(CASE WHEN n > 500 THEN 2 * sqrt(n / 500) ELSE 2 END, 6)::DOUBLE AS cell FROM (SELECT ((max(x) - min(x)) / 2 + 1) * ((max(y) - min(y)) / 2 + 1) AS n FROM pts)""")
+def map_cell(spark, sf_dir):
+    return _rounded(hydrography.map_cell(views.pts(spark, sf_dir), 2.0, 500.0))
+
+
 @query("seabed", "SELECT floor(row / 2)::BIGINT AS row, floor(col / 2)::BIGINT AS col, round(max(z), 9) AS z FROM seabed GROUP BY ALL")
 def shoal_block(spark, sf_dir):
     return _rounded(grid.block(views.seabed(spark, sf_dir), 2), 9)
@@ -588,23 +646,62 @@ def marking_candidates(spark, sf_dir):
     return ground.marking_candidates(views.pts(spark, sf_dir), 24.0, 1.2, 80.0)
 
 
-@query("pts", """l AS (SELECT floor(y / 24)::BIGINT AS row, floor(x / 24)::BIGINT AS col, min(z) AS z FROM pts GROUP BY ALL),
-m AS (SELECT a.row, a.col, avg(b.z) AS ref FROM l a JOIN l b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 GROUP BY ALL)
-SELECT point_id, z - ref <= 5 AS ground FROM pts p JOIN m ON m.row = floor(p.y / 24)::BIGINT AND m.col = floor(p.x / 24)::BIGINT""")
+def _bilinear(surface: str, name: str, cell: int) -> str:
+    """Clauses that give point_id and ref: the surface's bilinear value over the corners that hold data, else that of the point's own cell."""
+    return f"""{name}_b AS (SELECT point_id, floor(x / {cell} - .5)::BIGINT AS c0, floor(y / {cell} - .5)::BIGINT AS r0, x / {cell} - .5 - floor(x / {cell} - .5) AS fx, y / {cell} - .5 - floor(y / {cell} - .5) AS fy FROM pts),
+{name}_k AS (SELECT point_id, r0 + dr AS row, c0 + dc AS col, (CASE dc WHEN 0 THEN 1 - fx ELSE fx END) * (CASE dr WHEN 0 THEN 1 - fy ELSE fy END) AS w FROM {name}_b, range(0, 2) t(dr), range(0, 2) u(dc)),
+{name}_f AS (SELECT point_id, sum(w * s.z) / sum(w) AS ref FROM {name}_k JOIN {surface} s USING (row, col) GROUP BY point_id HAVING sum(w) > 1e-12),
+{name} AS (SELECT p.point_id, coalesce(f.ref, o.z) AS ref FROM pts p LEFT JOIN {name}_f f USING (point_id) LEFT JOIN {surface} o ON o.row = floor(p.y / {cell})::BIGINT AND o.col = floor(p.x / {cell})::BIGINT)"""
+
+
+def _slope(surface: str, name: str, cell: int) -> str:
+    one = lambda a, b: f"coalesce(({a}.z - {b}.z) / 2, {a}.z - o.z, o.z - {b}.z, 0) / {cell}"
+    beside = " ".join(f"LEFT JOIN {surface} {n} ON {n}.row = o.row + {dr} AND {n}.col = o.col + {dc}" for n, dr, dc in (("e", 0, 1), ("w", 0, -1), ("n", 1, 0), ("s", -1, 0)))
+    return f"{name} AS (SELECT o.row, o.col, sqrt(({one('e', 'w')}) ** 2 + ({one('n', 's')}) ** 2) AS z FROM {surface} o {beside})"
+
+
+def _opened(surface: str, name: str, reach: int) -> str:
+    beside = lambda a: f"FROM {a} a JOIN {a} b ON b.row BETWEEN a.row - {reach} AND a.row + {reach} AND b.col BETWEEN a.col - {reach} AND a.col + {reach} GROUP BY ALL"
+    return f"{name}_e AS MATERIALIZED (SELECT a.row, a.col, min(b.z) AS z {beside(surface)}), {name} AS MATERIALIZED (SELECT a.row, a.col, max(b.z) AS z {beside(name + '_e')})"
+
+
+def _lowest(cell: int) -> str:
+    return f"l AS MATERIALIZED (SELECT floor(y / {cell})::BIGINT AS row, floor(x / {cell})::BIGINT AS col, min(z) AS z FROM pts GROUP BY ALL)"
+
+
+@query("pts", f"""{_lowest(24)}, m AS MATERIALIZED (SELECT a.row, a.col, avg(b.z) AS z FROM l a JOIN l b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 GROUP BY ALL),
+{_slope("m", "g", 24)}, {_bilinear("m", "h", 24)}, {_bilinear("g", "i", 24)}
+SELECT point_id, z - h.ref <= 5 + i.ref * 24 AS ground FROM pts JOIN h USING (point_id) JOIN i USING (point_id)""")
 def ground_grid_minimum(spark, sf_dir):
     return ground.grid_minimum(views.pts(spark, sf_dir), 24.0, 5.0)
 
 
-@query()
+# Windows of 3, 5 and 9 cells of 8 m fit into 72 m; their limits are 0.15, 2.5 (0.15 + 0.1 * 16) and so on.
+@query("pts", f"""{_lowest(8)}, {_opened("l", "a3", 1)}, {_opened("a3", "a5", 2)}, {_opened("a5", "a9", 4)}, p AS (SELECT *, floor(y / 8)::BIGINT AS row, floor(x / 8)::BIGINT AS col FROM pts)
+SELECT point_id, p.z - a3.z <= .15 AND p.z - a5.z <= .15 + .1 * 2 * 8 AND p.z - a9.z <= .15 + .1 * 2 * 8 AS ground
+FROM p JOIN a3 USING (row, col) JOIN a5 USING (row, col) JOIN a9 USING (row, col)""")
 def ground_pmf(spark, sf_dir):
-    return ground.pmf(views.pts(spark, sf_dir), 8.0, 9.0, 1.0)
+    return ground.pmf(views.pts(spark, sf_dir), 8.0, 72.0, 0.1)
 
 
-@query()
+@query("pts", f"""{_lowest(8)}, {_opened("l", "a1", 1)}, {_opened("l", "a2", 2)}, {_opened("l", "a3", 3)},
+x AS (SELECT row, col FROM l JOIN a1 USING (row, col) WHERE l.z - a1.z > 1.0 * 1 * 8 UNION SELECT row, col FROM a1 JOIN a2 USING (row, col) WHERE a1.z - a2.z > 1.0 * 2 * 8
+UNION SELECT row, col FROM a2 JOIN a3 USING (row, col) WHERE a2.z - a3.z > 1.0 * 3 * 8), bare AS MATERIALIZED (SELECT l.* FROM l ANTI JOIN x USING (row, col)),
+{_slope("bare", "g", 8)}, {_bilinear("bare", "h", 8)}, {_bilinear("g", "i", 8)}
+SELECT point_id, coalesce(abs(z - h.ref) <= 5 + 1.25 * coalesce(i.ref, 0), false) AS ground, round(z - h.ref, 6) AS height FROM pts JOIN h USING (point_id) JOIN i USING (point_id)""")
 def ground_smrf(spark, sf_dir):
     return _rounded(ground.smrf(views.pts(spark, sf_dir), 8.0, 1.0, 24.0, 5.0))
 
 
+@query("pts", f"""{_lowest(8)}, {_opened("l", "a3", 1)}, p AS (SELECT *, floor(y / 8)::BIGINT AS row, floor(x / 8)::BIGINT AS col FROM pts),
+d AS MATERIALIZED (SELECT point_id, x, y, p.z, p.z - a3.z <= .15 AS ground FROM p JOIN a3 USING (row, col)),
+s AS MATERIALIZED (SELECT floor(y / 8)::BIGINT AS row, floor(x / 8)::BIGINT AS col, avg(z) AS z FROM d WHERE ground GROUP BY ALL), {_bilinear("s", "h", 8)},
+v AS (SELECT point_id, ground, CASE WHEN NOT ground THEN z - ref END AS height FROM d JOIN h USING (point_id))
+SELECT point_id, ground, round(height, 6) AS height, CASE WHEN ground THEN 2 WHEN height IS NULL OR height < 20 THEN 1 WHEN height < 60 THEN 3 WHEN height < 150 THEN 4 ELSE 5 END AS "class" FROM v""")
+def ground_classify(spark, sf_dir):
+    return _rounded(ground.classify(views.pts(spark, sf_dir), "pmf", 8.0, (20.0, 60.0, 150.0), cell=8.0, max_window=24.0).select("point_id", "ground", "height", "class"))
+
+
 @query("pts", "SELECT round(quantile_cont(z, .02), 6) AS low, round(quantile_cont(z, .98), 6) AS high FROM pts")
 def color_range(spark, sf_dir):
     p = views.pts(spark, sf_dir)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bathyal.operators.grid import xyz_grid_cell
+from bathyal.sources.text import numbered_lines
 
 HEADER = ("ncols", "nrows", "xllcorner", "xllcenter", "yllcorner", "yllcenter", "cellsize", "nodata_value")
 
@@ -29,8 +30,7 @@ def read_ascii_grid(spark: SparkSession, path: str) -> DataFrame:
     """row (from the north), col, x, y (cell centres) and z of cells that hold data."""
     h = ascii_header(spark, path)
     cell, n_rows = h["cellsize"], int(h["nrows"])
-    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
-    data = lines.where(~F.lower(F.trim("value")).rlike("^[a-z]") & (F.trim("value") != ""))
+    data = numbered_lines(spark, path).where(~F.lower(F.trim("value")).rlike("^[a-z]") & (F.trim("value") != ""))
     first = data.agg(F.min("line").alias("first"))
     rows = data.crossJoin(F.broadcast(first)).select((F.col("line") - F.col("first")).alias("row"), F.posexplode(F.split(F.trim("value"), r"\s+")).alias("col", "v"))
     z = F.col("v").try_cast("double")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import glob
 import os
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -124,12 +125,15 @@ class LasWriter(DataSourceWriter):
     def write(self, rows: Iterator) -> Written:
         from pyspark import TaskContext
 
-        held = list(rows)
-        if not held:
+        # columns as flat arrays; a record takes 8 bytes for each of them at most
+        names = [c for c in ("x", "y", "z", "intensity", "classification", "r", "g", "b") if c in self.columns]
+        flat = array("d", (float(r[c] or 0) for r in rows for c in names))
+        held = np.frombuffer(flat).reshape(-1, len(names))
+        if not len(held):
             return Written("", 0)
-        get = lambda name: np.array([getattr(r, name) or 0 for r in held]) if name in self.columns else np.zeros(len(held))
-        xyz = np.column_stack([get(c) for c in ("x", "y", "z")]).astype(float)
-        cls, colour = get("classification").astype(int), "r" in self.columns
+        get = lambda name: held[:, names.index(name)] if name in names else np.zeros(len(held))
+        xyz = np.column_stack([get(c) for c in ("x", "y", "z")])
+        cls, colour = get("classification").astype(int), "r" in names
         fmt = (7 if colour else 6) if cls.max() > 31 else (2 if colour else 0)
         kind = record_type(fmt, LENGTHS[fmt])
         shift = np.floor(xyz.min(axis=0))
@@ -151,6 +155,11 @@ class LasWriter(DataSourceWriter):
         return Written(name, len(held))
 
 
+def _local(path: str) -> str:
+    """The path without a file: scheme."""
+    return "/" + path[5:].lstrip("/") if path.startswith("file:") else path
+
+
 class LasSource(DataSource):
     """spark.read.format("las").load(path); df.write.format("las").mode("append").save(folder)."""
 
@@ -162,10 +171,10 @@ class LasSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> LasReader:
-        return LasReader(self.options["path"])
+        return LasReader(_local(self.options["path"]))
 
     def writer(self, schema, overwrite: bool) -> LasWriter:
-        return LasWriter(self.options["path"], schema.names, float(self.options.get("scale", 0.001)))
+        return LasWriter(_local(self.options["path"]), schema.names, float(self.options.get("scale", 0.001)))
 
 
 def register(spark: SparkSession) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import codecs
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Regular expressions by delimiter name, in order of preference.
@@ -109,20 +109,25 @@ def number(token: Column, decimal_comma: bool = False) -> Column:
 
 
 def numbered_lines(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """value and line, a number that rises with the place in the file."""
+    """value, line (its number in its file, from 0) and id (a number of its own, rising with the place). Lines of each split are counted first, so that a split knows how
+    many lines stand before it; a file has one row per split."""
     reader = spark.read.option("encoding", encoding) if encoding and encoding != "utf-8-sig" else spark.read
-    return reader.text(path).withColumn("line", F.monotonically_increasing_id())
+    lines = reader.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    splits = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = splits.select("file", "block", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    return lines.join(F.broadcast(starts), ["file", "block"]).select("value", (F.col("before") + F.col("id") - F.col("first")).alias("line"), "id")
 
 
 def read_xyz(spark: SparkSession, path: str, skip_rows: int, delimiter: str, roles: Sequence[str], z_is_depth: bool = False, encoding: str | None = None) -> DataFrame:
-    """point_id, x, y, z and the other roles' columns; rows without x, y or z are dropped. skip_rows: of a single file."""
+    """point_id, x, y, z and the other roles' columns; rows without x, y or z are dropped. skip_rows: of each file."""
     if problem := validate_roles(list(roles)):
         raise ValueError(problem)
     lines = numbered_lines(spark, path, encoding).where((F.col("line") >= skip_rows) & (F.trim("value") != ""))
     tokens = lines.withColumn("t", _split(delimiter))
     names = {"X": "x", "Y": "y", "Z": "z", "Intensity": "intensity", "R": "r", "G": "g", "B": "b", "Classification": "classification"}
     columns = [number(F.get("t", F.lit(i))).alias(names.get(r, f"col_{i + 1}")) for i, r in enumerate(roles) if r != "Skip"]
-    rows = tokens.select(F.col("line").alias("point_id"), *columns).dropna(subset=["x", "y", "z"])
+    rows = tokens.select(F.col("id").alias("point_id"), *columns).dropna(subset=["x", "y", "z"])
     return rows.withColumn("z", -F.col("z")) if z_is_depth else rows
 
 
@@ -178,34 +183,71 @@ def read_value_table(spark: SparkSession, path: str, delimiter: str, x: int = 0,
     return rows
 
 
+#: Header words by column; a whole header that equals one counts before one of its words does.
 CAMERA_NAMES = {
-    "image": ("image", "name", "label", "file"),
-    "x": ("x", "easting", "e"),
-    "y": ("y", "northing", "n"),
-    "z": ("z", "altitude", "height", "alt"),
-    "omega": ("omega", "w"),
-    "phi": ("phi", "p"),
-    "kappa": ("kappa", "k"),
-    "f": ("f", "focal"),
+    "x": ("x", "easting", "east"),
+    "y": ("y", "northing", "north"),
+    "z": ("z", "altitude", "alt", "elevation", "height"),
+    "omega": ("omega", "omega_deg"),
+    "phi": ("phi", "phi_deg"),
+    "kappa": ("kappa", "kappa_deg"),
+    "f": ("f_px", "focal_px"),
+    "w": ("width",),
+    "h": ("height_px", "image_height"),
+    "cx": ("cx",),
+    "cy": ("cy",),
 }
 
 
+def camera_columns(header: Sequence[str]) -> dict[str, int]:
+    """Where each known column stands; a header of numbers means image, x, y, z."""
+    import re
+
+    heads = [h.strip().lower() for h in header]
+    if len(heads) > 3 and all(map(_number, heads[1:4])):
+        return {"x": 1, "y": 2, "z": 3}
+    words = [[t for t in re.split(r"[^a-z0-9]+", h) if t] for h in heads]
+    out: dict[str, int] = {}
+    for column, names in CAMERA_NAMES.items():
+        for n in names:
+            whole = [i for i, h in enumerate(heads) if h == n]
+            part = [i for i, t in enumerate(words) if (n in t or "_".join(t) == n) and not (n == "height" and len(t) > 1)]
+            if whole or part:
+                out[column] = (whole or part)[0]
+                break
+    if not {"x", "y", "z"} <= set(out):
+        raise ValueError("a camera file needs columns for x, y and z")
+    return out
+
+
 def read_cameras(spark: SparkSession, path: str) -> DataFrame:
-    """Camera centres with the rotation matrix of omega, phi and kappa (degrees) as columns r11 to r33."""
-    table = spark.read.option("header", True).csv(path)
-    by_name = {c.strip().lower(): c for c in table.columns}
-    found = {k: next((by_name[a] for a in names if a in by_name), None) for k, names in CAMERA_NAMES.items()}
-    rows = table.select(*[(F.col(f"`{c}`") if c else F.lit(None)).alias(k) for k, c in found.items()])
-    rows = rows.select("image", *[number(F.col(k).cast("string")).alias(k) for k in found if k != "image"]).dropna(subset=["x", "y", "z"])
+    """image, x, y, z, omega, phi, kappa, f, w, h, cx, cy and, where the angles (degrees) are given, r11 to r33: the rotation
+    from the world to the camera (x to the right, y down, z ahead)."""
+    lines = [v for v in read_preview(spark, path) if v.strip() and not v.startswith("#")]
+    if not lines:
+        raise ValueError(f"{path} holds no cameras")
+    text = "\n".join(lines)
+    delimiter = max(("comma", "semicolon", "tab"), key=lambda d: text.count(DELIMITERS[d])) if any(DELIMITERS[d] in text for d in ("comma", "semicolon", "tab")) else "space"
+    places = camera_columns(split_tokens(lines[0].lstrip("\ufeff"), delimiter))
+    tokens = spark.read.text(path).where((F.trim("value") != "") & ~F.col("value").startswith("#")).withColumn("t", _split(delimiter))
+    value = lambda name: number(F.get("t", F.lit(places[name]))) if name in places else F.lit(None).cast("double")
+    rows = tokens.select(F.trim(F.get("t", F.lit(0))).alias("image"), *[value(k).alias(k) for k in CAMERA_NAMES]).dropna(subset=["x", "y", "z"])
     (so, co), (sp, cp), (sk, ck) = ((F.sin(F.radians(a)), F.cos(F.radians(a))) for a in ("omega", "phi", "kappa"))
     matrix = {
         "r11": cp * ck, "r12": co * sk + so * sp * ck, "r13": so * sk - co * sp * ck,
-        "r21": -cp * sk, "r22": co * ck - so * sp * sk, "r23": so * ck + co * sp * sk,
-        "r31": sp, "r32": -so * cp, "r33": co * cp,
+        "r21": cp * sk, "r22": so * sp * sk - co * ck, "r23": -(so * ck + co * sp * sk),
+        "r31": -sp, "r32": so * cp, "r33": -(co * cp),
     }
     return rows.withColumns(matrix)
 
 
+def cameras_from_features(features: DataFrame, name: str = "name") -> DataFrame:
+    """image, x, y, z of the point features that have a height."""
+    p = F.col("parts")[0][0]
+    points = features.where(F.col("type") == "Point").select(F.coalesce(F.col("attrs")[name], F.lit("")).alias("image"), p["x"].alias("x"), p["y"].alias("y"), p["z"].alias("z"))
+    return points.dropna(subset=["x", "y", "z"])
+
+
 def read_gcp_coordinates(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("name string, x double, y double, z double").option("header", True).csv(path)
 

@@ -246,3 +246,80 @@ def counts(features: DataFrame) -> DataFrame:
 def bounds(features: DataFrame) -> DataFrame:
     p = features.select(F.explode(F.flatten("parts")).alias("p"))
     return p.agg(F.min("p.x").alias("x1"), F.min("p.y").alias("y1"), F.max("p.x").alias("x2"), F.max("p.y").alias("y2"))
+
+
+#: Attributes that name a feature, in order.
+LABELS = ("name", "NAME", "Name", "id", "ID", "label", "layer")
+
+
+def labelled(features: DataFrame) -> DataFrame:
+    """features with label: the first attribute of LABELS that isn't empty, else the type."""
+    named = [F.when(F.length(F.try_element_at("attrs", F.lit(k))) > 0, F.try_element_at("attrs", F.lit(k))) for k in LABELS]
+    return features.withColumn("label", F.coalesce(*named, F.lower("type")))
+
+
+def polygons(features: DataFrame) -> DataFrame:
+    """label and ring: the outer rings of three vertices or more."""
+    rings = labelled(features).where((F.col("type") == "Polygon") & (F.size(F.col("parts")[0]) >= 3))
+    return rings.select("label", F.col("parts")[0].alias("ring"))
+
+
+def lines(features: DataFrame) -> DataFrame:
+    """label and line: the lines of two vertices or more."""
+    found = labelled(features).where((F.col("type") == "LineString") & (F.size(F.col("parts")[0]) >= 2))
+    return found.select("label", F.col("parts")[0].alias("line"))
+
+
+def z_range(features: DataFrame) -> DataFrame:
+    """The least and the greatest height that isn't 0; one row."""
+    z = features.select(F.explode(F.flatten("parts")).alias("p")).select(F.col("p.z").alias("z")).where((F.abs("z") > 1e-9) & ~F.isnan("z"))
+    return z.agg(F.min("z").alias("z1"), F.max("z").alias("z2"))
+
+
+def attribute_fields(features: DataFrame) -> DataFrame:
+    """name: all attributes that any feature has."""
+    return features.select(F.explode(F.map_keys("attrs")).alias("name")).distinct()
+
+
+def reproject(features: DataFrame, src: int, dst: int) -> DataFrame:
+    """features from one coordinate system to another; heights stay."""
+    from bathyal.functions.crs import transform
+
+    if src == dst:
+        return features
+
+    def moved(p: Column) -> Column:
+        x, y = transform(p["x"], p["y"], src, dst)
+        return F.struct(x.alias("x"), y.alias("y"), p["z"].alias("z"))
+
+    return features.withColumn("parts", F.transform("parts", lambda part: F.transform(part, moved)))
+
+
+def read_gpkg(spark: SparkSession, path: str, layer: str | None = None) -> DataFrame:
+    """type, parts and attrs of a layer (the first one if none is named) of each GeoPackage under path; a file is one task's,
+    held in memory."""
+
+    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import sqlite3
+
+        for batch in batches:
+            for content in batch["content"]:
+                base = sqlite3.connect(":memory:")
+                base.deserialize(bytes(content))
+                names = [r[0] for r in base.execute("select table_name from gpkg_contents where data_type = 'features'")]
+                name = layer if layer in names else names[0]
+                column = base.execute("select column_name from gpkg_geometry_columns where table_name = ?", (name,)).fetchone()[0]
+                rows = base.execute(f'select * from "{name}"')
+                heads, found = [d[0] for d in rows.description], []
+                for row in rows:
+                    fields = dict(zip(heads, row))
+                    blob = fields.pop(column)
+                    if blob is None or blob[3] & 0x10:  # none, or an empty one
+                        continue
+                    skip = 8 + {0: 0, 1: 32, 2: 48, 3: 48, 4: 64}[blob[3] >> 1 & 7]  # the envelope
+                    attrs = {k: str(v) for k, v in fields.items() if v is not None and not isinstance(v, bytes)}
+                    found += [{"type": t, "parts": parts, "attrs": attrs} for t, parts in decode_wkb(bytes(blob), skip)[0]]
+                base.close()
+                yield pd.DataFrame(found, columns=["type", "parts", "attrs"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parsed, SCHEMA)

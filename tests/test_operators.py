@@ -210,3 +210,54 @@ def test_match_whole_table(spark, name, k):
     outside = set(p.point_id[(p.x >= 90) | (p.y >= 40)])
     assert got.keys() == want.keys() and outside & got.keys()
     assert all(got[i] == pytest.approx(want[i], abs=2e-6) for i in want)
+
+
+@pytest.mark.parametrize("odd", [None, float("nan"), float("inf")])
+def test_neighbours_end_with_points_that_are_nowhere(spark, odd):
+    rows = spark.createDataFrame([(i, float(i), 0.0, 0.0) for i in range(6)] + [(9, odd, 0.0, 0.0)], "point_id long, x double, y double, z double")
+    got = knn.knn(rows, rows, 2, 0.4, same=True).collect()
+    assert {r.a for r in got} == set(range(6)) and {(r.b, r.rank) for r in got if r.a == 0} == {(1, 1), (2, 2)}
+
+
+def test_windows_of_the_progressive_filter():
+    """Limits follow the window before: initial first, then slope * growth * cell more, at most the largest."""
+    got = ground.pmf_windows(1.0, 33.0, 0.15, 0.15, 2.5)
+    assert [w for w, _ in got] == [3, 5, 9, 17, 33]
+    assert [round(d, 6) for _, d in got] == [0.15, 0.45, 0.45, 0.75, 1.35]
+    assert [w for w, _ in ground.pmf_windows(2.0, 33.0, 0.6, 0.15, 2.5)] == [3, 5, 9]
+
+
+def test_grid_minimum_allows_for_the_slope(spark):
+    rng = np.random.default_rng(8)
+    x, y = rng.uniform(0, 100, 6000), rng.uniform(0, 100, 6000)
+    z = 0.5 * x
+    z[:50] += 6
+    found = ground.grid_minimum(frame(spark, point_id=np.arange(6000), x=x, y=y, z=z), 5.0, 0.5).toPandas().set_index("point_id").sort_index().ground
+    assert found[50:].mean() > 0.95 and not found[:50].any()
+
+
+def test_nodes_lie_at_cell_centres(spark):
+    rows = frame(spark, point_id=[0, 1], x=[1.0, 9.0], y=[1.0, 9.0], z=[-20.0, -20.0])
+    got = {(r.point_id, r.i, r.j) for r in hydrography.contributions(rows, 2.0, F.lit(0.1), F.lit(0.0)).collect()}
+    # 1 m from the centre of its own cell; the next centres are 2 m away, out of reach at 1.5 m; nodes beyond all cells don't exist
+    assert got == {(0, 0, 0), (1, 4, 4)}
+
+
+def test_classes_above_the_ground(spark):
+    rng = np.random.default_rng(9)
+    x, y = rng.uniform(0, 40, 9000), rng.uniform(0, 40, 9000)
+    z = np.zeros(9000)
+    z[:300], z[300:600], z[600:900] = 1.0, 3.0, 8.0
+    got = ground.classify(frame(spark, point_id=np.arange(9000), x=x, y=y, z=z), "pmf", 1.0).toPandas().set_index("point_id").sort_index()["class"]
+    assert (got[900:] == 2).all() and (got[:300] == 3).all() and (got[300:600] == 4).all() and (got[600:900] == 5).all()
+
+
+def test_files_of_meshes(spark, tmp_path):
+    from bathyal.sinks import writers
+
+    vertices, faces = cube(spark)
+    writers.write_stl(vertices, faces.coalesce(1), str(tmp_path / "stl"))
+    text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "stl")).collect())
+    assert text.count("facet normal") == 12 and text.count("vertex ") == 36
+    numbered = {r.vid: r.n for r in mesh.numbered_vertices(vertices.repartition(4)).collect()}
+    assert numbered == {i: i + 1 for i in range(8)}

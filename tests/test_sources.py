@@ -58,7 +58,24 @@ def test_structures_and_cameras(spark, tmp_path):
     assert [(r.name, r.diameter) for r in got] == [("A", 8.0), ("S02", 6.0)]
     cams = write(tmp_path, "c.csv", "Label,Easting,Northing,Altitude,Omega,Phi,Kappa,F\nim1,1,2,3,0,0,90,50\n")
     c = text.read_cameras(spark, cams).first()
-    assert (c.x, c.f) == (1, 50) and c.r12 == pytest.approx(1) and c.r33 == pytest.approx(1)
+    assert c.x == 1 and c.f is None and c.r12 == pytest.approx(1) and c.r33 == pytest.approx(-1)  # a camera without tilt looks down
+    cams = write(tmp_path, "d.csv", "img;X/East;Y/North;Z/Alt;omega_deg;phi_deg;kappa_deg;f_px;height_px\nim1;1;2;3;0;90;0;50;7\n")
+    c = text.read_cameras(spark, cams).first()
+    assert (c.image, c.y, c.f, c.h) == ("im1", 2, 50, 7) and c.r31 == pytest.approx(-1) and c.r33 == pytest.approx(0)
+
+
+def test_lines_of_a_file_in_many_splits_are_numbered(spark, tmp_path):
+    """Each split counts from its file's start, so a raster's rows stay one below the other."""
+    rows = [" ".join(str(100 * r + c) for c in range(30)) for r in range(400)]
+    path = write(tmp_path, "g.asc", "ncols 30\nnrows 400\nxllcorner 0\nyllcorner 0\ncellsize 2\nNODATA_value -9999\n" + "\n".join(rows) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        assert spark.read.text(path).rdd.getNumPartitions() > 3
+        got = grids.read_ascii_grid(spark, path).toPandas()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(got) == 12000 and (got.z == 100 * got.row + got.col).all() and got.y.max() == 799
 
 
 def test_ascii_grid_round_trip(spark, tmp_path):
