@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bathyal.operators import cameras, grid, sections
+from bathyal.operators import cameras, contours, grid, sections
 from bathyal.operators.graph import passing_folder, saved
 from bathyal.plans.exchange import _features
 from bathyal.plans.registry import query
@@ -196,3 +196,39 @@ def landxml_surface(spark, sf_dir):
     lines = spark.read.text([f"{path}/1-points", f"{path}/3-faces"])
     ids = F.regexp_extract("value", r'<P id="(\d+)"', 1).try_cast("long")
     return lines.agg(F.count_if(F.col("value").contains("<P id")).alias("points"), F.count_if(F.col("value").contains("<F>")).alias("faces"), F.max(ids).alias("largest"))
+
+
+# ---- contours -----------------------------------------------------------------------------------------------------------
+
+
+def _cuts(cells: str, levels: str) -> str:
+    """l: each level that cuts each square, and how many segments it makes there (a level that meets a corner makes one of no length)."""
+    return f"""s AS (SELECT a.row, a.col, a.z AS a, b.z AS b, c.z AS c, e.z AS d FROM {cells} a JOIN {cells} b ON b.row = a.row AND b.col = a.col + 1 JOIN {cells} c ON c.row = a.row + 1 AND c.col = a.col + 1 JOIN {cells} e ON e.row = a.row + 1 AND e.col = a.col),
+v AS ({levels}), l AS (SELECT level, (((a >= level) <> (b >= level))::INT + ((b >= level) <> (c >= level))::INT + ((c >= level) <> (d >= level))::INT + ((d >= level) <> (a >= level))::INT) // 2 AS n
+FROM s, v WHERE level > least(a, b, c, d) AND level <= greatest(a, b, c, d))"""
+
+
+WIDE = "d AS MATERIALIZED (SELECT floor(y / 30)::BIGINT AS row, floor(x / 30)::BIGINT AS col, avg(z) AS z FROM pts GROUP BY ALL)"
+
+
+@query("pts", f"""{WIDE}, {_cuts('d', 'SELECT k * 10.0::DOUBLE + 3 AS level, k FROM range(-100, 100) t(k)')}
+SELECT level, CASE WHEN abs(level) < 1e-9 THEN 'zero' WHEN ((level - 3) / 10)::BIGINT % 5 = 0 THEN 'major' ELSE 'minor' END AS kind, sum(n)::BIGINT AS segments FROM l GROUP BY level""")
+def contour_set(spark, sf_dir):
+    """Segments of all lines of a level, whichever way they were chained."""
+    d = saved(grid.build_dem(views.pts(spark, sf_dir), 30.0, "mean"))
+    lines = contours.make_contours(d, 30.0, 10.0, 3.0)
+    return lines.groupBy("level", "kind").agg(F.sum(F.size("points") - 1).alias("segments"))
+
+
+@query("seabed", f"""b AS MATERIALIZED (SELECT a.row, a.col, max(o.z) AS z FROM seabed a JOIN seabed o ON abs(a.row - o.row) <= 1 AND abs(a.col - o.col) <= 1 GROUP BY ALL),
+{_cuts('b', 'SELECT -t.k::DOUBLE AS level FROM (VALUES (0), (2), (5), (10), (15), (20), (25), (30), (40), (50), (100), (200), (500), (1000)) t(k) WHERE t.k > (SELECT min(-z) FROM b) AND t.k < (SELECT max(-z) FROM b)')}
+SELECT -level AS depth, sum(n)::BIGINT AS segments FROM l GROUP BY level""")
+def depth_contours(spark, sf_dir):
+    lines = contours.depth_contours(views.seabed(spark, sf_dir), 30.0)
+    return lines.groupBy("depth").agg(F.sum(F.size("points") - 1).alias("segments"))
+
+
+@query("pts", f"""{WIDE}, n AS (SELECT a.row, a.col, b.z, exp(-((a.row - b.row) ** 2 + (a.col - b.col) ** 2) / 2.0) AS w FROM d a JOIN d b ON abs(a.row - b.row) <= 4 AND abs(a.col - b.col) <= 4)
+SELECT row, col, round(sum(w * z) / sum(w), 6) AS z FROM n GROUP BY row, col""")
+def smoothed_surface(spark, sf_dir):
+    return _rounded(contours.smoothed(grid.build_dem(views.pts(spark, sf_dir), 30.0, "mean"), 1.0))

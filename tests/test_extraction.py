@@ -75,3 +75,43 @@ def test_live_cells_in_a_stream(spark, tmp_path):
     q.stop()
     got = {tuple(r) for r in spark.table("cells").collect()}
     assert got == {tuple(r) for r in live_cells(rows, 5.0).collect()} and len(got) == 24
+
+
+def test_simplified_lines_and_labels(spark):
+    from bathyal.operators import contours
+
+    rng = np.random.default_rng(3)
+    x, y = np.arange(200.0), np.cumsum(rng.normal(0, 0.3, 200))
+    kept = contours.kept_by_tolerance(x, y, 0.5)
+    assert kept[0] and kept[-1] and kept.sum() < 100
+    assert np.abs(np.interp(x, x[kept], y[kept]) - y).max() < 0.8  # 0.5 across the chords
+    line = spark.createDataFrame([(5.0, [(float(i), 0.0) for i in range(101)])], "level double, points array<struct<x:double,y:double>>")
+    assert [len(r.points) for r in contours.simplify(line, 0.01).collect()] == [2]
+    got = contours.label_positions(line, 30.0, 10.0, 4.0).orderBy("x").collect()
+    assert [(r.x, r.y, r.angle) for r in got] == [(15, 0, 0), (45, 0, 0), (75, 0, 0)]
+    assert contours.label_positions(line, 30.0, 200.0).count() == 0
+    up = contours.places_along(np.array([0.0, 0.0]), np.array([10.0, 0.0]), 100.0, 1.0, 2.0)
+    assert up == [(0.0, 5.0, 90.0)]  # falling lines read from below
+
+
+def test_contour_features_go_to_the_writers(spark):
+    from bathyal.operators import contours
+    from bathyal.sinks import writers
+
+    c = np.arange(12)
+    col, row = (a.ravel() for a in np.meshgrid(c, c))
+    cone = frame(spark, row=row, col=col, z=6 - np.hypot(col - 5.5, row - 5.5))
+    lines = contours.make_contours(cone, 1.0, 1.0, index_every=2, min_length=3.0)
+    facts = contours.set_facts(lines).first()
+    assert facts.levels >= 4 and facts.x1 >= 0 and facts.x2 <= 12
+    text = [r.value for r in writers.geojson_features(contours.contour_features(lines)).collect()]
+    assert len(text) == facts.lines and all('"TYPE":"' in t for t in text)
+
+
+def test_degenerate_layout(spark):
+    from bathyal.operators import cameras
+
+    flat = frame(spark, x=[0.0, 1.0, 0.0, 1.0], y=[0.0, 0.0, 1.0, 1.0], z=[0.0, 0.0, 0.0, 0.1])
+    assert not cameras.degenerate(flat)
+    assert cameras.degenerate(frame(spark, x=[0.0, 1.0, 2.0], y=[0.0, 1.0, 2.001], z=[0.0, 0.0, 0.0]))
+    assert cameras.degenerate(flat.limit(2))
