@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import stash
 
-PROJECTIONS, THRESHOLD, GROWTH, CONFIDENCE = 64, 0.6, 2.0, 1.0
+PROJECTIONS, THRESHOLD, GROWTH, CONFIDENCE = 64, 0.6, 1.5, 1.0
+#: What rounding can change in a product of vectors of norm one at most.
+SLACK = 1e-12
 BLOCK, CHUNK = 1 << 13, 1 << 9
 FIRST_WIDTH = 0.25
 FOUND = "query_id long, vec_id long, score double"
@@ -84,28 +86,27 @@ class Block:
         self.place = np.empty(order.shape, kind)
         np.put_along_axis(self.place, order, np.arange(len(ids), dtype=kind)[None, :], axis=1)
 
-    def nearest(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, query_id: int, query: np.ndarray, k: int, width: float = FIRST_WIDTH) -> tuple[np.ndarray, np.ndarray, float]:
+        """The best k with their scores, and how wide the windows became. width: of the first windows."""
         unit = query / np.abs(query).max()
         unit /= math.sqrt(float(unit @ unit))
         centre = np.append(unit, 0.0) @ self.turn
         need = math.ceil(THRESHOLD * PROJECTIONS)
         known = self.ids == query_id
         best_rows, best = np.zeros(0, np.int64), np.zeros(0)
-        width = FIRST_WIDTH
         while not known.all():
-            ranges = np.array([np.searchsorted(line, (c - width, c + width)) for line, c in zip(self.sorted, centre, strict=True)])
+            ranges = np.array([line.searchsorted((c - width, c + width)) for line, c in zip(self.sorted, centre, strict=True)])
             low, length = (part.astype(self.place.dtype) for part in (ranges[:, :1], ranges[:, 1:] - ranges[:, :1]))
             counts = ((self.place - low) < length).view(np.uint8).sum(axis=0, dtype=np.uint8)  # a place below `low` wraps round
             new = np.flatnonzero((counts >= need) & ~known)
             if len(new):
                 known[new] = True
+                if len(new) > 4 * k:  # a product of scaled vectors tells which ones can be among the best
+                    near = self.units @ unit if 4 * len(new) > len(known) else None
+                    near = near[new] if near is not None else self.units[new] @ unit
+                    new = new[near >= np.partition(near, len(near) - k)[len(near) - k] - SLACK]
                 with np.errstate(over="ignore", invalid="ignore"):
                     scores = np.nan_to_num(np.einsum("ij,j->i", self.vectors[new], query), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
-                if len(best) >= k:
-                    new, scores = new[scores >= best[k - 1]], scores[scores >= best[k - 1]]
-                elif len(new) > 4 * k:
-                    worst = np.partition(scores, len(scores) - k)[len(scores) - k]
-                    new, scores = new[scores >= worst], scores[scores >= worst]
                 best_rows, best = np.append(best_rows, new), np.append(best, scores)
                 keep = np.lexsort((self.ids[best_rows], -best))[:k]
                 best_rows, best = best_rows[keep], best[keep]
@@ -116,10 +117,15 @@ class Block:
                 width = min(width * GROWTH, REACH * distance)
             else:
                 width *= GROWTH
-        return self.ids[best_rows], best
+        return self.ids[best_rows], best, width
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
-        found = [self.nearest(i, q, k) for i, q in zip(query_ids.tolist(), queries, strict=True)]
+        """Queries in order of their ids; the first windows of each are narrower by one step than the last ones of the query before."""
+        order, found, width = np.argsort(query_ids, kind="stable"), [], FIRST_WIDTH
+        query_ids = query_ids[order]
+        for i, q in zip(query_ids.tolist(), queries[order], strict=True):
+            found.append(self.nearest(i, q, k, width))
+            width = max(FIRST_WIDTH, found[-1][2] / GROWTH)
         return pd.DataFrame(
             {
                 "query_id": np.repeat(query_ids, [len(f[0]) for f in found]),
