@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bathyal.functions.expressions import cell as cell_of
+from bathyal.operators.graph import saved
 
 
 def with_cells(points: DataFrame, cell: float, origin: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
@@ -158,9 +159,13 @@ def xyz_grid_cell(points: DataFrame) -> DataFrame:
     """The spacing of points that lie on a grid: the smaller one of the axes' most frequent steps between sorted coordinates."""
 
     def modal(axis: str) -> DataFrame:
-        values = points.select(F.round(axis, 6).alias("v")).distinct()
-        step = F.round(F.col("v") - F.lag("v").over(Window.orderBy("v")), 6)
-        return values.select(step.alias("step")).where("step > 0").groupBy("step").count()
+        # steps within ranges of coordinates, and those from one range to the next: a row for each range
+        ranged = points.select(F.round(axis, 6).alias("v")).distinct().repartitionByRange("v").withColumn("part", F.spark_partition_id())
+        ranged = saved(ranged)
+        inner = ranged.select((F.col("v") - F.lag("v").over(Window.partitionBy("part").orderBy("v"))).alias("step"))
+        ends = ranged.groupBy("part").agg(F.min("v").alias("first"), F.max("v").alias("last"))
+        between = ends.select((F.col("first") - F.lag("last").over(Window.orderBy("first"))).alias("step"))
+        return inner.union(between).select(F.round("step", 6).alias("step")).where("step > 0").groupBy("step").count()
 
     order = F.struct(F.col("count"), -F.col("step"))
     return modal("x").agg(F.max_by("step", order).alias("step")).union(modal("y").agg(F.max_by("step", order).alias("step"))).agg(F.min("step").alias("cell"))

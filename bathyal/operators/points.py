@@ -145,4 +145,5 @@ def pick(points: DataFrame, sx: float, sy: float, radius: float = 8.0) -> DataFr
 
 def history(log: DataFrame, limit: int = 200) -> DataFrame:
     """The last `limit` commands that undo can still reach, newest first; a new command after an undo drops what was undone."""
-    return log.where(F.col("kind") == "command").withColumn("back", F.row_number().over(Window.orderBy(F.col("seq").desc()))).where(F.col("back") <= limit)
+    last = log.where(F.col("kind") == "command").orderBy(F.col("seq").desc()).limit(limit)
+    return last.withColumn("back", F.row_number().over(Window.orderBy(F.col("seq").desc())))  # `limit` rows at most

@@ -317,3 +317,56 @@ def burial_report(stationed: DataFrame, target: float, bin_m: float) -> dict[str
     rows = stationed.withColumn("dob", F.col("seabed") - F.col("top"))
     bins = chainage_bins(rows.where("dob is not null"), bin_m, "dob", F.col("dob") >= target - EPS)
     return {"Summary": burial_summary(stationed, target), "Stretches": stretches(stationed, target), "Bins": bins}
+
+
+def kp_unit(vertices: DataFrame) -> DataFrame:
+    """unit: `m` if kp rises by metres along the routes, for half of all steps within a twentieth, else `km`; one row."""
+    w = Window.partitionBy("route_id").orderBy("seq")
+    dx, dy, dk = (F.col(c) - F.lag(c).over(w) for c in ("x", "y", "kp"))
+    steps = vertices.select(F.sqrt(dx * dx + dy * dy).alias("d"), dk.alias("dk")).where("d > 0")
+    off = F.percentile(F.abs(F.col("dk") - F.col("d")) / F.col("d"), F.lit(0.5))
+    return steps.agg(F.when(off < 0.05, "m").otherwise("km").alias("unit"))
+
+
+def reprojected(rows: DataFrame, src: int, dst: int) -> DataFrame:
+    """rows with x and y in another coordinate system."""
+    from bathyal.functions.crs import transform
+
+    x, y = transform(F.col("x"), F.col("y"), src, dst)
+    return rows.withColumns({"x": x, "y": y})
+
+
+def multiyear_table(stationed: DataFrame, required: float) -> DataFrame:
+    """Per route and year: lengths with less cover than required and exposed, least cover. stationed: route_id, year, ch, dob."""
+    w = Window.partitionBy("route_id", "year").orderBy("ch")
+    lo = F.coalesce((F.lag("ch").over(w) + F.col("ch")) / 2, F.col("ch"))
+    hi = F.coalesce((F.lead("ch").over(w) + F.col("ch")) / 2, F.col("ch"))
+    rows = stationed.withColumn("step", hi - lo)
+    part = lambda mask: F.sum(F.when(mask, F.col("step")).otherwise(0.0))
+    return rows.groupBy("route_id", "year").agg(
+        F.sum("step").alias("length"), part(F.col("dob") < required - EPS).alias("below_m"), part(F.col("dob") <= EPS).alias("exposed_m"), F.min("dob").alias("dob_min")
+    )
+
+
+def multiyear_summary(table: DataFrame) -> DataFrame:
+    """Per route: length, years, the first with too little cover and with exposure, and the worst one with its length."""
+    first = lambda c: F.min(F.when(F.col(c) > 0, F.col("year")))
+    return table.groupBy("route_id").agg(
+        F.max("length").alias("length"),
+        F.concat_ws("-", F.min("year").cast("string"), F.max("year").cast("string")).alias("years"),
+        first("below_m").alias("first_reburial"),
+        first("exposed_m").alias("first_exposed"),
+        F.max_by("year", F.struct("below_m", -F.col("year"))).alias("worst_year"),
+        F.max("below_m").alias("worst_m"),
+    )
+
+
+def multiyear_batch(stationed: DataFrame, required: float, restored: float, merge_gap: float, min_len: float = 0.0) -> dict[str, DataFrame]:
+    """The sheets of a batch of routes: Summary, Years, Segments and Campaigns. A batch is one table; routes are told apart by id."""
+    years = multiyear_table(stationed, required)
+    return {
+        "Summary": multiyear_summary(years),
+        "Years": years,
+        "Segments": reburial_years(stationed, required, merge_gap, min_len),
+        "Campaigns": reburial_campaigns(stationed, required, restored),
+    }

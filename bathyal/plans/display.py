@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bathyal.operators import display, mesh, points, routes
+from bathyal.operators.graph import saved
 from bathyal.plans.registry import query
 from bathyal.sources import views
 
@@ -299,3 +300,38 @@ SELECT route_id, seq, round(dx / greatest(sqrt(dx * dx + dy * dy), 1e-12), 6) AS
 def route_directions(spark, sf_dir):
     found = routes.directions(views.route_vertex(spark, sf_dir))
     return _rounded(found.withColumn("seq", F.col("seq").cast("long")))
+
+
+@query("route_vertex", "SELECT 'km' AS unit UNION ALL SELECT 'm'")
+def route_kp_units(spark, sf_dir):
+    v = views.route_vertex(spark, sf_dir)
+    return routes.kp_unit(routes.with_kp(v)).union(routes.kp_unit(v.withColumn("kp", F.col("cum"))))
+
+
+@query("structures", "SELECT name, round(x / 1000 + 121, 6) AS x, round(y / 100 + 25, 6) AS y FROM structures")
+def places_reprojected(spark, sf_dir):
+    s = views.structures(spark, sf_dir).withColumns({"x": F.col("x") / 1000 + 121, "y": F.col("y") / 100 + 25})
+    there = saved(routes.reprojected(s, 4326, 32651))
+    return _rounded(routes.reprojected(there, 32651, 4326).select("name", "x", "y"))
+
+
+BATCH = """yr AS (SELECT route_id, ch, y AS year, z / 20 - (y - 2024) * .6 AS dob FROM profile, range(2024, 2027) t(y)),
+g AS (SELECT *, coalesce((lead(ch) OVER w + ch) / 2, ch) - coalesce((lag(ch) OVER w + ch) / 2, ch) AS step FROM yr WINDOW w AS (PARTITION BY route_id, year ORDER BY ch)),
+t AS (SELECT route_id, year, sum(step) AS length, sum(CASE WHEN dob < 1 - 1e-4 THEN step ELSE 0 END) AS below_m, sum(CASE WHEN dob <= 1e-4 THEN step ELSE 0 END) AS exposed_m, min(dob) AS dob_min FROM g GROUP BY ALL)"""
+
+
+def _batch(spark, sf_dir: str) -> dict[str, DataFrame]:
+    p = views.profile(spark, sf_dir).withColumn("year", F.explode(F.array(*[F.lit(y) for y in (2024, 2025, 2026)])))
+    rows = p.select("route_id", "ch", "year", (F.col("z") / 20 - (F.col("year") - 2024) * 0.6).alias("dob"))
+    return routes.multiyear_batch(rows, 1.0, 1.5, 20.0, 5.0)
+
+
+@query("profile", f"{BATCH} SELECT route_id, year::INT AS year, round(length, 5) AS length, round(below_m, 5) AS below_m, round(exposed_m, 5) AS exposed_m, round(dob_min, 5) AS dob_min FROM t")
+def multiyear_table(spark, sf_dir):
+    return _rounded(_batch(spark, sf_dir)["Years"], 5)
+
+
+@query("profile", f"""{BATCH} SELECT route_id, round(max(length), 5) AS length, '2024-2026' AS years, coalesce(min(year) FILTER (below_m > 0), 0)::INT AS first_reburial, coalesce(min(year) FILTER (exposed_m > 0), 0)::INT AS first_exposed,
+arg_max(year, (below_m, -year))::INT AS worst_year, round(max(below_m), 5) AS worst_m FROM t GROUP BY 1""")
+def multiyear_summary(spark, sf_dir):
+    return _rounded(_batch(spark, sf_dir)["Summary"].fillna(0, ["first_reburial", "first_exposed"]), 5)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bathyal.functions import crs
 from bathyal.operators import design, extraction, flow, grid, hydrography, noise, points, routes
 from bathyal.operators.graph import saved
 from bathyal.plans.registry import query
@@ -252,3 +253,89 @@ def edit_history(spark, sf_dir):
 @query("seabed", """b AS (SELECT floor(row / 3)::BIGINT AS row, floor(col / 3)::BIGINT AS col, max(z) AS z FROM seabed GROUP BY ALL) SELECT row, col, floor(-z * 100 + 1e-6) / 100 AS depth FROM b""")
 def product_grid(spark, sf_dir):
     return hydrography.product_grid(views.seabed(spark, sf_dir), 3)
+
+
+# ---- limits, holes, gaps, zones -----------------------------------------------------------------------------------------
+
+
+@query("pts", "SELECT point_id, round(5 + .05 * abs(z), 6) AS thu, CASE WHEN abs(z) > 40 THEN round(.1 * abs(z), 6) ELSE 2 END::DOUBLE AS feature FROM pts")
+def s44_sizes(spark, sf_dir):
+    """Horizontal limits and feature sizes of order 1a."""
+    p = views.pts(spark, sf_dir)
+    rows = p.crossJoin(F.broadcast(hydrography.orders(spark).where("name = '1a'")))  # one row
+    return rows.select("point_id", F.round(hydrography.thu(F.abs("z")), 6).alias("thu"), F.round(hydrography.feature_size("1a", F.abs("z")), 6).alias("feature"))
+
+
+@query("pts", f"""{DEM}, s AS (SELECT row, col, CASE WHEN (row + col) % 3 > 0 THEN 1.5 END AS s FROM d) SELECT row, col, round(z - s, 4) AS z FROM d JOIN s USING (row, col)""")
+def datum_apply_surface(spark, sf_dir):
+    """Cells without a separation lose their height."""
+    d = _dem(spark, sf_dir)
+    s = F.when((F.col("row") + F.col("col")) % 3 > 0, F.lit(1.5))
+    return hydrography.apply_separation(d, s, missing_keeps=False).select("row", "col", F.round("z", 4).alias("z"))
+
+
+# Cells of a field of 9 rows: a hole of one cell in every fifth cell of each third row; each is filled from its nearest neighbour, the first in order.
+@query("pts", """d AS MATERIALIZED (SELECT floor(y / 4)::BIGINT AS row, floor(x / 4)::BIGINT AS col, round(avg(z), 4) AS z FROM pts GROUP BY ALL), h AS (SELECT row, col FROM d a WHERE row % 3 = 1 AND col % 5 = 2
+AND (SELECT count(*) FROM d b WHERE b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1) = 9
+AND a.col > (SELECT min(col) FROM d e WHERE e.row = a.row) AND a.col < (SELECT max(col) FROM d e WHERE e.row = a.row)),
+k AS (SELECT * FROM d ANTI JOIN h USING (row, col)), n AS (SELECT h.row, h.col, k.z, sqrt((k.row - h.row) ** 2 + (k.col - h.col) ** 2) AS run, h.row - k.row AS dr, h.col - k.col AS dc FROM h JOIN k ON abs(k.row - h.row) <= 1 AND abs(k.col - h.col) <= 1)
+SELECT row, col, arg_min(z, (run, -dr, -dc)) AS z FROM n GROUP BY row, col""")
+def filled_holes(spark, sf_dir):
+    d = saved(grid.build_dem(views.pts(spark, sf_dir), 4.0, "mean").withColumn("z", F.round("z", 4)))
+    full = flow._ring(d).groupBy("row", "col").agg(F.count(F.lit(1)).alias("n")).where("n = 8")
+    punched = saved(d.join(full, ["row", "col"]).where("row % 3 = 1 and col % 5 = 2").select("row", "col"))
+    left = saved(d.join(punched, ["row", "col"], "left_anti"))
+    return flow.fill_holes(left, 1).join(punched, ["row", "col"], "left_semi").select("row", "col", "z")
+
+
+@query("profile", """k AS (SELECT route_id, ch, z, lead(ch) OVER w AS c1, lead(z) OVER w AS z1 FROM profile WHERE point_id % 2 = 0 WINDOW w AS (PARTITION BY route_id ORDER BY ch, point_id)),
+a AS (SELECT p.route_id, p.point_id, p.ch, k.ch AS c0, k.z AS z0, k.c1, k.z1 FROM profile p JOIN k ON k.route_id = p.route_id AND p.ch > k.ch AND p.ch < k.c1 WHERE p.point_id % 2 = 1)
+SELECT route_id, point_id AS key, round(CASE WHEN c1 - c0 <= 30 THEN z0 + (z1 - z0) * (ch - c0) / (c1 - c0) END, 5) AS z FROM a""")
+def interpolated_runs(spark, sf_dir):
+    """Levels between known stations, none where these are over 30 m apart."""
+    p = views.profile(spark, sf_dir)
+    asked = p.where("point_id % 2 = 1").select("route_id", F.col("point_id").alias("key"), "ch")
+    known = p.where("point_id % 2 = 0")
+    found = routes.interpolate(asked, known, "ch", ("z",), clamp=False, max_gap=30.0)
+    ends = known.groupBy("route_id").agg(F.min("ch").alias("a"), F.max("ch").alias("b"))
+    inside = found.join(ends, "route_id").where("ch > a and ch < b")
+    return inside.select("route_id", "key", F.round("z", 5).alias("z"))
+
+
+@query("structures", """p AS (SELECT name, x * 2 AS lon, y * 2 - 25 AS lat FROM structures)
+SELECT name, (CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + least(60, greatest(1, floor((lon + 180) / 6) + 1)))::INT AS epsg, true AS allowed FROM p""")
+def utm_zones(spark, sf_dir):
+    zone = crs.utm_epsg(F.col("x") * 2, F.col("y") * 2 - 25)
+    return views.structures(spark, sf_dir).select("name", zone.alias("epsg"), crs.product_epsg_allowed(zone).alias("allowed"))
+
+
+@query("", "SELECT o_orderkey AS point_id, round(date_diff('day', DATE '1992-01-01', o_orderdate::DATE) / 365.25, 6) AS years FROM orders")
+def years_between(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    years = routes.years_between(F.lit("1992-01-01").cast("date"), F.col("o_orderdate").cast("date"))
+    return o.select(F.col("o_orderkey").alias("point_id"), F.round(years, 6).alias("years"))
+
+
+# A feature is matched to the one of the same number on the next image, so a track is a run of images.
+@query("route_vertex", """k AS (SELECT route_id AS i, seq AS f, route_id - dense_rank() OVER (ORDER BY route_id) AS run FROM route_vertex),
+t AS (SELECT f, i, i - row_number() OVER (PARTITION BY f ORDER BY i) AS g FROM k), n AS (SELECT f, g, count(*) AS n, min(i) * 4294967296 + f AS track FROM t GROUP BY f, g)
+SELECT track, i AS image, f AS feature FROM t JOIN n USING (f, g) WHERE n >= 2""")
+def feature_tracks(spark, sf_dir):
+    v = views.route_vertex(spark, sf_dir).select("route_id", F.col("seq").cast("long").alias("seq"))
+    after = v.select((F.col("route_id") - 1).alias("route_id"), "seq")
+    m = v.join(after, ["route_id", "seq"]).select(F.col("route_id").alias("image_a"), F.col("seq").alias("feature_a"), (F.col("route_id") + 1).alias("image_b"), F.col("seq").alias("feature_b"))
+    return extraction.build_tracks(m).select("track", "image", "feature")
+
+
+CAMERAS = [dict(cx=100.0 * i, cy=50.0, cz=-400.0, r=[[1, 0, 0], [0, 1, 0], [0, 0, 1]], f=500.0, px=400.0, py=300.0, w=800.0, h=600.0) for i in range(8)]
+VIEWS = ", ".join(f"({i}, {100.0 * i}::DOUBLE)" for i in range(8))
+
+
+@query("pts", f"""c(cam, cx) AS (VALUES {VIEWS}), s AS (SELECT point_id, cam, z + 400 AS depth, 500 * (x - cx) / (z + 400) + 400 AS u, 500 * (y - 50) / (z + 400) + 300 AS v FROM pts, c),
+i AS (SELECT *, floor(u / 24)::BIGINT AS bu, floor(v / 24)::BIGINT AS bv FROM s WHERE depth > 0 AND u BETWEEN 0 AND 800 AND v BETWEEN 0 AND 600),
+r AS (SELECT *, row_number() OVER (PARTITION BY cam, bu, bv ORDER BY depth) - 1 AS k, count(*) OVER (PARTITION BY cam, bu, bv) AS n FROM i),
+f AS (SELECT *, max(CASE WHEN k = (3 * n) // 4 THEN depth END) OVER (PARTITION BY cam, bu, bv) AS far FROM r), g AS (SELECT *, (depth < far * .95)::INT AS near FROM f),
+h AS (SELECT *, (near = 1 AND avg(near) OVER (PARTITION BY cam, bu, bv) < .5 AND n >= 4)::INT AS hit FROM g), t AS (SELECT point_id, sum(hit)::BIGINT AS hits, count(*) AS views FROM h GROUP BY 1)
+SELECT point_id, hits, views FROM t WHERE hits >= 2 AND 2 * hits >= views""")
+def free_space(spark, sf_dir):
+    return noise.free_space(views.pts(spark, sf_dir), CAMERAS)

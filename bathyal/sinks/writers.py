@@ -72,13 +72,12 @@ def mesh_lines(vertices: DataFrame, faces: DataFrame, kind: str) -> DataFrame:
 
 
 def write_mesh(vertices: DataFrame, faces: DataFrame, path: str, kind: str = "obj") -> None:
-    lines = mesh_lines(vertices, faces, kind).coalesce(1).sortWithinPartitions("block", "n").select("value")
+    """Part files whose lines follow one another from file to file; put together they are one OBJ or DXF file."""
+    lines = mesh_lines(vertices, faces, kind)
     if kind == "dxf":
-        spark = vertices.sparkSession
-        wrap = lambda text, n: spark.createDataFrame([(text, n)], "value string, k int")
-        all_lines = wrap("0\nSECTION\n2\nENTITIES", 0).union(lines.withColumn("k", F.lit(1))).union(wrap("0\nENDSEC\n0\nEOF", 2))
-        lines = all_lines.coalesce(1).select("value")
-    lines.write.text(path)
+        wrap = lambda text, n: vertices.sparkSession.createDataFrame([(n, 0, text)], "block int, n long, value string")
+        lines = wrap("0\nSECTION\n2\nENTITIES", -1).union(lines).union(wrap("0\nENDSEC\n0\nEOF", 9))
+    lines.repartitionByRange("block", "n").sortWithinPartitions("block", "n").select("value").write.text(path)
 
 
 def _triangles(vertices: DataFrame, faces: DataFrame) -> DataFrame:

@@ -153,16 +153,43 @@ def ring_area(ring: list) -> float:
     return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:])) / 2
 
 
-def _shp(content: bytes) -> Iterator[tuple]:
-    """Points, lines and polygons; a clockwise ring begins a polygon, the others are its holes."""
-    at = 100
+def dbf_rows(content: bytes) -> list[dict[str, str]]:
+    """The records of a DBF file as texts; empty values are left out, records marked as deleted too."""
+    n, head, width = struct.unpack_from("<IHH", content, 4)
+    fields, at = [], 32
+    while at < head - 1 and content[at] != 0x0D:
+        fields.append((content[at : at + 11].split(b"\0")[0].decode("ascii", "replace"), content[at + 16]))
+        at += 32
+    out = []
+    for row in range(n):
+        at = head + row * width
+        if content[at : at + 1] == b"*":
+            continue
+        at, values = at + 1, {}
+        for name, size in fields:
+            raw, at = content[at : at + size], at + size
+            try:
+                text = raw.decode("utf-8").strip()
+            except UnicodeDecodeError:
+                text = raw.decode("latin-1").strip()
+            if text.strip("\0"):
+                values[name] = text
+        out.append(values)
+    return out
+
+
+def _shp(content: bytes, rows: list[dict[str, str]] | None = None) -> Iterator[tuple]:
+    """Points, lines and polygons; a clockwise ring begins a polygon, the others are its holes. rows: each record's attributes."""
+    at, record = 100, -1
     while at + 8 <= len(content):
+        record += 1
+        attrs = rows[record] if rows and record < len(rows) else {}
         n = struct.unpack_from(">I", content, at + 4)[0] * 2
         body, at = content[at + 8 : at + 8 + n], at + 8 + n
         kind = struct.unpack_from("<I", body)[0]
         if kind in (1, 11, 21):
             x, y = struct.unpack_from("<2d", body, 4)
-            yield "Point", [[(x, y, struct.unpack_from("<d", body, 20)[0] if kind == 11 else None)]], {}
+            yield "Point", [[(x, y, struct.unpack_from("<d", body, 20)[0] if kind == 11 else None)]], attrs
         elif kind in (3, 5, 13, 15, 23, 25):
             n_parts, n_points = struct.unpack_from("<2I", body, 36)
             firsts = [*struct.unpack_from(f"<{n_parts}I", body, 44), n_points]
@@ -173,16 +200,16 @@ def _shp(content: bytes) -> Iterator[tuple]:
             parts = [points[a:b] for a, b in zip(firsts, firsts[1:])]
             if kind % 10 == 3:
                 for p in parts:
-                    yield "LineString", [p], {}
+                    yield "LineString", [p], attrs
             else:
                 held: list = []
                 for p in parts:
                     if ring_area(p) <= 0 and held:
-                        yield "Polygon", held, {}
+                        yield "Polygon", held, attrs
                         held = []
                     held.append(p)
                 if held:
-                    yield "Polygon", held, {}
+                    yield "Polygon", held, attrs
 
 
 def _dxf(content: bytes) -> Iterator[tuple]:
@@ -318,8 +345,39 @@ def read_gpkg(spark: SparkSession, path: str, layer: str | None = None) -> DataF
                         continue
                     skip = 8 + {0: 0, 1: 32, 2: 48, 3: 48, 4: 64}[blob[3] >> 1 & 7]  # the envelope
                     attrs = {k: str(v) for k, v in fields.items() if v is not None and not isinstance(v, bytes)}
-                    found += [{"type": t, "parts": parts, "attrs": attrs} for t, parts in decode_wkb(bytes(blob), skip)[0]]
+                    found += [{"type": t, "parts": [[dict(zip("xyz", p)) for p in part] for part in parts], "attrs": attrs} for t, parts in decode_wkb(bytes(blob), skip)[0]]
                 base.close()
                 yield pd.DataFrame(found, columns=["type", "parts", "attrs"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parsed, SCHEMA)
+
+
+def read_shp(spark: SparkSession, path: str) -> DataFrame:
+    """Features of all Shapefiles under path, with the attributes of the DBF file beside each."""
+    base = lambda suffix: spark.read.format("binaryFile").option("pathGlobFilter", f"*.{suffix}").load(path).select(F.regexp_replace("path", r"\.\w+$", "").alias("base"), F.col("content").alias(suffix))
+    pairs = base("shp").join(base("dbf"), "base", "left").select("shp", "dbf")
+
+    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for shp, dbf in zip(batch["shp"], batch["dbf"]):
+                rows = dbf_rows(bytes(dbf)) if dbf is not None else None
+                found = [{"type": t, "parts": [[dict(zip("xyz", p)) for p in part] for part in parts], "attrs": attrs} for t, parts, attrs in _shp(bytes(shp), rows)]
+                yield pd.DataFrame(found, columns=["type", "parts", "attrs"])
+
+    return pairs.mapInPandas(parsed, SCHEMA)
+
+
+def layers(spark: SparkSession, path: str) -> DataFrame:
+    """name: the feature layers of the GeoPackages under path."""
+
+    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import sqlite3
+
+        for batch in batches:
+            for content in batch["content"]:
+                base = sqlite3.connect(":memory:")
+                base.deserialize(bytes(content))
+                yield pd.DataFrame({"name": [r[0] for r in base.execute("select table_name from gpkg_contents where data_type = 'features'")]})
+                base.close()
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(named, "name string")

@@ -152,3 +152,43 @@ def test_text_sink_and_project(spark, tmp_path):
     writers.save_project({"points": points, "grid": grid.build_dem(points, 1.0)}, str(tmp_path / "p"), {"crs": "EPSG:32651"})
     meta, sets = writers.load_project(spark, str(tmp_path / "p"))
     assert meta["crs"] == "EPSG:32651" and sets["points"].count() == 1 and meta["datasets"] == ["grid", "points"]
+
+
+def test_shapefile_with_attributes(spark, tmp_path):
+    def record(i, x, y):
+        body = struct.pack("<I2d", 1, x, y)
+        return struct.pack(">2I", i, len(body) // 2) + body
+
+    write(tmp_path, "p.shp", bytes(100) + record(1, 1.0, 2.0) + record(2, 3.0, 4.0))
+    field = lambda name, kind, size: name.encode().ljust(11, b"\0") + kind + bytes(4) + bytes([size, 0]) + bytes(14)
+    heads = field("NAME", b"C", 6) + field("DEPTH", b"N", 5) + b"\r"
+    rows = b" " + "bölt".encode().ljust(6) + b" 12.5" + b" " + b"b".ljust(6) + b"     "
+    dbf = struct.pack("<B3BIHH", 3, 26, 1, 1, 2, 32 + len(heads), 12) + bytes(20) + heads + rows
+    write(tmp_path, "p.dbf", dbf)
+    got = {r.parts[0][0].x: r.attrs for r in vector.read_shp(spark, str(tmp_path)).collect()}
+    assert got == {1.0: {"NAME": "bölt", "DEPTH": "12.5"}, 3.0: {"NAME": "b"}}
+
+
+def test_geopackage(spark, tmp_path):
+    import sqlite3
+
+    path = tmp_path / "a.gpkg"
+    base = sqlite3.connect(path)
+    base.execute("create table gpkg_contents (table_name text, data_type text)")
+    base.execute("create table gpkg_geometry_columns (table_name text, column_name text, srs_id int)")
+    for layer in ("spots", "ways"):
+        base.execute("insert into gpkg_contents values (?, 'features')", (layer,))
+        base.execute("insert into gpkg_geometry_columns values (?, 'geom', 4326)", (layer,))
+        base.execute(f"create table {layer} (fid int, geom blob, name text)")
+    head = b"GP\0" + bytes([1]) + struct.pack("<i", 4326)
+    boxed = b"GP\0" + bytes([3]) + struct.pack("<i4d", 4326, 0, 1, 0, 1)
+    base.execute("insert into spots values (1, ?, 'a')", (head + struct.pack("<BI2d", 1, 1, 5.0, 6.0),))
+    base.execute("insert into spots values (2, null, 'none')")
+    base.execute("insert into ways values (1, ?, 'w')", (boxed + struct.pack("<BII4d", 1, 2, 2, 0.0, 0.0, 1.0, 1.0),))
+    base.commit()
+    base.close()
+    assert [r.name for r in vector.layers(spark, str(path)).collect()] == ["spots", "ways"]
+    first = vector.read_gpkg(spark, str(path)).collect()
+    assert [(r.type, r.parts[0][0].x, r.attrs["name"]) for r in first] == [("Point", 5.0, "a")]
+    ways = vector.read_gpkg(spark, str(path), "ways").collect()
+    assert [(r.type, len(r.parts[0])) for r in ways] == [("LineString", 2)]
