@@ -13,10 +13,10 @@ import numpy as np
 
 WIDTH, KEYS = 16, 4
 #: Positions of a window, and how many of them the next window of a text sees again.
-WINDOW, OVERLAP = 32, 4
-HEAD, GROWTH = 24, 1.6
+WINDOW, OVERLAP = 16, 2
+HEAD, GROWTH = 8, 1.4
 #: Windows for each step of descent, and its rate.
-BATCH, RATE = 256, 0.2
+BATCH, RATE = 512, 0.2
 SLIGHT = 1e-4
 _LAG = np.arange(WINDOW)[:, None] - np.arange(WINDOW)
 _PAST = _LAG >= 0

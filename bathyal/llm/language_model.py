@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .attention import BATCH, OVERLAP, WINDOW, Attention, window_ids, windows
 from .bytestext import ASCII_LOWER, group_sums, slices, span_hashes, words
-from .common import BLOCKS, block_sums, blocks_of, remainder, stash
+from .common import BLOCKS, arrow_rows, block_sums, blocks_of, remainder, stash
 from .subwords import multi_subwords
 
 MODULUS, HELD_OUT = 5, 1
@@ -40,10 +40,12 @@ ROUNDS = 2
 #: Local models that are trained at a time; with more partitions, a task goes on with its model from one to the next.
 LOCAL_MODELS = 4096
 #: Words that all tasks hold, and the places of their table.
-HEAD, SLOTS = 1 << 16, 1 << 18
-MERGE_AT = 4 << 20
+HEAD, SLOTS = 1 << 17, 1 << 19
+MERGE_AT = 2 << 20
 END, IDS = 50256, 50257
 PIECE_BYTES = 1 << 20
+#: Rows that go to Python at a time.
+ROWS = 1000
 
 
 def encoded(docs: DataFrame) -> DataFrame:
@@ -263,6 +265,11 @@ def scored(tokens: DataFrame, model: Attention, shares: np.ndarray, rank: np.nda
 
 def lm_scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, for each row of docs."""
+    with arrow_rows(docs.sparkSession, ROWS):
+        return _lm_scores(docs)
+
+
+def _lm_scores(docs: DataFrame) -> DataFrame:
     tokens = encoded(docs.select("doc_id", "text", (remainder(F.col("doc_id"), MODULUS) != HELD_OUT).alias("learn")))
     counts = counts_of(tokens.where("learn"))
     counted, words_of = counts.where("is_id"), counts.where("not is_id").select("key", "n")
