@@ -16,7 +16,7 @@ WIDTH, KEYS = 16, 4
 WINDOW, OVERLAP = 16, 2
 HEAD, GROWTH = 8, 1.4
 #: Windows for each step of descent, and its rate.
-BATCH, RATE = 512, 0.2
+BATCH, RATE = 1024, 0.25
 SLIGHT = 1e-4
 _LAG = np.arange(WINDOW)[:, None] - np.arange(WINDOW)
 _PAST = _LAG >= 0
@@ -126,10 +126,11 @@ class Attention:
             if _largest(h[first:last]) * _largest(out[low:high]) > 80:
                 np.minimum(z, np.float32(80), out=z)
             np.exp(z, out=z)
-            z *= (1 / (z @ np.ones(high - low, np.float32)))[:, None]
-            z[np.arange(last - first), target] -= 1
-            dh[first:last] += z @ out[low:high, :WIDTH]
-            changes.append(("out", slice(low, high), z.T @ h[first:last]))
+            total_z = z @ np.ones(high - low, np.float32)
+            z[np.arange(last - first), target] -= total_z  # times the inverse sum, this is the probability less one
+            inverse = (1 / total_z)[:, None]
+            dh[first:last] += (z @ out[low:high, :WIDTH]) * inverse
+            changes.append(("out", slice(low, high), z.T @ (h[first:last] * inverse)))
         full = np.zeros((n * w, WIDTH), np.float32)
         full[at] = dh
         d = full.reshape(n, w, WIDTH)
