@@ -96,6 +96,21 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A table that is looked up is broadcast up to so many rows, and beyond that met under SALTS salts.
+BROADCAST_ROWS = 4096
+SALTS = 16
+
+
+def lookup(rows: DataFrame, table: DataFrame, on: list[str], spread: Column) -> DataFrame:
+    """rows with the columns of a table that has one row for each key, null where it has none. No key has nulls; many rows may
+    share one: they are spread over salts unless the table is small."""
+    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), on, "left")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return salted.join(table.select("*", salts), [*on, "salt"], "left").drop("salt")
+
+
 #: Numbers of a flat array that are summed up together.
 BLOCK = 1 << 16
 BLOCKS = "block int, part int, weight double, values binary"
