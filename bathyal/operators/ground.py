@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bathyal.functions.expressions import cell as cell_of
+from bathyal.operators.cloth import csf
 from bathyal.operators.graph import saved
 from bathyal.operators.grid import neighbours8, surface_at
 
@@ -98,7 +99,7 @@ def grid_minimum(points: DataFrame, cell: float = 5.0, threshold: float = 0.5) -
     return _on_surface(points, mean, cell).select("point_id", F.coalesce(ground, F.lit(False)).alias("ground"))
 
 
-FILTERS = {"smrf": smrf, "pmf": pmf, "gridmin": grid_minimum}
+FILTERS = {"smrf": smrf, "pmf": pmf, "csf": csf, "gridmin": grid_minimum}
 
 
 def ground(points: DataFrame, method: str, **settings: float) -> DataFrame:

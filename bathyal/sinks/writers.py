@@ -215,8 +215,7 @@ def export(points: DataFrame, path: str, kind: str = "xyz", **settings) -> None:
     if kind == "las":
         from bathyal.sources import las
 
-        las.register(points.sparkSession)
-        return points.write.format("las").options(**settings).mode("append").save(path)
+        return las.write_las(points, path, **settings)
     settings.setdefault("delimiter", "," if kind == "csv" else " ")
     return write_text(points, path, settings.pop("columns", default_columns(points)), **settings)
 
