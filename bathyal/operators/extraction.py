@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bathyal.functions.expressions import cell as cell_of
-from bathyal.operators.graph import components
+from bathyal.operators.graph import chained, components, saved
 from bathyal.operators.knn import pairs_within
 
 
@@ -45,31 +45,36 @@ def contour_segments(surface: DataFrame, cell: float, levels: Sequence[float]) -
     return lines.select("level", F.col("l.p.x").alias("x1"), F.col("l.p.y").alias("y1"), F.col("l.q.x").alias("x2"), F.col("l.q.y").alias("y2"))
 
 
-def contour_lines(segments: DataFrame) -> DataFrame:
-    """level, line, points: segments chained end to end; each connected line is put together in its own group."""
+def contour_vertices(segments: DataFrame) -> DataFrame:
+    """level, line, seq, x, y: segments (level, x1, y1, x2, y2) chained end to end; a closed line ends where it begins.
+
+    Every segment is a link in both directions, and the link after it is one of another segment that begins where it ends, so a
+    line comes out twice, once each way; the one of smaller name stays. Lines are spread over tasks like their segments.
+    """
     key = lambda x, y: F.xxhash64("level", F.round(x, 6), F.round(y, 6))
     ends = segments.withColumns({"a": key("x1", "y1"), "b": key("x2", "y2")}).where("a <> b")
-    nodes = ends.select(F.col("a").alias("id")).union(ends.select("b")).distinct()
-    label = components(nodes, ends)
-    part = ends.join(label.select(F.col("id").alias("a"), F.col("component").alias("line")), "a")
-
-    def chained(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[int]] = {}
-        place: dict[int, tuple[float, float]] = {}
-        for a, b, x1, y1, x2, y2 in rows[["a", "b", "x1", "y1", "x2", "y2"]].itertuples(index=False):
-            near.setdefault(a, []).append(b)
-            near.setdefault(b, []).append(a)
-            place[a], place[b] = (x1, y1), (x2, y2)
-        at = next((n for n in sorted(near) if len(near[n]) == 1), min(near))
-        path = [at]
-        while near[at]:
-            to = near[at].pop()
-            near[to].remove(at)
-            path.append(to)
-            at = to
-        return pd.DataFrame({"level": [key[0]], "line": [key[1]], "points": [[{"x": place[n][0], "y": place[n][1]} for n in path]]})
-
-    return part.groupBy("level", "line").applyInPandas(chained, "level double, line long, points array<struct<x:double,y:double>>")
+    ends = saved(ends.withColumn("id", F.monotonically_increasing_id() * 2))
+    side = lambda id_, x, y, u, v, start, end: F.struct(id_.alias("id"), F.col(x).alias("x"), F.col(y).alias("y"), F.col(u).alias("u"), F.col(v).alias("v"), F.col(start).alias("start"), F.col(end).alias("end"))
+    both = F.array(side(F.col("id"), "x1", "y1", "x2", "y2", "a", "b"), side(F.col("id") + 1, "x2", "y2", "x1", "y1", "b", "a"))
+    directed = saved(ends.select("level", F.explode(both).alias("s")).select("level", "s.*"))
+    # at each place the segments that meet there are taken two by two; leaving one means having come by the other
+    pairs = directed.select(F.col("start").alias("end"), "id").withColumn("rank", F.row_number().over(Window.partitionBy("end").orderBy("id")) - 1)
+    pair = F.floor(F.col("rank") / 2)
+    meets = pairs.select("end", pair.alias("pair"), F.col("id").alias("nxt"), (F.col("id").bitwiseXOR(F.lit(1))).alias("came"))
+    nxt = meets.alias("p").join(meets.alias("q"), (F.col("p.end") == F.col("q.end")) & (F.col("p.pair") == F.col("q.pair")) & (F.col("p.nxt") != F.col("q.nxt")))
+    links = directed.select("id").join(nxt.select(F.col("p.came").alias("id"), F.col("q.nxt").alias("nxt")), "id", "left")
+    chain = saved(chained(links))
+    other = chain.select(F.col("id").bitwiseXOR(F.lit(1)).alias("id"), F.col("chain").alias("mirror"))
+    kept = directed.join(chain.join(other, "id").where("chain <= mirror").select("id", "chain", "left"), "id")
+    last = F.when(F.col("left") == 0, F.array(F.struct(F.lit(0).cast("long").alias("seq"), F.col("u").alias("x"), F.col("v").alias("y"))))
+    points = F.concat(F.array(F.struct((-F.col("left") - 1).alias("seq"), F.col("x").alias("x"), F.col("y").alias("y"))), F.coalesce(last, F.array().cast("array<struct<seq:bigint,x:double,y:double>>")))
+    return kept.select("level", F.col("chain").alias("line"), F.explode(points).alias("p")).select("level", "line", "p.*")
+
+
+def contour_lines(segments: DataFrame) -> DataFrame:
+    """level, line, points: the vertices of each chained line as an array."""
+    ordered = contour_vertices(segments).groupBy("level", "line").agg(F.sort_array(F.collect_list(F.struct("seq", "x", "y"))).alias("p"))
+    return ordered.select("level", "line", F.transform("p", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("points"))
 
 
 def line_length(points: Column) -> Column:

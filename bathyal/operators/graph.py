@@ -52,3 +52,32 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = stepped.select("id", F.col("new").alias("component"))
         if changed:
             return labels
+
+
+def chained(links: DataFrame) -> DataFrame:
+    """id, chain, left, cycle: the chain that each link is in, named after its last link, and how many links follow in it.
+
+    links: id and nxt (null at an end); no two links have the same nxt. A cycle is cut before its smallest id. Links learn of
+    links twice as far in every round, so the number of rounds follows the logarithm of the longest chain, and no chain is ever
+    in one task.
+    """
+    links = saved(links.select("id", "nxt"))
+    now = saved(links.select("id", F.col("nxt").alias("jump"), F.col("id").alias("least")))
+    while True:  # the smallest id ahead; the ways of open chains come to an end
+        onward = now.select(F.col("id").alias("jump"), F.col("jump").alias("further"), F.col("least").alias("other"))
+        live = now.where("jump IS NOT NULL").join(onward, "jump")
+        live = live.select("id", F.col("further").alias("jump"), F.least("least", "other").alias("least"), (F.col("further").isNull() | (F.col("other") < F.col("least"))).alias("moved"))
+        stepped = saved(live.unionByName(now.where("jump IS NULL").withColumn("moved", F.lit(False))))
+        now = stepped.drop("moved")
+        if stepped.where("moved").isEmpty():
+            break
+    cut = links.join(now.select("id", F.col("jump").isNotNull().alias("cycle"), "least"), "id")
+    cut = cut.select("id", F.when(~(F.col("cycle") & (F.col("nxt") == F.col("least"))), F.col("nxt")).alias("jump"), "cycle")
+    state = cut.select("id", "jump", "cycle", F.coalesce("jump", "id").alias("chain"), F.col("jump").isNotNull().cast("long").alias("left"))
+    now = saved(state)
+    while not now.where("jump IS NOT NULL").isEmpty():
+        onward = now.select(F.col("id").alias("jump"), F.col("jump").alias("further"), F.col("chain").alias("end"), F.col("left").alias("more"))
+        live = now.where("jump IS NOT NULL").join(onward, "jump")
+        live = live.select("id", F.col("further").alias("jump"), "cycle", F.col("end").alias("chain"), (F.col("left") + F.col("more")).alias("left"))
+        now = saved(live.unionByName(now.where("jump IS NULL")))
+    return now.select("id", "chain", "left", "cycle")
