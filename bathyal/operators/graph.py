@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -81,3 +81,15 @@ def chained(links: DataFrame) -> DataFrame:
         live = live.select("id", F.col("further").alias("jump"), "cycle", F.col("end").alias("chain"), (F.col("left") + F.col("more")).alias("left"))
         now = saved(live.unionByName(now.where("jump IS NULL")))
     return now.select("id", "chain", "left", "cycle")
+
+
+def counted_off(rows: DataFrame, name: str = "k") -> DataFrame:
+    """rows with their number from 1 in the order in which they are read. Each partition counts its own rows; the partitions'
+    totals, a row for each, tell where each begins."""
+    held = saved(rows.withColumn("__id", F.monotonically_increasing_id()))
+    totals = held.groupBy(F.shiftright("__id", 33).alias("__part")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = totals.select("__part", before.alias("__before"))
+    placed = held.withColumn("__part", F.shiftright("__id", 33)).join(F.broadcast(starts), "__part")
+    number = F.col("__before") + F.col("__id").bitwiseAND((1 << 33) - 1) + 1
+    return placed.withColumn(name, number).drop("__id", "__part", "__before")

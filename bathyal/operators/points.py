@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bathyal.functions.expressions import in_polygon, noise, segment_offsets
+from bathyal.functions.expressions import UNROLLED, in_polygon, noise, segment_offsets
 
 
 def active(points: DataFrame, hide_noise: bool = True) -> DataFrame:
@@ -100,10 +100,43 @@ def corridor_points(points: DataFrame, line: Sequence[tuple[float, float]], widt
     """Points within `width` of a polyline, with chainage, signed offset and distance."""
     xs, ys = [p[0] for p in line], [p[1] for p in line]
     near = points.where(F.col("x").between(min(xs) - width, max(xs) + width) & F.col("y").between(min(ys) - width, max(ys) + width))
+    if len(line) > UNROLLED + 1:
+        return _bucketed_corridor(near, line, width)
     hit = near.withColumn("hit", segment_offsets(F.col("x"), F.col("y"), line)).where(F.col("hit.dist") <= width)
     return hit.select(*points.columns, F.col("hit.ch").alias("ch"), F.col("hit.off").alias("off"), F.col("hit.dist").alias("dist"))
 
 
+def _bucketed_corridor(points: DataFrame, line: Sequence[tuple[float, float]], width: float) -> DataFrame:
+    """corridor_points for a line of many segments: points meet only segments that reach their bucket."""
+    rows, cum = [], 0.0
+    for i, ((x1, y1), (x2, y2)) in enumerate(zip(line, line[1:])):
+        if length := ((x2 - x1) ** 2 + (y2 - y1) ** 2) ** 0.5:
+            rows.append((i, float(x1), float(y1), float(x2), float(y2), length, cum))
+            cum += length
+    if not rows:
+        return points.where(F.lit(False)).select(*points.columns, *[F.lit(None).cast("double").alias(c) for c in ("ch", "off", "dist")])
+    size = max(2 * width, cum / len(rows))
+    legs = points.sparkSession.createDataFrame(rows, "seg int, x1 double, y1 double, x2 double, y2 double, length double, cum double")
+    pieces = F.ceil(F.col("length") / size).cast("int")  # a long segment goes to the buckets of its pieces, not to all in its box
+    legs = legs.withColumn("n", pieces).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    at = lambda c, k: F.col(f"{c}1") + (F.col(f"{c}2") - F.col(f"{c}1")) * (k / F.col("n"))
+    for c in "xy":
+        ends = [at(c, F.col("k")), at(c, F.col("k") + 1)]
+        legs = legs.withColumn(f"b{c}", F.explode(F.sequence(F.floor((F.least(*ends) - width) / size), F.floor((F.greatest(*ends) + width) / size))))
+    legs = legs.drop("n", "k").distinct()
+    own = points.select(F.struct(*points.columns).alias("point"), "x", "y").withColumn("row", F.monotonically_increasing_id())
+    own = own.withColumns({"bx": F.floor(F.col("x") / size), "by": F.floor(F.col("y") / size)})
+    ux, uy = (F.col("x2") - F.col("x1")) / F.col("length"), (F.col("y2") - F.col("y1")) / F.col("length")
+    met = own.join(legs, ["bx", "by"]).withColumns({"ux": ux, "uy": uy})
+    along = F.least(F.col("length"), F.greatest(F.lit(0.0), (F.col("x") - F.col("x1")) * F.col("ux") + (F.col("y") - F.col("y1")) * F.col("uy")))
+    met = met.withColumn("along", along)
+    dx, dy = F.col("x") - (F.col("x1") + F.col("along") * F.col("ux")), F.col("y") - (F.col("y1") + F.col("along") * F.col("uy"))
+    across = (F.col("x") - F.col("x1")) * F.col("uy") - (F.col("y") - F.col("y1")) * F.col("ux")
+    hit = F.struct(F.sqrt(dx * dx + dy * dy).alias("dist"), "seg", (F.col("along") + F.col("cum")).alias("ch"), across.alias("off"))
+    best = met.withColumn("hit", hit).where(F.col("hit.dist") <= width).groupBy("row").agg(F.first("point").alias("point"), F.min("hit").alias("hit"))
+    return best.select("point.*", "hit.ch", "hit.off", "hit.dist")
+
+
 def describe(points: DataFrame) -> DataFrame:
     """Count, extent, centroid and z statistics in one row, with population deviation."""
     return points.agg(

@@ -7,13 +7,15 @@ formats are decoded file by file in tasks, so many files are read at once.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bathyal.operators.graph import counted_off
+
 PART = "array<struct<x:double,y:double,z:double>>"
 SCHEMA = f"type string, parts array<{PART}>, attrs map<string,string>"
 
@@ -259,11 +261,79 @@ def read_files(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parsed, SCHEMA)
 
 
-def routes_from_features(features: DataFrame, name: str = "name") -> DataFrame:
-    """route_id, seq, x, y, z of the line features' vertices."""
-    lines = features.where("type = 'LineString'").withColumn("n", F.monotonically_increasing_id())
-    route = F.coalesce(F.try_element_at("attrs", F.lit(name)), F.concat(F.lit("line "), F.col("n").cast("string")))
-    return lines.select(route.alias("route_id"), F.posexplode(F.flatten("parts")).alias("seq", "p")).select("route_id", "seq", "p.*")
+#: Names of attributes that hold a route's name, KP, depth of burial, seabed and level of the cable.
+FIELD_KEYS = {
+    "name": ("name", "route", "route_name", "cable", "id", "line", "label"),
+    "kp": ("kp", "chainage", "km", "kmp"),
+    "dob": ("dob", "burial", "depth of burial", "doc"),
+    "seabed": ("seabed", "msbl", "seabed z", "seabed depth", "water depth", "wd"),
+    "z": ("toc", "top of cable", "cable top", "cable z", "top z", "cable_z", "z", "elevation", "depth", "toc depth", "cable depth"),
+}
+
+
+def find_field(fields: Sequence[str], keys: Sequence[str]) -> str | None:
+    """The field that has one of the names, sooner ones first, or else begins with one of more than two letters."""
+    plain = {f.lower().replace("_", " "): f for f in fields}
+    same = (plain[k] for k in keys if k in plain)
+    begun = (f for k in keys if len(k) > 2 for name, f in plain.items() if name.startswith(k))
+    return next(same, None) or next(begun, None)
+
+
+def guess_fields(features: DataFrame) -> dict[str, str | bool | None]:
+    """Which attributes to take for a route import: one of FIELD_KEYS each, z "geometry" where points have heights, and z_depth
+    if the z field counts downwards by its name."""
+    names = sorted(r[0] for r in attribute_fields(features).collect())  # names of fields, not of features
+    heights = not features.where(F.exists(F.flatten("parts"), lambda p: F.abs(p["z"]) > 1e-9)).isEmpty()
+    found = {k: find_field(names, keys) for k, keys in FIELD_KEYS.items()}
+    depth = not heights and found["z"] is not None and "depth" in found["z"].lower()
+    return found | {"z": "geometry" if heights else found["z"], "z_depth": depth}
+
+
+def _told_apart(routes: DataFrame) -> DataFrame:
+    """route_id: the label, with the line's number behind it where several lines share one."""
+    alike = routes.groupBy("label").agg(F.count(F.lit(1)).alias("alike"))
+    held = routes.join(alike, "label")
+    return held.withColumn("route_id", F.when(F.col("alike") == 1, F.col("label")).otherwise(F.concat("label", F.lit(" #"), F.col("k").cast("string")))).drop("alike")
+
+
+def routes_from_features(features: DataFrame, name: str = "name", base: str = "line") -> DataFrame:
+    """route_id, seq, x, y, z of the line features' vertices: one route for each line, and for each part of a line of several.
+
+    A route has the line's name; without one it is the base and the number of the line as read. Lines that share a name are told
+    apart by their numbers.
+    """
+    lines = features.where("type = 'LineString'").select("attrs", F.explode("parts").alias("part"))
+    lines = counted_off(lines)
+    given = F.try_element_at("attrs", F.lit(name))
+    label = F.when(F.length(given) > 0, given).otherwise(F.concat(F.lit(f"{base} "), F.col("k").cast("string")))
+    routes = _told_apart(lines.select("k", label.alias("label"), "part"))
+    return routes.select("route_id", F.posexplode("part").alias("seq", "p")).select("route_id", "seq", "p.*")
+
+
+def routes_from_points(features: DataFrame, name: str | None = "name", kp: str | None = None, z: str | None = "geometry", z_depth: bool = False, dob: str | None = None, seabed: str | None = None, seabed_depth: bool = False, base: str = "route") -> DataFrame:
+    """route_id, seq, x, y, z, kp, dob of point features: one route for each value of the name field, in order of KP where all
+    of a route's points have one, else as read. Routes of one point are none.
+
+    z: "geometry", a field, or None; without it the cable lies its depth of burial below the seabed field. Numbers may have a
+    decimal comma; what isn't a number is null.
+    """
+
+    def number(field: str | None) -> Column:
+        return F.regexp_replace(F.try_element_at("attrs", F.lit(field)), ",", ".").try_cast("double") if field else F.lit(None).cast("double")
+
+    points = counted_off(features.where("type = 'Point'"))
+    route = F.coalesce(F.try_element_at("attrs", F.lit(name)), F.lit(base)) if name else F.lit(base)
+    at = F.col("parts")[0][0]
+    level = at["z"] if z == "geometry" else number(z)
+    if z is None and dob and seabed:
+        level = number(seabed) * (-1 if seabed_depth else 1) - number(dob)
+    elif z_depth:
+        level = -level
+    rows = points.select(route.alias("route_id"), "k", at["x"].alias("x"), at["y"].alias("y"), level.alias("z"), number(kp).alias("kp"), number(dob).alias("dob"))
+    whole = Window.partitionBy("route_id")
+    rows = rows.withColumns({"n": F.count(F.lit(1)).over(whole), "ordered": F.count("kp").over(whole) == F.count(F.lit(1)).over(whole)}).where("n >= 2")
+    order = Window.partitionBy("route_id").orderBy(F.when(F.col("ordered"), F.col("kp")), "k")
+    return rows.select("route_id", (F.row_number().over(order) - 1).alias("seq"), "x", "y", "z", F.when(F.col("ordered"), F.col("kp")).alias("kp"), "dob")
 
 
 def counts(features: DataFrame) -> DataFrame:
