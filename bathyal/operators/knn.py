@@ -7,6 +7,10 @@ equi-join on cells, so no pair outside touching cells is formed.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +18,12 @@ from bathyal.functions.expressions import cell as cell_of
 from bathyal.operators.graph import saved
 
 
+#: So many queries are settled by a pass over all candidates.
+FEW = 256
+#: Doublings of the first radius that are looked at.
+LEVELS = 12
+
+
 def pairs_within(left: DataFrame, right: DataFrame, radius: float, axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
     """a, b and d for all rows of left (point_id) and right (point_id) at most `radius` apart."""
     keys = [f"k{c}" for c in axes]
@@ -33,18 +43,66 @@ def placed(points: DataFrame, axes: tuple[str, ...]) -> DataFrame:
     return points
 
 
+def _first_radius(candidates: DataFrame, axes: tuple[str, ...], start: float, need: int, n: int) -> float:
+    """start, or the first doubling of it at which cells that hold candidates hold a third of `need` on average."""
+    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("level")
+    width = F.pow(F.lit(2.0), F.col("level")) * start
+    base = candidates.select(*[cell_of(c, start).alias(c) for c in axes]).distinct().select("*", levels)
+    cells = base.select("level", *[F.floor((F.col(c) + 0.5) * start / width).alias(c) for c in axes]).distinct().groupBy("level").count()
+    held = {r.level: r["count"] for r in cells.collect()}  # LEVELS rows
+    fit = [k for k in range(LEVELS) if n / max(held.get(k, 1), 1) * 3 >= need]
+    return start * 2.0 ** (fit[0] if fit else LEVELS - 1)
+
+
+def _scanned(few: list, candidates: DataFrame, k: int, axes: tuple[str, ...], same: bool, limit: float | None) -> DataFrame:
+    """a, b, d, rank for a few queries by one pass over all candidates: every task keeps the k nearest of each that it meets."""
+    ids = np.array([r["point_id"] for r in few], np.int64)
+    at = np.array([[r[c] for c in axes] for r in few], np.float64)
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in ids]
+        for batch in batches:
+            b, places = batch["point_id"].to_numpy(), batch[list(axes)].to_numpy(np.float64)
+            for q in range(len(ids)):
+                d = np.sqrt(sum((at[q, i] - places[:, i]) * (at[q, i] - places[:, i]) for i in range(len(axes))))
+                take = np.ones(len(d), bool) if limit is None else d <= limit
+                if same:
+                    take &= b != ids[q]
+                if len(d) > 4 * k and take.sum() > 4 * k:
+                    take &= d <= np.partition(np.where(take, d, np.inf), k - 1)[k - 1]
+                d, own = np.concatenate([best[q][0], d[take]]), np.concatenate([best[q][1], b[take]])
+                order = np.lexsort((own, d))[:k]
+                best[q] = d[order], own[order]
+        sizes = [len(d) for d, _ in best]
+        yield pd.DataFrame({"a": np.repeat(ids, sizes), "b": np.concatenate([b for _, b in best]), "d": np.concatenate([d for d, _ in best])})
+
+    found = candidates.select(F.col("point_id").cast("long").alias("point_id"), *axes).mapInPandas(nearest, "a long, b long, d double")
+    order = Window.partitionBy("a").orderBy("d", "b")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def knn(queries: DataFrame, candidates: DataFrame, k: int, start: float, axes: tuple[str, ...] = ("x", "y", "z"), same: bool = False, limit: float | None = None) -> DataFrame:
     """a, b, d, rank: the k nearest candidates of each query, nearest first, ties by id.
 
     same: queries are candidates themselves and no point is its own neighbour. limit: neighbours are no farther than this.
-    Points without finite coordinates take no part. Every round is written, so that none is computed twice.
+    Points without finite coordinates take no part. The first radius follows how many candidates cells of a size hold; once FEW
+    queries are left, such as points far from all others, one pass over the candidates settles them. Every round is written, so
+    that none is computed twice.
     """
     queries, candidates = placed(queries, axes), placed(candidates, axes)
-    left, radius, found = queries, start, []
-    need = min(k, candidates.count() - (1 if same else 0))
+    n = candidates.count()
+    need = min(k, n - (1 if same else 0))
     if need <= 0:
         return queries.sparkSession.createDataFrame([], "a long, b long, d double, rank int")
+    left, radius, found = queries, None, []
     while True:
+        few = left.select("point_id", *axes).limit(FEW + 1).collect()
+        if not few:
+            break
+        if len(few) <= FEW and all(isinstance(r["point_id"], int) for r in few):
+            found.append(saved(_scanned(few, candidates, k, axes, same, limit)))
+            break
+        radius = _first_radius(candidates, axes, start, need, n) if radius is None else radius * 2
         reach = radius if limit is None else min(radius, limit)
         pairs = pairs_within(left, candidates, reach, axes)
         if same:
@@ -58,12 +116,11 @@ def knn(queries: DataFrame, candidates: DataFrame, k: int, start: float, axes: t
         settled = saved(ranked.where(F.col("n") >= need).drop("n"))
         found.append(settled)
         left = saved(left.join(settled.select(F.col("a").alias("point_id")).distinct(), "point_id", "left_anti"))
-        if left.isEmpty():
-            break
-        radius *= 2
+    if not found:
+        return queries.sparkSession.createDataFrame([], "a long, b long, d double, rank int")
     out = found[0]
     for part in found[1:]:
-        out = out.union(part)
+        out = out.unionByName(part)
     return out
 
 
