@@ -75,8 +75,8 @@ def test_paths_prove_rows_and_keep_other_columns(spark):
     made = manifest(leaves, fanout=4, levels=2)
     rows = made.select("*", folded(F.col("path"), F.col("leaf")).alias("up"), proof(F.col("path")).alias("proof")).collect()
     assert {r.up for r in rows} == {rows[0].root} == {rows[0].subroot} and all(r.index_of == 5 for r in rows)
-    assert sorted(r.index for r in rows) == list(range(100)) and all(len(r.proof) % 64 == 0 for r in rows)
-    assert [r.doc_id for r in sorted(rows, key=lambda r: r.index)] == sorted(str(i) for i in range(100))
+    assert sorted(r["index"] for r in rows) == list(range(100)) and all(len(r.proof) % 64 == 0 for r in rows)
+    assert [r.doc_id for r in sorted(rows, key=lambda r: r["index"])] == sorted(str(i) for i in range(100))
 
 
 def test_empty_table(empty):
