@@ -15,17 +15,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bathyal.operators.graph import chained, components, saved
+from bathyal.operators.graph import REACH, chained, components, saved
 from bathyal.operators.hydrography import STANDARD_DEPTHS, safety_surface
 
 TILE = 128
-#: Rows lie within these many cells of zero, columns within twice as many.
-REACH = 1 << 29
-
-
-def cell_id(row: Column, col: Column) -> Column:
-    """A cell's number: one for each row and column within REACH."""
-    return F.shiftleft(row.cast("long") + REACH, 32) + (col.cast("long") + 2 * REACH)
 
 
 def _tile_regions(rows: pd.DataFrame) -> pd.DataFrame:

@@ -1,7 +1,8 @@
 """Water and holes on sparse surfaces: filled sinks, flow directions, accumulation, inundation, holidays and hole filling.
 
-Each is a repeated join of cells with their neighbours; the number of rounds is that of cells along the longest path, so
-large surfaces are made coarser first (grid.block). States are written between rounds.
+Each is a repeated join of cells. Accumulation doubles its steps in every round; the others go on by one cell, so their number
+of rounds is that of cells along the longest path, and large surfaces are made coarser first (grid.block). States are written
+between rounds.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bathyal.operators.graph import components, saved
+from bathyal.operators.graph import cell_id, components, saved
 from bathyal.operators.grid import neighbours8
 
 #: Fixed value: how much a filled sink rises per cell towards its inside, in metres.
@@ -48,15 +49,20 @@ def directions(filled: DataFrame, value: str = "filled") -> DataFrame:
 
 
 def accumulation(flow: DataFrame) -> DataFrame:
-    """row, col, cells: how many cells drain through each, itself included. Every round moves what has arrived one cell on."""
-    total = saved(flow.select("row", "col", F.lit(1).cast("long").alias("cells")))
-    moving = total
-    while True:
-        moved = moving.join(flow, ["row", "col"]).where("to_row is not null").groupBy(F.col("to_row").alias("row"), F.col("to_col").alias("col")).agg(F.sum("cells").alias("cells"))
-        moving = saved(moved)
-        if moving.isEmpty():
-            return total
-        total = saved(total.union(moving).groupBy("row", "col").agg(F.sum("cells").alias("cells")))
+    """row, col, cells: how many cells drain through each, itself included. flow: row, col, to_row, to_col.
+
+    In every round a cell hands what it holds to the cell that it reaches in twice as many steps as before, so the number of
+    rounds is the logarithm of the longest path.
+    """
+    start = flow.select("row", "col", cell_id(F.col("row"), F.col("col")).alias("id"), cell_id(F.col("to_row"), F.col("to_col")).alias("jump"), F.lit(1).cast("long").alias("cells"))
+    now = saved(start)
+    while not (live := now.where("jump IS NOT NULL")).isEmpty():
+        arrived = live.groupBy(F.col("jump").alias("id")).agg(F.sum("cells").alias("more"))
+        onward = now.select(F.col("id").alias("jump"), F.col("jump").alias("further"))
+        further = live.join(onward, "jump", "left").select("row", "col", "id", F.col("further").alias("jump"), "cells")
+        all_cells = further.unionByName(now.where("jump IS NULL"))
+        now = saved(all_cells.join(arrived, "id", "left").select("row", "col", "id", "jump", (F.col("cells") + F.coalesce("more", F.lit(0))).alias("cells")))
+    return now.select("row", "col", "cells")
 
 
 def streams(accumulated: DataFrame, least_cells: int) -> DataFrame:

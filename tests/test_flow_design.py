@@ -68,3 +68,26 @@ def test_migration_of_waves(spark):
     assert len(got) == 3 and all(r.reliable and r.shift == pytest.approx(7.4, abs=0.3) and r.rate == pytest.approx(3.7, abs=0.15) for r in got)
     az = spark.createDataFrame([(350.0,), (10.0,), (5.0,)], "a double").agg(design.circular_median(F.col("a"))).first()[0]
     assert az == pytest.approx(5, abs=1)
+
+
+def test_accumulation_of_a_long_path_and_a_tree(spark):
+    """A thousand cells in a row in a few rounds; a random tree as by brute force."""
+    import random
+    import time
+
+    rows = [(0, c, 0, c + 1) if c < 999 else (0, c, None, None) for c in range(1000)]
+    frame = spark.createDataFrame(rows, "row long, col long, to_row long, to_col long")
+    began = time.time()
+    got = {r.col: r.cells for r in flow.accumulation(frame).collect()}
+    assert got == {c: c + 1 for c in range(1000)} and time.time() - began < 60
+    rng = random.Random(3)
+    down = {i: rng.randrange(max(0, i - 9), i) if i and i % 17 else None for i in range(300)}
+    want = dict.fromkeys(down, 0)
+    for i in down:
+        at = i
+        while at is not None:
+            want[at] += 1
+            at = down[at]
+    rows = [(i // 20 - 5, i % 20, None if d is None else d // 20 - 5, None if d is None else d % 20) for i, d in down.items()]
+    got = {(r.row + 5) * 20 + r.col: r.cells for r in flow.accumulation(spark.createDataFrame(rows, "row long, col long, to_row long, to_col long").repartition(3)).collect()}
+    assert got == want
