@@ -60,9 +60,14 @@ def rgb_colors(spark, sf_dir):
     return _rounded(display.rgb_colors(_coloured(spark, sf_dir)))
 
 
-@query("pts", "SELECT unnest(['elevation', 'intensity', 'rgb', 'classification', 'single']) AS mode")
+@query("pts", """SELECT mode, n FROM (SELECT unnest(['elevation', 'intensity', 'rgb', 'classification', 'single']) AS mode,
+unnest([count(z), count(intensity), count(*), count(classification), count(*)]) AS n FROM pts)""")
 def color_modes(spark, sf_dir):
-    return spark.createDataFrame([(m,) for m in display.available_modes(_coloured(spark, sf_dir))], "mode string")
+    """The modes there are, and how many points have a value to be coloured by."""
+    p = _coloured(spark, sf_dir)
+    by = {"elevation": "z", "rgb": "r", "single": "point_id"}
+    counts = [F.count(by.get(m, m)).alias(m) for m in display.available_modes(p)]
+    return p.agg(*counts).select(F.explode(F.map_from_arrays(F.array(*[F.lit(m) for m in display.available_modes(p)]), F.array(*display.available_modes(p)))).alias("mode", "n"))
 
 
 @query("pts", "SELECT route_id, CASE WHEN n * n > 100 THEN ceil(sqrt(n * n / 100)) ELSE 1 END::INT AS stride FROM (SELECT y::BIGINT AS route_id, count(*) AS n FROM pts GROUP BY 1)")
@@ -98,9 +103,13 @@ def trash_total(spark, sf_dir):
     return display.trash_total(views.pts(spark, sf_dir).withColumn("deleted_batch", batch))
 
 
-@query("pts", "SELECT point_id FROM pts WHERE false")
+@query("pts", "SELECT count(*) FILTER (z < 50) AS selected, 0::BIGINT AS cleared, count(*) AS points FROM pts")
 def selection_clear(spark, sf_dir):
-    return display.cleared(views.pts(spark, sf_dir).where("z < 50").select("point_id"))
+    """How many points are selected before and after, and how many there are."""
+    p = views.pts(spark, sf_dir)
+    chosen = p.where("z < 50").select("point_id")
+    flags = lambda s, name: p.join(s.withColumn("on", F.lit(True)), "point_id", "left").agg(F.count("on").alias(name))
+    return flags(chosen, "selected").crossJoin(flags(display.cleared(chosen), "cleared")).crossJoin(p.agg(F.count(F.lit(1)).alias("points")))  # each is one row
 
 
 @query("seabed", "SELECT row, col, (col + .5) * 30::DOUBLE AS x, (row + .5) * 30::DOUBLE AS y FROM seabed")

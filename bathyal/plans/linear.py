@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bathyal.functions.expressions import round6
 from bathyal.operators import mesh, routes
 from bathyal.plans.registry import query
+from bathyal.plans.tin import FACES
 from bathyal.sources import views
 
 
@@ -175,25 +176,22 @@ def clearance_segments(spark, sf_dir):
     return _rounded(routes.clearance(views.pts(spark, sf_dir), WIRE, 5.0, 5.0))
 
 
-def _cube(spark):
-    v = [(0, i, float(i & 1), float(i >> 1 & 1), float(i >> 2)) for i in range(8)]
-    f = [(0, 2, 1), (1, 2, 3), (4, 5, 6), (5, 7, 6), (0, 1, 4), (1, 5, 4), (2, 6, 3), (3, 6, 7), (0, 4, 2), (2, 4, 6), (1, 3, 5)]
-    vertices = spark.createDataFrame(v, "mesh_id int, vid long, x double, y double, z double")
-    return vertices, spark.createDataFrame([(0, i, *t) for i, t in enumerate(f)], "mesh_id int, fid long, a long, b long, c long")
-
-
-MESH = """v AS (SELECT i AS vid, (i & 1)::DOUBLE AS x, ((i >> 1) & 1)::DOUBLE AS y, (i >> 2)::DOUBLE AS z FROM range(8) t(i)),
-f(fid, a, b, c) AS (VALUES (0, 0, 2, 1), (1, 1, 2, 3), (2, 4, 5, 6), (3, 5, 7, 6), (4, 0, 1, 4), (5, 1, 5, 4), (6, 2, 6, 3), (7, 3, 6, 7), (8, 0, 4, 2), (9, 2, 4, 6), (10, 1, 3, 5))"""
-
-
-@query("pts", f"""{MESH}, e AS (SELECT least(a, b) AS lo, greatest(a, b) AS hi FROM f UNION ALL SELECT least(b, c), greatest(b, c) FROM f UNION ALL SELECT least(a, c), greatest(a, c) FROM f)
-SELECT 0 AS mesh_id, lo::BIGINT AS lo, hi::BIGINT AS hi FROM e GROUP BY lo, hi HAVING count(*) = 1""")
+@query("seabed", f"""{FACES}, e AS (SELECT unnest([[ax, ay, bx, "by"], [bx, "by", cx, cy], [cx, cy, ax, ay]]) AS e FROM f),
+u AS (SELECT CASE WHEN (e[1], e[2]) <= (e[3], e[4]) THEN e ELSE [e[3], e[4], e[1], e[2]] END AS e FROM e)
+SELECT e[1]::DOUBLE AS x1, e[2]::DOUBLE AS y1, e[3]::DOUBLE AS x2, e[4]::DOUBLE AS y2 FROM u GROUP BY e HAVING count(*) = 1""")
 def mesh_boundary_edges(spark, sf_dir):
-    return mesh.boundary_edges(_cube(spark)[1])
+    v, f = mesh.grid_mesh(views.seabed(spark, sf_dir), 30.0)
+    at = lambda k: v.select(F.col("vid").alias(k), F.struct("x", "y").alias(f"p{k}"))
+    found = mesh.boundary_edges(f).join(at("lo"), "lo").join(at("hi"), "hi")
+    p, q = F.least("plo", "phi"), F.greatest("plo", "phi")
+    return found.select(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2"))
 
 
-@query("pts", f"""{MESH}, k AS (SELECT fid, q.x - p.x AS ux, q.y - p.y AS uy, q.z - p.z AS uz, r.x - p.x AS vx, r.y - p.y AS vy, r.z - p.z AS vz FROM f JOIN v p ON p.vid = a JOIN v q ON q.vid = b JOIN v r ON r.vid = c)
-SELECT 0 AS mesh_id, fid::BIGINT AS fid, round(sqrt((uy * vz - uz * vy) ** 2 + (uz * vx - ux * vz) ** 2 + (ux * vy - uy * vx) ** 2) / 2, 6) AS area FROM k""")
+@query("seabed", f"""{FACES}, k AS (SELECT (ax + bx + cx) / 3 AS x, (ay + "by" + cy) / 3 AS y, bx - ax AS ux, "by" - ay AS uy, bz - az AS uz, cx - ax AS vx, cy - ay AS vy, cz - az AS vz FROM f)
+SELECT round(x, 3) AS x, round(y, 3) AS y, round(sqrt((uy * vz - uz * vy) ** 2 + (uz * vx - ux * vz) ** 2 + (ux * vy - uy * vx) ** 2) / 2, 5) AS area FROM k""")
 def mesh_area(spark, sf_dir):
-    vertices, faces = _cube(spark)
-    return _rounded(mesh.face_areas(faces, vertices))
+    """The area of every face, by its middle."""
+    v, f = mesh.grid_mesh(views.seabed(spark, sf_dir), 30.0)
+    middle = lambda c: F.round((F.col(f"a{c}") + F.col(f"b{c}") + F.col(f"c{c}")) / 3, 3).alias(c)
+    places = mesh.corners(f, v).select("mesh_id", "fid", middle("x"), middle("y"))
+    return mesh.face_areas(f, v).join(places, ["mesh_id", "fid"]).select("x", "y", F.round("area", 5).alias("area"))

@@ -287,7 +287,6 @@ def _matched(name: str, method: str):
 
 
 nearest_table, idw_table = _matched("nearest_table", "nearest"), _matched("idw_table", "idw")
-nearest_whole_table, idw_whole_table = _matched("nearest_whole_table", "nearest"), _matched("idw_whole_table", "idw")
 
 
 @query("vec3", """v AS (SELECT point_id, floor(x / .15)::BIGINT AS vx, floor(y / .15)::BIGINT AS vy, floor(z / .15)::BIGINT AS vz FROM vec3),

@@ -152,9 +152,10 @@ def test_hypotheses_split_and_flag(spark):
 
 
 def cube(spark):
-    from bathyal.plans.linear import _cube
-
-    vertices, faces = _cube(spark)
+    v = [(0, i, float(i & 1), float(i >> 1 & 1), float(i >> 2)) for i in range(8)]
+    f = [(0, 2, 1), (1, 2, 3), (4, 5, 6), (5, 7, 6), (0, 1, 4), (1, 5, 4), (2, 6, 3), (3, 6, 7), (0, 4, 2), (2, 4, 6), (1, 3, 5)]
+    vertices = spark.createDataFrame(v, "mesh_id int, vid long, x double, y double, z double")
+    faces = spark.createDataFrame([(0, i, *t) for i, t in enumerate(f)], "mesh_id int, fid long, a long, b long, c long")
     last = spark.createDataFrame([(0, 11, 3, 7, 5)], faces.schema)
     return vertices, faces.union(last)
 
@@ -196,7 +197,7 @@ def test_sky_and_pick(spark):
     assert points.pick(seen, 10.0, 10.0).first().point_id == 2
 
 
-@pytest.mark.parametrize(("name", "k"), [("nearest_whole_table", 1), ("idw_whole_table", 4)])
+@pytest.mark.parametrize(("name", "k"), [("nearest_table", 1), ("idw_table", 4)])
 def test_match_whole_table(spark, name, k):
     sf = "/root/testdata/sf0.01"
     p = views.pts(spark, sf).select("point_id", "x", "y").toPandas()
