@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bathyal.plans import areas, buildings, bundle, cloth, cylinders, display, exchange, geometry, linear, robust, sandwave, survey, terrain, tin  # noqa: F401  they register their queries
+from bathyal.plans import areas, buildings, bundle, cloth, cylinders, display, exchange, geometry, linear, marks, robust, sandwave, survey, terrain, tin  # noqa: F401  they register their queries
 from bathyal.plans.registry import ORACLES, QUERIES, Query
 
 
