@@ -144,7 +144,8 @@ def _normal_equations(points: DataFrame, found: Bundle, limit: float | np.ndarra
                 jw = j * weight[:, None]
                 total[k] += np.concatenate([(jw.T @ j).ravel(), jw.T @ ek, [len(tk), float(ek @ ek)]])
         kept = np.flatnonzero(total[:, 30])
-        yield pd.DataFrame({"k": kept.astype(np.int32), "s": list(total[kept])})
+        if len(kept):  # a column without any list has no type that Arrow knows
+            yield pd.DataFrame({"k": kept.astype(np.int32), "s": list(total[kept])})
 
     parts = points.select(*AXES).mapInPandas(summed, "k int, s array<double>")
     sums = parts.select("k", F.posexplode("s").alias("i", "v")).groupBy("k", "i").agg(F.sum("v").alias("v"))
