@@ -1,4 +1,4 @@
-"""The query over depth areas and its SQL oracle, which floods cells and counts holes by Euler's formula."""
+"""The query over depth areas and its SQL oracle, which floods runs of cells until none changes and counts holes by Euler's formula."""
 
 from __future__ import annotations
 
@@ -15,13 +15,14 @@ m AS (SELECT min(depth) AS low, max(depth) AS high FROM z),
 l AS (SELECT unnest([{', '.join(f'{d}.0::DOUBLE' for d in LEVELS)}]) AS d),
 k AS (SELECT list_concat([low], list_concat((SELECT coalesce(list(d ORDER BY d), []) FROM l, m WHERE d > low AND d < high), [high])) AS e FROM m),
 c AS MATERIALIZED (SELECT row, col, len(list_filter(e[2:len(e) - 1], lambda d: depth >= d)) AS class FROM z, k),
-f AS (SELECT 0 AS it, row, col, class, row * 100000 + col AS label FROM c
+i AS MATERIALIZED (SELECT row, col, class, sum(across) OVER (ORDER BY row, col ROWS UNBOUNDED PRECEDING) AS h, sum(down) OVER (ORDER BY col, row ROWS UNBOUNDED PRECEDING) AS v FROM (
+  SELECT *, (lag(col) OVER a IS DISTINCT FROM col - 1 OR lag(class) OVER a IS DISTINCT FROM class)::INT AS across, (lag(row) OVER d IS DISTINCT FROM row - 1 OR lag(class) OVER d IS DISTINCT FROM class)::INT AS down
+  FROM c WINDOW a AS (PARTITION BY row ORDER BY col), d AS (PARTITION BY col ORDER BY row))),
+f AS (SELECT 0 AS it, row, col, class, h, v, h AS label, true AS moved FROM i
   UNION ALL
-  SELECT it + 1, row, col, class, least(label,
-    CASE WHEN lag(col) OVER across = col - 1 AND lag(class) OVER across = class THEN lag(label) OVER across ELSE label END, CASE WHEN lead(col) OVER across = col + 1 AND lead(class) OVER across = class THEN lead(label) OVER across ELSE label END,
-    CASE WHEN lag(row) OVER down = row - 1 AND lag(class) OVER down = class THEN lag(label) OVER down ELSE label END, CASE WHEN lead(row) OVER down = row + 1 AND lead(class) OVER down = class THEN lead(label) OVER down ELSE label END)
-  FROM f WHERE it < 400 WINDOW across AS (PARTITION BY row ORDER BY col), down AS (PARTITION BY col ORDER BY row)),
-g AS MATERIALIZED (SELECT row, col, class, label FROM f WHERE it = 400),
+  SELECT it + 1, row, col, class, h, v, least, bool_or(least <> label) OVER () FROM (
+    SELECT *, min(beside) OVER (PARTITION BY v) AS least FROM (SELECT *, min(label) OVER (PARTITION BY h) AS beside FROM f WHERE moved))),
+g AS MATERIALIZED (SELECT row, col, class, label FROM f WHERE NOT moved),
 n AS (SELECT g.label, g.class, g.row, g.col, (e.label IS NOT NULL)::INT AS east, (s.label IS NOT NULL)::INT AS north, (e.label IS NOT NULL AND s.label IS NOT NULL AND d.label IS NOT NULL)::INT AS block FROM g
   LEFT JOIN g e ON e.row = g.row AND e.col = g.col + 1 AND e.label = g.label LEFT JOIN g s ON s.row = g.row + 1 AND s.col = g.col AND s.label = g.label LEFT JOIN g d ON d.row = g.row + 1 AND d.col = g.col + 1 AND d.label = g.label)
 SELECT round(e[class + 1], 2) AS drval1, round(e[class + 2], 2) AS drval2, count(*) AS cells, (count(*) * 900)::DOUBLE AS area, ((4 * count(*) - 2 * sum(east + north)) * 30)::DOUBLE AS length, (1 - (count(*) - sum(east + north) + sum(block)))::BIGINT AS holes

@@ -133,3 +133,20 @@ def test_contour_lines_are_chained_without_a_group_per_line(spark):
     assert sum(steps) == pytest.approx(length) and max(steps) < 1.5
     ends = [p for line in lines for p in (line.points[0], line.points[-1]) if line.points[0] != line.points[-1]]
     assert all(min(abs(p.x - 0.5), abs(p.x - 39.5), abs(p.y - 0.5), abs(p.y - 29.5)) < 1e-9 for p in ends)  # lines end on the border only
+
+
+def test_oracle_of_depth_areas_floods_long_regions(spark, tmp_path):
+    """A strip of 600 cells is one area in SQL too, however many steps apart its ends are."""
+    import duckdb
+
+    from bathyal.plans.areas import depth_areas
+    from bathyal.plans.registry import ORACLES
+    from oracle_check import rows
+
+    orders = spark.range(600).selectExpr("id AS o_orderkey", "id * 50 AS o_custkey", "60000.0 + id AS o_totalprice", "timestamp'1992-01-05' AS o_orderdate", "'1-URGENT' AS o_orderpriority")
+    orders.toPandas().astype({"o_totalprice": float}).to_parquet(tmp_path / "orders.parquet", coerce_timestamps="us")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    mine, other = depth_areas(spark, str(tmp_path)).toPandas(), db.sql(ORACLES["depth_areas"]).df()
+    assert len(other) == 1 and other["cells"][0] == 600
+    assert rows(mine[sorted(mine)]) == rows(other[sorted(other)])
