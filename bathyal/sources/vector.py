@@ -25,8 +25,13 @@ def _point(c: Column) -> Column:
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """Features of collections, single features and bare geometries; multi-geometries are taken apart."""
+    """Features of collections, single features and bare geometries; multi-geometries are taken apart.
+
+    A file is one document, or holds one on each line if its first line is a whole document.
+    """
     text = spark.read.text(path, wholetext=True)
+    first = F.json_object_keys(F.regexp_extract("value", r"\A\s*([^\r\n]*)", 1))  # null for part of a document
+    text = text.select(F.explode(F.when(first.isNotNull(), F.split("value", "[\r\n]+")).otherwise(F.array("value"))).alias("value")).where("trim(value) <> ''")
     geometry = "struct<type:string,coordinates:string>"
     shape = f"struct<type:string,features:array<struct<geometry:{geometry},properties:map<string,string>>>,geometry:{geometry},properties:map<string,string>,coordinates:string>"
     doc = text.select(F.from_json("value", shape).alias("d"))

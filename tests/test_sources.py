@@ -118,6 +118,15 @@ def test_geojson(spark, tmp_path):
     assert '{"type":"Feature","geometry":{"type":"Point","coordinates":[1.0,2.0,3.0]},"properties":{"name":"a","n":"1"}}' in lines
 
 
+def test_geojson_with_a_document_on_each_line(spark, tmp_path):
+    point = '{"type":"Feature","properties":{"name":"%s"},"geometry":{"type":"Point","coordinates":[1,2]}}'
+    docs = ['{"type":"FeatureCollection","features":[' + ",".join(point % n for n in names) + "]}" for names in ("ab", "c")]
+    write(tmp_path, "lines.geojson", "\n".join([*docs, point % "d", ""]))
+    write(tmp_path, "whole.geojson", docs[0].replace(",", ",\n"))
+    got = vector.read_geojson(spark, str(tmp_path))
+    assert sorted(r.attrs["name"] for r in got.collect()) == ["a", "a", "b", "b", "c", "d"]
+
+
 def test_wkb(spark):
     point = struct.pack("<BI3d", 1, 1001, 1.0, 2.0, 3.0)
     line = struct.pack(">BII4d", 0, 2, 2, 0.0, 0.0, 1.0, 1.0)
