@@ -27,7 +27,7 @@ from bathyal.operators.graph import saved
 LEAF_POINTS = 1500
 #: Levels below the root; a cell has four by four children.
 LEVELS = 8
-JITTER = 1e-10
+JITTER = 1e-13
 #: Triangles whose height is less than this share of their longest edge are slivers.
 SLIVER = 1e-9
 

@@ -128,3 +128,21 @@ def test_section_meets_large_and_small_triangles(spark):
     rows = section(spark, frame(spark, x, y, x + y), {"l": [(-4000, 10), (4000, 11)]}, size=0.1).collect()
     own = sorted(rows, key=lambda r: r.ch0)
     assert sum(r.ch1 - r.ch0 for r in own) == pytest.approx(math.hypot(8000, 1)) and [r.joined for r in own].count(False) == 1
+
+
+def test_four_points_nearly_on_a_circle_over_a_large_extent(spark):
+    """Whole coordinates that span 900,000: the triangles are those of the places themselves, not only of the moved ones."""
+    rng = np.random.default_rng(3)
+    gx, gy = (g.ravel().astype(float) for g in np.mgrid[0:80, 0:80])
+    x, y = [], []
+    while len(x) < 400:
+        p = rng.integers(0, 80, (3, 2)).astype(float)
+        (ax, ay), (bx, by), (cx, cy) = [(q[0] - gx, q[1] - gy) for q in p]
+        n = [u * u + v * v for u, v in ((ax, ay), (bx, by), (cx, cy))]
+        det = np.abs(n[0] * (bx * cy - cx * by) - n[1] * (ax * cy - cx * ay) + n[2] * (ax * by - bx * ay))
+        fourth = np.flatnonzero((det >= 1) & (det <= 5))
+        if abs(np.linalg.det(np.column_stack([p, np.ones(3)]))) > 1500 and len(fourth):
+            x += [*p[:, 0], gx[fourth[0]]]
+            y += [*(p[:, 1] + 9000 * (len(y) // 4)), gy[fourth[0]] + 9000 * (len(y) // 4)]
+    v, f = tin.build_tin(frame(spark, x, y))
+    assert tin.delaunay_faults(v, f).count() == 0
