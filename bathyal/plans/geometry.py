@@ -211,11 +211,22 @@ FROM s, v WHERE level > least(a, b, c, d) AND level <= greatest(a, b, c, d))"""
 WIDE = "d AS MATERIALIZED (SELECT floor(y / 30)::BIGINT AS row, floor(x / 30)::BIGINT AS col, avg(z) AS z FROM pts GROUP BY ALL)"
 
 
-@query("pts", f"""{WIDE}, {_cuts('d', 'SELECT k * 10.0::DOUBLE + 3 AS level, k FROM range(-100, 100) t(k)')}
-SELECT level, CASE WHEN abs(level) < 1e-9 THEN 'zero' WHEN ((level - 3) / 10)::BIGINT % 5 = 0 THEN 'major' ELSE 'minor' END AS kind, sum(n)::BIGINT AS segments FROM l GROUP BY level""")
+# Heights are taken to 1e-9, so that a mean which is a level is one whatever the order of its sum; a level that only meets a corner
+# has both ends of its segment there, which is no part of a line.
+@query("pts", """d AS MATERIALIZED (SELECT floor(y / 30)::BIGINT AS row, floor(x / 30)::BIGINT AS col, round(avg(z), 9) AS z FROM pts GROUP BY ALL),
+s AS (SELECT (a.col + .5) * 30 AS x, (a.row + .5) * 30 AS y, a.z AS a, b.z AS b, c.z AS c, e.z AS d FROM d a JOIN d b ON b.row = a.row AND b.col = a.col + 1 JOIN d c ON c.row = a.row + 1 AND c.col = a.col + 1 JOIN d e ON e.row = a.row + 1 AND e.col = a.col),
+v AS (SELECT k * 10.0::DOUBLE + 3 AS level FROM range(-100, 100) t(k)),
+l AS (SELECT level, (a >= level) = ((a + b + c + d) / 4 >= level) AS joined,
+  CASE WHEN (a >= level) <> (b >= level) THEN [round(x + (level - a) / (b - a) * 30, 6), round(y, 6)] END AS s, CASE WHEN (b >= level) <> (c >= level) THEN [round(x + 30, 6), round(y + (level - b) / (c - b) * 30, 6)] END AS e,
+  CASE WHEN (c >= level) <> (d >= level) THEN [round(x + (1 - (level - c) / (d - c)) * 30, 6), round(y + 30, 6)] END AS n, CASE WHEN (d >= level) <> (a >= level) THEN [round(x, 6), round(y + (1 - (level - d) / (a - d)) * 30, 6)] END AS w
+  FROM s, v WHERE level > least(a, b, c, d) AND level <= greatest(a, b, c, d)),
+p AS (SELECT level, list_filter([s, e, n, w], lambda q: q IS NOT NULL) AS p, joined, s, e, n, w FROM l),
+g AS (SELECT level, CASE WHEN len(p) = 2 THEN (p[1] <> p[2])::INT WHEN joined THEN (s <> e)::INT + (n <> w)::INT ELSE (s <> w)::INT + (e <> n)::INT END AS n FROM p)
+SELECT level, CASE WHEN abs(level) < 1e-9 THEN 'zero' WHEN ((level - 3) / 10)::BIGINT % 5 = 0 THEN 'major' ELSE 'minor' END AS kind, sum(n)::BIGINT AS segments FROM g GROUP BY level HAVING sum(n) > 0""")
 def contour_set(spark, sf_dir):
     """Segments of all lines of a level, whichever way they were chained."""
-    d = saved(grid.build_dem(views.pts(spark, sf_dir), 30.0, "mean"))
+    d = grid.build_dem(views.pts(spark, sf_dir), 30.0, "mean")
+    d = saved(d.withColumn("z", F.round("z", 9)))
     lines = contours.make_contours(d, 30.0, 10.0, 3.0)
     return lines.groupBy("level", "kind").agg(F.sum(F.size("points") - 1).alias("segments"))
 
