@@ -30,3 +30,11 @@ def test_contour_through_a_corner(spark, tmp_path):
     z[(r == 5) & (c == 5)] = 14.0
     mine, other = both(spark, tmp_path, "contour_set", c * 30 + 15, r * 30 + 15, z)
     assert mine == other and [m[-1] for m in mine] == [4.0]
+
+
+def test_planes_that_meet(spark, tmp_path):
+    """Points near the line where two planes meet are of the plane that has more points."""
+    rng = np.random.default_rng(2)
+    x, y = rng.uniform(150, 700, 6000), rng.integers(1000, 1160, 6000)
+    mine, other = both(spark, tmp_path, "plane_segments", x, y, np.zeros(6000))
+    assert mine == other and len(mine) == 3 and mine[2][3] > ((x >= 240) & (x < 480)).sum()
