@@ -6,8 +6,10 @@ formats are decoded file by file in tasks, so many files are read at once.
 
 from __future__ import annotations
 
+import io
 import struct
 from collections.abc import Iterator, Sequence
+from itertools import islice
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -220,9 +222,9 @@ def _shp(content: bytes, rows: list[dict[str, str]] | None = None) -> Iterator[t
 
 
 def _dxf(content: bytes) -> Iterator[tuple]:
-    """LINE, POINT, LWPOLYLINE and POLYLINE entities of ASCII files."""
-    lines = content.decode("utf-8", "replace").splitlines()
-    pairs = [(int(a), b.strip()) for a, b in zip(lines[::2], lines[1::2]) if a.strip().lstrip("-").isdigit()]
+    """LINE, POINT, LWPOLYLINE and POLYLINE entities of ASCII files, read line by line."""
+    lines = io.TextIOWrapper(io.BytesIO(content), "utf-8", "replace")
+    pairs = ((int(a), b.strip()) for a, b in zip(lines, lines) if a.strip().lstrip("-").isdigit())
     kind, layer, xs, ys, zs, closed = "", "", [], [], [], False
 
     def finish() -> Iterator[tuple]:
@@ -251,6 +253,9 @@ def _dxf(content: bytes) -> Iterator[tuple]:
     yield from finish()
 
 
+#: So many features of a file are handed on at a time.
+FEATURES = 1000
+
 FORMATS = {"kml": _kml, "gpx": _gpx, "shp": _shp, "dxf": _dxf}
 
 
@@ -260,8 +265,10 @@ def read_files(spark: SparkSession, path: str, kind: str) -> DataFrame:
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
-                rows = [{"type": t, "parts": [[dict(zip("xyz", p)) for p in part] for part in parts], "attrs": attrs} for t, parts, attrs in FORMATS[kind](bytes(content))]
-                yield pd.DataFrame(rows, columns=["type", "parts", "attrs"])
+                features = FORMATS[kind](bytes(content))
+                while some := list(islice(features, FEATURES)):
+                    rows = [{"type": t, "parts": [[dict(zip("xyz", p)) for p in part] for part in parts], "attrs": attrs} for t, parts, attrs in some]
+                    yield pd.DataFrame(rows, columns=["type", "parts", "attrs"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parsed, SCHEMA)
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import struct
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -201,3 +202,16 @@ def test_geopackage(spark, tmp_path):
     assert [(r.type, r.parts[0][0].x, r.attrs["name"]) for r in first] == [("Point", 5.0, "a")]
     ways = vector.read_gpkg(spark, str(path), "ways").collect()
     assert [(r.type, len(r.parts[0])) for r in ways] == [("LineString", 2)]
+
+
+def test_dxf_is_read_without_a_copy_of_each_line():
+    """Lines of a file are not held at once: three times the file is enough."""
+    vertex = "0\nVERTEX\n8\na\n10\n1.5\n20\n2.5\n30\n0.0\n"
+    content = ("0\nSECTION\n2\nENTITIES\n" + ("0\nPOLYLINE\n8\na\n66\n1\n70\n0\n" + vertex * 50 + "0\nSEQEND\n") * 500 + "0\nENDSEC\n0\nEOF\n").encode()
+    tracemalloc.start()
+    try:
+        n = sum(len(parts[0]) for _, parts, _ in vector.FORMATS["dxf"](content))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 25_000 and peak < 3 * len(content)
