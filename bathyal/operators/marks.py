@@ -9,25 +9,93 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bathyal.functions.expressions import cell as cell_of
-from bathyal.operators.areas import regions
-from bathyal.operators.graph import chained, saved
+from bathyal.operators.graph import REACH, chained, components, saved
 from bathyal.operators.grid import surface_at
 from bathyal.operators.knn import pairs_within, placed
 
+#: Cells along a side of the tiles in which cells are linked.
+TILE = 1024
 
-def linked_cells(cells: DataFrame, bridge: int = 0) -> DataFrame:
+
+def _tile_links(rows: pd.DataFrame, reach: int) -> pd.DataFrame:
+    """row, col, region of a tile's own cells, and rows with the region of an own cell that is linked to a cell of another tile
+    (far true: row and col are that cell's).
+
+    Blocks of reach by reach cells hang together in themselves. Two blocks that touch are linked where a cell of each is at most
+    reach from the other: between blocks side by side the ends tell that, between blocks at a corner a cell of the one must be
+    nearer to the corner, both ways together, than a cell of the other.
+    """
+    rows = rows.sort_values(["row", "col"], kind="stable")
+    r, c, own = (rows[k].to_numpy() for k in ("row", "col", "own"))
+    br, bc = r // reach, c // reach
+    wide = int(bc.max() - bc.min()) + 3
+    keys, first, block = np.unique((br - br.min()) * wide + bc - bc.min() + 1, return_index=True, return_inverse=True)
+    n, u, v = len(keys), c - bc * reach, r - br * reach
+    top, low = np.full((n, reach), -1), np.full((n, reach), reach)  # of the cells in each column of a block
+    np.maximum.at(top, (block, u), v)
+    np.minimum.at(low, (block, u), v)
+    east, west = np.zeros(n, np.int64), np.full(n, reach)
+    np.maximum.at(east, block, u)
+    np.minimum.at(west, block, u)
+    from_right, from_left = np.maximum.accumulate(top[:, ::-1], 1)[:, ::-1], np.maximum.accumulate(top, 1)
+    to_left, to_right = np.minimum.accumulate(low, 1), np.minimum.accumulate(low[:, ::-1], 1)[:, ::-1]
+    links = []
+    for step, near in (
+        (1, lambda a, b: west[b] <= east[a]),
+        (wide, lambda a, b: low[b].min(1) <= top[a].max(1)),
+        (wide + 1, lambda a, b: (to_left[b] <= from_right[a]).any(1)),
+        (wide - 1, lambda a, b: (to_right[b] <= from_left[a]).any(1)),
+    ):
+        at = np.searchsorted(keys, keys + step)
+        a = np.flatnonzero(keys[np.minimum(at, n - 1)] == keys + step)
+        links.append(np.stack([a, at[a]])[:, near(a, at[a])])
+    a, b = np.concatenate(links, 1)
+    inside = own[first]  # blocks are of one tile
+    within = inside[a] & inside[b]
+    label, x, y = np.arange(n), a[within], b[within]
+    while (label[x] != label[y]).any():
+        least = np.minimum(label[x], label[y])
+        np.minimum.at(label, label[x], least)
+        np.minimum.at(label, label[y], least)
+        while (label[label] != label).any():
+            label = label[label]
+    name = ((r[first].astype(np.int64) + REACH) << 32) + c[first] + 2 * REACH
+    out = inside[a] & ~inside[b]
+    a, b = a[out], b[out]
+    return pd.DataFrame({
+        "row": np.concatenate([r[own], r[first[b]]]), "col": np.concatenate([c[own], c[first[b]]]),
+        "region": name[label[np.concatenate([block[own], a])]], "far": np.repeat([False, True], [own.sum(), len(a)]),
+    })
+
+
+def linked_cells(cells: DataFrame, bridge: int = 0, tile: int | None = None) -> DataFrame:
     """row, col, region: cells that touch, at corners too, are one region; those with up to twice
-    `bridge` empty cells between them as well. cells: row, col."""
-    near = 2 * bridge + 1
-    around = lambda c: F.explode(F.sequence(2 * F.col(c) - near, 2 * F.col(c) + near)).alias(c)
-    # at twice the resolution, cells that touch at a corner share a cell once they have grown
-    grown = cells.select(around("row"), "col").select("row", around("col"))
-    whole = regions(grown.distinct().withColumn("class", F.lit(1))).select("row", "col", "region")
-    return cells.withColumns({"r": F.col("row"), "c": F.col("col"), "row": 2 * F.col("row"), "col": 2 * F.col("col")}).join(whole, ["row", "col"]).select(F.col("r").alias("row"), F.col("c").alias("col"), "region")
+    `bridge` empty cells between them as well. cells: row, col. Regions are named after one of their cells.
+
+    Cells are linked within tiles, in numpy, and each tile sees the blocks of other tiles that touch its own; only regions that
+    meet across borders go through rounds of joins.
+    """
+    reach = 2 * bridge + 1
+    tile = max(1, (tile or TILE) // reach) * reach
+    keyed = cells.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
+    back = lambda c: F.when(F.pmod(F.col(c), F.lit(tile)) < reach, -1).otherwise(0)
+    on = F.when(F.pmod(F.col("col"), F.lit(tile)) >= tile - reach, 1).otherwise(0)
+    seen = keyed.withColumn("dr", F.explode(F.sequence(back("row"), F.lit(0)))).withColumn("dc", F.explode(F.sequence(back("col"), on)))
+    seen = seen.withColumn("own", (F.col("dr") == 0) & (F.col("dc") == 0))
+    tiles = seen.groupBy((F.floor(F.col("row") / tile) + F.col("dr")).alias("tr"), (F.floor(F.col("col") / tile) + F.col("dc")).alias("tc"))
+    found = saved(tiles.applyInPandas(lambda rows: _tile_links(rows, reach), "row long, col long, region long, far boolean"))
+    local = found.where("not far").drop("far")
+    met = found.where("far").select("row", "col", F.col("region").alias("a")).join(local.withColumnRenamed("region", "b"), ["row", "col"])
+    edges = saved(met.select("a", "b").distinct())
+    nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+    whole = components(nodes, edges).select(F.col("id").alias("region"), "component")
+    return local.join(whole, "region", "left").select("row", "col", F.coalesce("component", "region").alias("region"))
 
 
 def flat_points(points: DataFrame, cell: float = 0.25, max_above: float = 0.08, min_share: float = 0.3) -> DataFrame:

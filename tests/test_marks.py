@@ -97,3 +97,33 @@ def test_poles(spark):
     assert len(rows) == 1
     assert abs(rows[0].x - 5) < 0.02 and abs(rows[0].y - 5) < 0.02 and abs(rows[0].height - 6) < 0.15 and abs(rows[0].z_ground - 1) < 0.05
     assert {4000 <= r.point_id < 4200 for r in members.collect()} == {True}
+
+
+@pytest.mark.parametrize("bridge", [0, 1, 2])
+def test_linked_cells_across_tiles(spark, bridge):
+    """As by all pairs of cells, whatever the tiles; blocks meet at sides and corners, within tiles and across their borders."""
+    rng = np.random.default_rng(bridge)
+    size = 25 * (2 * bridge + 1)
+    held = pd.DataFrame(np.unique(rng.integers(-size, size, (500 if bridge else 900, 2)), axis=0), columns=["row", "col"])
+    p = held.to_numpy()
+    near = np.abs(p[:, None] - p).max(2) <= 2 * bridge + 1
+    label = np.arange(len(p))
+    while True:
+        least = np.where(near, label, len(p)).min(1)
+        if (least == label).all():
+            break
+        label = least
+    assert 20 < len(set(label)) < len(p) - 50
+    for tile in (2 * bridge + 1, 4 * (2 * bridge + 1), None):
+        got = marks.linked_cells(spark.createDataFrame(held), bridge, tile).toPandas().merge(held.assign(label=label), on=["row", "col"])
+        assert len(got) == len(held)
+        assert (got.groupby("region").label.nunique() == 1).all() and (got.groupby("label").region.nunique() == 1).all()
+
+
+def test_cells_are_not_multiplied_to_be_linked(spark):
+    """A tile is given its own cells and those next to it, not the cells that they grow to."""
+    cells = pd.DataFrame({"row": np.arange(0, 900, 3), "col": 500})
+    pieces = marks._tile_links(cells.assign(own=True), 5)
+    assert len(pieces) == len(cells) and pieces.region.nunique() == 1
+    found = marks.linked_cells(spark.createDataFrame(cells), 2)
+    assert (found.count(), found.select("region").distinct().count()) == (300, 1)
