@@ -304,11 +304,10 @@ def select_soundings(points: DataFrame, radius: float, high: bool = True) -> Dat
     The greedy order is met in rounds: a sounding that is first among the undecided ones around it is kept, those around it
     are dropped; this gives the greedy result whatever the partitioning. Ties go to the smaller id.
     """
-    rank = F.struct(-F.col("z") if high else F.col("z"), F.col("point_id"))
-    left = points.select("point_id", "x", "y", rank.alias("rank"))
-    near = pairs_within(left, left, radius, ("x", "y")).where((F.col("a") != F.col("b")) & (F.col("d") < radius)).select("a", "b")
-    ranks = left.select(F.col("point_id").alias("b"), F.col("rank").alias("rank_b"))
-    edges = saved(near.join(ranks, "b").join(left.select(F.col("point_id").alias("a"), "rank"), "a").where("rank_b < rank").select("a", "b"))
+    left = points.select("point_id", "x", "y", (-F.col("z") if high else F.col("z")).alias("up"))
+    near = pairs_within(left, left, radius, ("x", "y"), carry=("up",))
+    better = F.struct("b_up", "b") < F.struct("a_up", "a")
+    edges = saved(near.where((F.col("a") != F.col("b")) & (F.col("d") < radius) & better).select("a", "b"))
     undecided, kept = saved(left.select("point_id")), None
     while True:
         blocked = edges.select(F.col("a").alias("point_id")).distinct()
