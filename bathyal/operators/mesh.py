@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bathyal.functions.expressions import cell as cell_of
 from bathyal.operators.graph import components, saved
 
+#: Cells that `rasterize` looks at in one step.
+CELLS = 1 << 18
+
 
 def corners(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     """faces with the coordinates ax, ay, az, bx, ... of their corners."""
@@ -152,21 +157,44 @@ def merge(meshes: Sequence[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, Dat
     return vertices, faces
 
 
-def rasterize(faces: DataFrame, vertices: DataFrame, cell: float) -> DataFrame:
-    """row, col, z at centres of cells that a face covers; of several faces the last one counts."""
-    f = corners(faces, vertices)
-    span = lambda k: F.sequence(
-        F.ceil(F.least(f"a{k}", f"b{k}", f"c{k}") / cell - 0.5 - 1e-9).cast("long"), F.floor(F.greatest(f"a{k}", f"b{k}", f"c{k}") / cell - 0.5 + 1e-9).cast("long")
-    )
-    some = lambda k: F.floor(F.greatest(f"a{k}", f"b{k}", f"c{k}") / cell - 0.5 + 1e-9) >= F.ceil(F.least(f"a{k}", f"b{k}", f"c{k}") / cell - 0.5 - 1e-9)
-    f = f.where(some("x") & some("y")).withColumn("col", F.explode(span("x"))).withColumn("row", F.explode(span("y")))
-    px, py = (F.col("col") + 0.5) * cell, (F.col("row") + 0.5) * cell
-    det = (F.col("by") - F.col("cy")) * (F.col("ax") - F.col("cx")) + (F.col("cx") - F.col("bx")) * (F.col("ay") - F.col("cy"))
-    wa = F.try_divide((F.col("by") - F.col("cy")) * (px - F.col("cx")) + (F.col("cx") - F.col("bx")) * (py - F.col("cy")), det)
-    wb = F.try_divide((F.col("cy") - F.col("ay")) * (px - F.col("cx")) + (F.col("ax") - F.col("cx")) * (py - F.col("cy")), det)
-    f = f.withColumns({"wa": wa, "wb": wb}).where("wa >= -1e-9 and wb >= -1e-9 and wa + wb <= 1 + 1e-9")
-    z = F.col("wa") * F.col("az") + F.col("wb") * F.col("bz") + (1 - F.col("wa") - F.col("wb")) * F.col("cz")
-    return f.groupBy("row", "col").agg(F.max_by(z, "fid").alias("z"))
+def rasterize(faces: DataFrame, vertices: DataFrame | None, cell: float) -> DataFrame:
+    """row, col, z at centres of cells that a face covers; of several faces the last one counts. vertices: None where faces have
+    the places of their corners."""
+    kind = faces.schema["fid"].dataType.simpleString()
+
+    def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, z = (np.stack([batch.column(k + c).to_numpy(zero_copy_only=False) for k in "abc"]).astype(np.float64) for c in "xyz")
+            lost = np.any([batch.column(f"{k}z").is_null().to_numpy(zero_copy_only=False) for k in "abc"], axis=0)
+            good = np.flatnonzero(np.isfinite(x).all(0) & np.isfinite(y).all(0))
+            first, size = [], []
+            for v in (x[:, good], y[:, good]):
+                low, high = np.ceil(v.min(0) / cell - 0.5 - 1e-9), np.floor(v.max(0) / cell - 0.5 + 1e-9)
+                first.append(low.astype(np.int64))
+                size.append(np.maximum(0, high - low + 1).astype(np.int64))
+            ends = np.cumsum(size[0] * size[1])
+            for begin in range(0, int(ends[-1]) if len(ends) else 0, CELLS):  # cells of all boxes of faces, some at a time
+                place = np.arange(begin, min(begin + CELLS, int(ends[-1])))
+                face = np.searchsorted(ends, place, "right")
+                place -= ends[face] - size[0][face] * size[1][face]
+                row, col = first[1][face] + place // size[0][face], first[0][face] + place % size[0][face]
+                face = good[face]
+                (ax, bx, cx), (ay, by, cy) = x[:, face], y[:, face]
+                px, py = (col + 0.5) * cell, (row + 0.5) * cell
+                det = (by - cy) * (ax - cx) + (cx - bx) * (ay - cy)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    wa = ((by - cy) * (px - cx) + (cx - bx) * (py - cy)) / det
+                    wb = ((cy - ay) * (px - cx) + (ax - cx) * (py - cy)) / det
+                on = (det != 0) & (wa >= -1e-9) & (wb >= -1e-9) & (wa + wb <= 1 + 1e-9)
+                face, wa, wb = face[on], wa[on], wb[on]
+                height = wa * z[0, face] + wb * z[1, face] + (1 - wa - wb) * z[2, face]
+                columns = [pa.array(row[on]), pa.array(col[on]), batch.column("fid").take(pa.array(face)), pa.array(height, mask=lost[face])]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "col", "fid", "z"])
+
+    f = corners(faces, vertices) if vertices is not None else faces
+    places = [F.col(f"{k}{c}").cast("double").alias(f"{k}{c}") for k in "abc" for c in "xyz"]
+    f = f.select("fid", *places).mapInArrow(covered, f"row long, col long, fid {kind}, z double")
+    return f.groupBy("row", "col").agg(F.max_by("z", "fid").alias("z"))
 
 
 def grid_mesh(surface: DataFrame, cell: float, stride: int = 1) -> tuple[DataFrame, DataFrame]:

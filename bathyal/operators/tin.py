@@ -7,6 +7,9 @@ hull go on to the next level, together with the edges that separate final triang
 that is still to be found is a Delaunay triangle of the vertices that go on, and those on the final side of a wall are known
 already. So a level holds about as many points as lie near the borders of its cells.
 
+Points that come to a cell for the first time are met by `stars` before: the triangles around each of them are sought among the
+points nearby, for thousands of points at a time. Only what that leaves open, near borders and gaps, is triangulated one by one.
+
 Points that lie on one line or on one circle have no unique triangulation. All coordinates are moved by a fixed hash of the
 point's id, by at most JITTER of the extent, so that all cells agree; slivers of no height that this leaves along straight
 hulls are dropped. Points with equal x and y count once (the smallest id); points without finite coordinates take no part.
@@ -24,12 +27,16 @@ from pyspark.sql import functions as F
 
 from bathyal.operators.graph import saved
 
-LEAF_POINTS = 1500
+LEAF_POINTS = 60_000
 #: Levels below the root; a cell has four by four children.
 LEVELS = 8
 JITTER = 1e-13
 #: Triangles whose height is less than this share of their longest edge are slivers.
 SLIVER = 1e-9
+#: Points in a bucket of `stars` on average, most points around one that are looked at, and corners of a star that are sought.
+NEAR, AROUND, SIDES = 1, 160, 24
+#: Numbers that `stars` holds in one array.
+BLOCK = 1 << 17
 
 
 def _halves(x: list[float], y: list[float]) -> tuple[list[int], list[int], list[int]]:
@@ -150,11 +157,116 @@ def circles(x: np.ndarray, y: np.ndarray, corners: np.ndarray) -> tuple[np.ndarr
         return ax + ux, ay + uy, np.hypot(ux, uy)
 
 
+def stars(x: np.ndarray, y: np.ndarray, box: tuple[float, float, float, float]) -> np.ndarray:
+    """Corners, counter-clockwise, of Delaunay triangles that the points' surroundings tell: most of them where points lie evenly,
+    none in doubt. box: x1, y1, x2, y2; no other point lies in it.
+
+    Points lie in buckets of a few. Around each point, from its nearest, the next corner is the one that sees the last side under
+    the largest angle, of all in the five by five buckets about. A triangle counts if all three corners find it, if its circle lies in
+    the box and in the buckets about one of them, and if no other comes as near to its circle as rounding.
+    """
+    n, none = len(x), np.zeros((0, 3), np.int64)
+    if not 32 <= n < 1 << 20:
+        return none
+    x1, y1 = x.min(), y.min()
+    wide, high = x.max() - x1, y.max() - y1
+    side = max(math.sqrt(wide * high * NEAR / n), max(wide, high) * 2 / n)
+    if not 0 < side < math.inf:
+        return none
+    bx, by = np.floor((x - x1) / side).astype(np.int64), np.floor((y - y1) / side).astype(np.int64)
+    across, up = int(bx.max()) + 1, int(by.max()) + 1
+    order = np.argsort(by * across + bx, kind="stable")
+    xs, ys, bx, by = x[order], y[order], bx[order], by[order]
+    begins = np.concatenate([[0], np.cumsum(np.bincount(by * across + bx, minlength=across * up))])
+    first, sizes = [], []
+    for row in (by - 2, by - 1, by, by + 1, by + 2):
+        held = np.clip(row, 0, up - 1) * across
+        a, b = begins[held + np.maximum(bx - 2, 0)], begins[held + np.minimum(bx + 2, across - 1) + 1]
+        first.append(a)
+        sizes.append(np.where((row >= 0) & (row < up), b - a, 0))
+    ends = np.cumsum(sizes, axis=0)
+    asked = np.flatnonzero(ends[-1] <= AROUND)
+    found = []
+    step = BLOCK // AROUND
+    for lo in range(0, len(asked), step):
+        own = asked[lo : lo + step]
+        place = np.arange(int(ends[-1][own].max()))
+        ids = np.broadcast_to(own[:, None], (len(own), len(place))).copy()  # a point itself fills up its row
+        before = 0
+        for k in range(5):
+            end = ends[k][own]
+            on = (place >= np.broadcast_to(before, end.shape)[:, None]) & (place < end[:, None])
+            ids[on] = (place + (first[k][own] - before)[:, None])[on]
+            before = end
+        px, py = xs[own], ys[own]
+        rx, ry = xs[ids] - px[:, None], ys[ids] - py[:, None]
+        rr = rx * rx + ry * ry
+        q = np.where(rr > 0, rr, np.inf).argmin(1)
+        start, line = ids[np.arange(len(own)), q], np.arange(len(own))
+        left, right = np.maximum(x1 + (bx[own] - 2) * side, box[0]), np.minimum(x1 + (bx[own] + 3) * side, box[2])
+        low, top = np.maximum(y1 + (by[own] - 2) * side, box[1]), np.minimum(y1 + (by[own] + 3) * side, box[3])
+        left, right, low, top = (np.where(g, v, e) for v, e, g in ((left, box[0], bx[own] >= 2), (right, box[2], bx[own] < across - 2), (low, box[1], by[own] >= 2), (top, box[3], by[own] < up - 2)))
+        for _ in range(SIDES):
+            at = np.arange(len(line))
+            qx, qy = rx[at, q], ry[at, q]
+            turn = qx[:, None] * ry - qy[:, None] * rx
+            with np.errstate(divide="ignore", invalid="ignore"):
+                cot = np.where(turn > 0, (rr - qx[:, None] * rx - qy[:, None] * ry) / turn, np.inf)
+            r = cot.argmin(1)
+            best = cot[at, r]
+            cot[at, r] = np.inf
+            some = best < np.inf
+            with np.errstate(divide="ignore", invalid="ignore"):
+                doubt = 64 * np.finfo(float).eps * (1 + np.abs(best)) * (rr[at, r] + np.sqrt(rr[at, r] * rr[at, q])) / turn[at, r]
+                clear = cot.min(1) - best > doubt
+                mx, my = (qx - qy * best) / 2, (qy + qx * best) / 2
+                reach = np.hypot(mx, my) * (1 + 1e-9)
+                mx, my = mx + px[line], my + py[line]
+                held = clear & (mx - reach > left[line]) & (mx + reach < right[line]) & (my - reach > low[line]) & (my + reach < top[line])
+            p, c, d = own[line], ids[at, q], ids[at, r]
+            found.append(np.stack([p, c, d, held, clear], 1)[some])
+            on = some & (d != start[line])
+            if not on.any():
+                break
+            line, q = line[on], r[on]
+            rx, ry, rr, ids = rx[on], ry[on], rr[on], ids[on]
+    if not found:
+        return none
+    rows = np.concatenate(found)
+    corners = rows[:, :3]
+    turned = np.take_along_axis(corners, (corners.argmin(1)[:, None] + np.arange(3)) % 3, 1)
+    key, which, times = np.unique((turned[:, 0] * n + turned[:, 1]) * n + turned[:, 2], return_inverse=True, return_counts=True)
+    good = (times == 3) & (np.bincount(which, rows[:, 3], len(key)) > 0) & (np.bincount(which, rows[:, 4], len(key)) == 3)
+    key = key[good]
+    corners = np.stack([key // (n * n), key // n % n, key % n], 1)
+    sides = corners * n + np.roll(corners, -1, 1)
+    _, which, times = np.unique(sides.ravel(), return_inverse=True, return_counts=True)
+    return order[corners[(times[which].reshape(-1, 3) == 1).all(1)]]
+
+
 def settle(x: np.ndarray, y: np.ndarray, walls: set[tuple[int, int]], box: tuple[float, float, float, float]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Final triangles that weren't known, the places of points that go on and the walls between.
 
     walls: pairs of places; known triangles lie on the left of each. box: x1, y1, x2, y2; no other point lies in it.
     """
+    if walls:
+        return _settled(x, y, walls, box)
+    final, n = stars(x, y, box), len(x)
+    if not len(final):
+        return _settled(x, y, walls, box)
+    a, b = final.ravel(), np.roll(final, -1, 1).ravel()
+    open_ = ~np.isin(b * n + a, a * n + b)
+    on = np.ones(n, bool)
+    on[a] = False
+    on[a[open_]] = on[b[open_]] = True
+    rest = np.flatnonzero(on)
+    local = np.cumsum(on) - 1
+    corners, left, between = _settled(x[rest], y[rest], set(zip(local[a[open_]].tolist(), local[b[open_]].tolist(), strict=True)), box)
+    return np.concatenate([final, rest[corners]]), rest[left], [(int(rest[p]), int(rest[q])) for p, q in between]
+
+
+def _settled(x: np.ndarray, y: np.ndarray, walls: set[tuple[int, int]], box: tuple[float, float, float, float]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """What `settle` gives, by the triangulation of all points."""
     corners = delaunay(x, y)
     n = len(corners)
     left = {}
@@ -182,9 +294,14 @@ def settle(x: np.ndarray, y: np.ndarray, walls: set[tuple[int, int]], box: tuple
     return corners[inner & ~known], np.flatnonzero(on), between
 
 
+#: Columns of a corner's place.
+PLACES = [f"{k}{c}" for k in "abc" for c in "xyz"]
+SHAPE = "kind string, a long, b long, c long, x double, y double, " + ", ".join(f"{c} double" for c in PLACES)
+
+
 def _level(level: int, levels: int, size: float) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    """The step of one level: rows (kind, a, b, c, x, y) of a cell, points (a is the id) and walls (a, b), to rows of final
-    triangles (kind "t"), and points and walls that go on."""
+    """The step of one level: rows of SHAPE of a cell, points (kind "p": id a, moved x and y, place ax, ay, az) and walls ("w": a, b), to
+    rows of final triangles ("t": a, b, c and their places), and points and walls that go on."""
 
     def step(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         cx, cy = key
@@ -192,27 +309,34 @@ def _level(level: int, levels: int, size: float) -> Callable[[tuple, pd.DataFram
         box = (cx * width, cy * width, (cx + 1) * width, (cy + 1) * width) if level else (-math.inf, -math.inf, math.inf, math.inf)
         points = rows[rows["kind"] == "p"]
         ids, x, y = points["a"].to_numpy(), points["x"].to_numpy(), points["y"].to_numpy()
-        at = {i: k for k, i in enumerate(ids.tolist())}
+        place = points[["ax", "ay", "az"]].to_numpy()
         held = rows[rows["kind"] == "w"]
-        walls = {(at[a], at[b]) for a, b in zip(held["a"].tolist(), held["b"].tolist(), strict=True)}
+        walls = set()
+        if len(held):
+            at = {i: k for k, i in enumerate(ids.tolist())}
+            walls = {(at[a], at[b]) for a, b in zip(held["a"].tolist(), held["b"].tolist(), strict=True)}
         corners, on, between = settle(x, y, walls, box)
-        out = [pd.DataFrame({"kind": "t", "a": ids[corners[:, 0]], "b": ids[corners[:, 1]], "c": ids[corners[:, 2]], "x": 0.0, "y": 0.0})]
+        t = {"kind": "t"} | {k: ids[corners[:, i]] for i, k in enumerate("abc")} | {"x": 0.0, "y": 0.0}
+        out = [pd.DataFrame(t | {f"{k}{c}": place[corners[:, i], j] for i, k in enumerate("abc") for j, c in enumerate("xyz")})]
         if level:
-            out.append(pd.DataFrame({"kind": "p", "a": ids[on], "b": 0, "c": 0, "x": x[on], "y": y[on]}))
+            blank = {c: math.nan for c in PLACES}
+            out.append(pd.DataFrame({"kind": "p", "a": ids[on], "b": 0, "c": 0, "x": x[on], "y": y[on]} | blank | {f"a{c}": place[on, j] for j, c in enumerate("xyz")}))
             pairs = np.array(between, np.int64).reshape(-1, 2)
-            out.append(pd.DataFrame({"kind": "w", "a": ids[pairs[:, 0]], "b": ids[pairs[:, 1]], "c": 0, "x": x[pairs[:, 0]], "y": y[pairs[:, 0]]}))
+            out.append(pd.DataFrame({"kind": "w", "a": ids[pairs[:, 0]], "b": ids[pairs[:, 1]], "c": 0, "x": x[pairs[:, 0]], "y": y[pairs[:, 0]]} | blank))
         return pd.concat([o for o in out if len(o)] or out[:1])
 
     return step
 
 
 def triangles(points: DataFrame, leaf_points: int | None = None) -> DataFrame:
-    """a, b, c: ids of the corners of all Delaunay triangles, counter-clockwise. points: point_id (a long), x, y, z."""
+    """a, b, c: ids of the corners of all Delaunay triangles, counter-clockwise, and their places ax, ay, az, bx, ... points: point_id (a
+    long), x, y, z. A z that is no number is null."""
     leaf_points = leaf_points or LEAF_POINTS
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < math.inf)
-    single = saved(points.where(finite("x") & finite("y")).groupBy("x", "y").agg(F.min("point_id").alias("a")))
+    single = points.where(finite("x") & finite("y")).select("point_id", *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    single = saved(single.groupBy("x", "y").agg(F.min(F.struct("point_id", "z")).alias("p")).select(F.col("p.point_id").alias("a"), "x", "y", "p.z"))
     box = single.agg(*[f(c).alias(f"{c}{k}") for c in "xy" for k, f in (("1", F.min), ("2", F.max))]).first()
-    empty = points.sparkSession.createDataFrame([], "a long, b long, c long")
+    empty = points.sparkSession.createDataFrame([], ", ".join(["a long, b long, c long", *[f"{c} double" for c in PLACES]]))
     if box.x1 is None:
         return empty
     extent = max(box.x2 - box.x1, box.y2 - box.y1)
@@ -220,47 +344,55 @@ def triangles(points: DataFrame, leaf_points: int | None = None) -> DataFrame:
         return empty
     size = extent * (1 + 1e-6) / 4**LEVELS
     nudge = lambda c, seed: F.col(c) - float(box[f"{c}1"]) + F.pmod(F.xxhash64("a", F.lit(seed)), F.lit(1 << 20)) * (JITTER * extent / (1 << 20))
-    moved = single.select("a", nudge("x", 1).alias("x"), nudge("y", 2).alias("y"))
-    fine = lambda c: F.floor(F.col(c) / size).cast("long")
-    keyed = moved.withColumns({"fx": fine("x"), "fy": fine("y")})
     shift = lambda c, k: F.expr(f"shiftright({c}, cast(2 * ({LEVELS} - {k}) as int))")
-    cells = keyed.groupBy("fx", "fy").agg(F.count(F.lit(1)).alias("n")).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
-    cells = saved(cells.withColumns({"cx": shift("fx", "level"), "cy": shift("fy", "level")}))
-    fit = cells.groupBy("level", "cx", "cy").agg(F.sum("n").alias("total")).where(F.col("total") <= leaf_points)
-    start = cells.join(fit, ["level", "cx", "cy"]).groupBy("fx", "fy").agg(F.min("level").alias("start"))
-    begun = keyed.join(start, ["fx", "fy"], "left").select("a", "x", "y", F.coalesce("start", F.lit(LEVELS)).alias("start"))
-    begun = saved(begun)
-    deepest = begun.agg(F.max("start")).first()[0]
-    shape = "kind string, a long, b long, c long, x double, y double"
+    none = F.lit(None).cast("double")
+    begun = single.select("a", nudge("x", 1).alias("x"), nudge("y", 2).alias("y"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("z").alias("az"))
+    begun = begun.withColumns({f"f{c}": F.floor(F.col(c) / size).cast("long") for c in "xy"})
+    cells = begun.groupBy("fx", "fy").agg(F.count(F.lit(1)).alias("n")).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
+    # at most a cell for each leaf_points points and level
+    full = saved(cells.groupBy("level", shift("fx", "level").alias("cx"), shift("fy", "level").alias("cy")).agg(F.sum("n").alias("n")).where(F.col("n") > leaf_points))
+    start = F.lit(0)
+    deepest = max((r[0] + 1 for r in full.select("level").distinct().collect()), default=0)
+    for level in range(deepest):  # a cell within a full one is on the next level
+        held = full.where(F.col("level") == level).select((F.col("cx") * 4**LEVELS + F.col("cy")).alias("cell"), F.lit(1).alias(f"full{level}"))
+        begun = begun.withColumn("cell", shift("fx", level) * 4**LEVELS + shift("fy", level)).join(held, "cell", "left").drop("cell")
+        start = start + F.coalesce(f"full{level}", F.lit(0))
+    begun = saved(begun.select("a", "x", "y", "ax", "ay", "az", start.alias("start")))
     rows, found = None, None
     for level in range(deepest, -1, -1):
-        new = begun.where(F.col("start") == level).select(F.lit("p").alias("kind"), "a", F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("c"), "x", "y")
+        zero = F.lit(0).cast("long")
+        new = begun.where(F.col("start") == level).select(F.lit("p").alias("kind"), "a", zero.alias("b"), zero.alias("c"), "x", "y", "ax", "ay", "az", *[none.alias(c) for c in PLACES[3:]])
         rows = new if rows is None else rows.unionByName(new)
         cell = [shift(f"floor({c} / {size!r})", level).alias(f"c{c}") for c in "xy"]
-        done = saved(rows.groupBy(*cell).applyInPandas(_level(level, LEVELS, size), shape))
-        more = done.where("kind = 't'").select("a", "b", "c")
+        done = saved(rows.groupBy(*cell).applyInPandas(_level(level, LEVELS, size), SHAPE))
+        more = done.where("kind = 't'").select("a", "b", "c", *PLACES)
         found = more if found is None else found.unionByName(more)
         rows = done.where("kind <> 't'")
     return found
 
 
-def build_tin(points: DataFrame, max_edge: float = 0.0, leaf_points: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """A mesh (vertices and faces) of the Delaunay triangles without an edge over max_edge (0: no limit); each face counter-clockwise
-    from its smallest vertex. vertices: mesh_id, vid (the point's id), x, y, z; faces: mesh_id, fid, a, b, c."""
-    corners = triangles(points, leaf_points)
-    vertices = points.select(F.lit(0).alias("mesh_id"), F.col("point_id").alias("vid"), "x", "y", "z")
-    placed = corners
-    for k in "abc":
-        placed = placed.join(points.select(F.col("point_id").alias(k), F.col("x").alias(f"{k}x"), F.col("y").alias(f"{k}y")), k)
+def placed_faces(points: DataFrame, max_edge: float = 0.0, leaf_points: int | None = None) -> DataFrame:
+    """The faces of `build_tin` with the places of their corners: mesh_id, fid, a, b, c, ax, ay, az, bx, ..."""
     square = lambda p, q: (F.col(f"{p}x") - F.col(f"{q}x")) ** 2 + (F.col(f"{p}y") - F.col(f"{q}y")) ** 2
     longest = F.greatest(square("a", "b"), square("b", "c"), square("c", "a"))
     cross = (F.col("bx") - F.col("ax")) * (F.col("cy") - F.col("ay")) - (F.col("by") - F.col("ay")) * (F.col("cx") - F.col("ax"))
-    kept = placed.where(cross > SLIVER * longest)
+    kept = triangles(points, leaf_points).where(cross > SLIVER * longest)
     if max_edge > 0:
         kept = kept.where(longest <= max_edge * max_edge)
-    turned = F.when((F.col("a") < F.col("b")) & (F.col("a") < F.col("c")), F.array("a", "b", "c")).when(F.col("b") < F.col("c"), F.array("b", "c", "a")).otherwise(F.array("c", "a", "b"))
-    t = kept.select(turned.alias("t")).select(F.lit(0).alias("mesh_id"), F.xxhash64("t").alias("fid"), F.col("t")[0].alias("a"), F.col("t")[1].alias("b"), F.col("t")[2].alias("c"))
-    return vertices, t
+    corner = {k: F.struct(F.col(k).alias("v"), *[F.col(f"{k}{c}").alias(c) for c in "xyz"]) for k in "abc"}
+    order = lambda *names: F.array(*[corner[k] for k in names])
+    turned = F.when((F.col("a") < F.col("b")) & (F.col("a") < F.col("c")), order(*"abc")).when(F.col("b") < F.col("c"), order(*"bca")).otherwise(order(*"cab"))
+    t = kept.select(turned.alias("t")).select(*[F.col("t")[i].alias(k) for i, k in enumerate(("p", "q", "r"))])
+    ids = [F.col(f"{p}.v").alias(k) for p, k in zip("pqr", "abc", strict=True)]
+    places = [F.col(f"{p}.{c}").alias(f"{k}{c}") for p, k in zip("pqr", "abc", strict=True) for c in "xyz"]
+    return t.select(F.lit(0).alias("mesh_id"), F.xxhash64(F.array("p.v", "q.v", "r.v")).alias("fid"), *ids, *places)
+
+
+def build_tin(points: DataFrame, max_edge: float = 0.0, leaf_points: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """A mesh (vertices and faces) of the Delaunay triangles without an edge over max_edge (0: no limit); each face counter-clockwise
+    from its smallest vertex. vertices: mesh_id, vid (the point's id), x, y, z; faces: mesh_id, fid, a, b, c."""
+    vertices = points.select(F.lit(0).alias("mesh_id"), F.col("point_id").alias("vid"), "x", "y", "z")
+    return vertices, placed_faces(points, max_edge, leaf_points).select("mesh_id", "fid", "a", "b", "c")
 
 
 def delaunay_faults(vertices: DataFrame, faces: DataFrame, tolerance: float = 1e-9) -> DataFrame:

@@ -27,17 +27,12 @@ f AS (SELECT x0 AS ax, y0 AS ay, z00 AS az, x1 AS bx, y0 AS "by", z01 AS bz, x1
   UNION ALL SELECT x0, y0, z00, x1, y1, z11, x0, y1, z10 FROM q)"""
 
 
-def _soundings_tin(spark, sf_dir: str, z=None):
-    points = views.soundings(spark, sf_dir)
-    return tin.build_tin(points if z is None else points.withColumn("z", z))
-
-
 @query("soundings", f"""{HULL}
 SELECT (SELECT count(*) FROM p) AS vertices, 2 * (SELECT count(*) FROM p) - 2 - (SELECT count(*) FROM p WHERE EXISTS (SELECT 1 FROM h WHERE (x2 - x1) * (p.y - y1) = (y2 - y1) * (p.x - x1))) AS faces,
 round((SELECT sum(x1 * y2 - x2 * y1) FROM h) / 2, 3) AS area, 0 AS faults""")
 def tin_facts(spark, sf_dir):
     """A triangulation of n points, b of them on the hull, has 2n - 2 - b faces that fill the hull; Delaunay is all that has no fault."""
-    v, f = _soundings_tin(spark, sf_dir)
+    v, f = tin.build_tin(views.soundings(spark, sf_dir))
     used = f.select(F.explode(F.array("a", "b", "c")).alias("v")).agg(F.count_distinct("v").alias("vertices"))
     faults = tin.delaunay_faults(v, f).agg(F.count(F.lit(1)).cast("int").alias("faults"))
     flat = v.withColumn("z", F.lit(0.0))
@@ -51,15 +46,14 @@ c AS (SELECT row, col, (col + .5) * 7.3 AS x, (row + .5) * 7.3 AS y FROM
 SELECT row, col, round(.25 * x - .5 * y + 3, 5) AS z FROM c WHERE NOT EXISTS (SELECT 1 FROM h WHERE (x2 - x1) * (c.y - y1) - (y2 - y1) * (c.x - x1) < 0)""")
 def tin_plane(spark, sf_dir):
     """Heights on a plane, by triangles: every cell within the hull has the plane's height."""
-    v, f = _soundings_tin(spark, sf_dir, 0.25 * F.col("x") - 0.5 * F.col("y") + 3)
-    return mesh.rasterize(f, v, 7.3).select("row", "col", F.round("z", 5).alias("z"))
+    points = views.soundings(spark, sf_dir).withColumn("z", 0.25 * F.col("x") - 0.5 * F.col("y") + 3)
+    return mesh.rasterize(tin.placed_faces(points), None, 7.3).select("row", "col", F.round("z", 5).alias("z"))
 
 
 @query()
 def tin_limited(spark, sf_dir):
     """Faces, area and volume over zero of the triangles of all points that have no edge over 5."""
-    v, f = tin.build_tin(views.pts(spark, sf_dir), max_edge=5.0)
-    heights = mesh.corners(f, v)
+    heights = tin.placed_faces(views.pts(spark, sf_dir), max_edge=5.0)
     area = ((F.col("bx") - F.col("ax")) * (F.col("cy") - F.col("ay")) - (F.col("by") - F.col("ay")) * (F.col("cx") - F.col("ax"))) / 2
     return heights.agg(F.count(F.lit(1)).alias("faces"), F.round(F.sum(area), 6).alias("area"), F.round(F.sum(area * (F.col("az") + F.col("bz") + F.col("cz")) / 3), 4).alias("volume"))
 

@@ -59,6 +59,41 @@ def test_small_sets_against_all_triples_across_borders(spark):
     assert corners(tin.build_tin(frame(spark, x, y), leaf_points=3)[1]) == brute(x, y)
 
 
+def test_stars_find_most_triangles_and_no_wrong_one():
+    """Even points, moved lattices, clusters and tracks: stars give triangles of the whole, and settle the rest with them."""
+    rng = np.random.default_rng(4)
+    whole = (-math.inf, -math.inf, math.inf, math.inf)
+    gx, gy = (g.ravel() + rng.random(g.size) * 1e-8 for g in np.meshgrid(np.arange(60.0), np.arange(40.0)))
+    clusters = np.concatenate([rng.normal(0, 1, 900), rng.normal(0, 0.001, 900)]), np.concatenate([rng.normal(0, 1, 900), rng.normal(0, 0.001, 900)])
+    tracks = np.tile(np.arange(500.0), 4) + rng.random(2000) * 0.1, np.repeat(np.arange(4) * 40.0, 500) + rng.random(2000) * 0.1
+    for (x, y), share in (((rng.random(4000) * 100, rng.random(4000) * 60), 0.9), ((gx, gy), 0.9), (clusters, 0), (tracks, 0), (tracks[::-1], 0)):
+        turned = lambda rows: {tuple(np.roll(r, -int(np.argmin(r))).tolist()) for r in rows}
+        want, found = turned(tin.delaunay(x, y)), turned(tin.stars(x, y, whole))
+        assert found <= want and len(found) >= share * len(want)
+        assert turned(tin.settle(x, y, set(), whole)[0]) == want
+
+
+def test_stars_need_their_circles_within_the_box():
+    rng = np.random.default_rng(6)
+    x, y = rng.random(3000) * 10, rng.random(3000) * 10
+    inner = (x > 3) & (x < 7) & (y > 2) & (y < 8)
+    ids = np.flatnonzero(inner)
+    found = ids[tin.stars(x[inner], y[inner], (3.0, 2.0, 7.0, 8.0))]
+    want = {tuple(sorted(t)) for t in tin.delaunay(x, y).tolist()}
+    assert len(found) > 1000 and {tuple(sorted(t)) for t in found.tolist()} <= want
+
+
+def test_placed_faces_are_those_of_the_mesh(spark):
+    rng = np.random.default_rng(7)
+    points = frame(spark, rng.random(300) * 9, rng.random(300) * 9, rng.random(300))
+    v, f = tin.build_tin(points, max_edge=2.0, leaf_points=40)
+    placed = tin.placed_faces(points, max_edge=2.0, leaf_points=40)
+    names = ["fid", "a", "b", "c", *tin.PLACES]
+    assert sorted(mesh.corners(f, v).select(names).collect()) == sorted(placed.select(names).collect())
+    cells = lambda faces, vertices: sorted(mesh.rasterize(faces, vertices, 0.7).collect())
+    assert cells(placed, None) == cells(f, v)
+
+
 def test_lattices_copies_and_points_that_take_no_part(spark):
     gx, gy = (g.ravel() for g in np.meshgrid(np.arange(20.0), np.arange(15.0)))
     x, y = np.concatenate([gx, gx[:50], [np.nan, np.inf]]), np.concatenate([gy, gy[:50], [1.0, 2.0]])
