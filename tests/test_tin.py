@@ -94,6 +94,15 @@ def test_placed_faces_are_those_of_the_mesh(spark):
     assert cells(placed, None) == cells(f, v)
 
 
+def test_tin_limited_joins_no_corners(spark, sf):
+    """Faces bring the places of their corners, so nothing is joined after the triangulation."""
+    from bathyal.plans.tin import tin_limited
+
+    found = tin_limited(spark, sf)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.first().faces > 0
+
+
 def test_lattices_copies_and_points_that_take_no_part(spark):
     gx, gy = (g.ravel() for g in np.meshgrid(np.arange(20.0), np.arange(15.0)))
     x, y = np.concatenate([gx, gx[:50], [np.nan, np.inf]]), np.concatenate([gy, gy[:50], [1.0, 2.0]])
