@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bathyal.operators import grid, mesh
-from bathyal.operators.graph import passing_folder
+from bathyal.operators.graph import passing_folder, saved
 from bathyal.plans.registry import query
 from bathyal.sinks import writers
 from bathyal.sources import grids, las, text, vector, views
@@ -244,7 +244,8 @@ SELECT 'obj' AS kind, (SELECT count(*) FROM seabed) AS vertices, (SELECT 2 * cou
 UNION ALL SELECT 'dxf', (SELECT 8 * count(*) FROM s), (SELECT 2 * count(*) FROM s) UNION ALL SELECT 'stl', (SELECT 6 * count(*) FROM s), (SELECT 2 * count(*) FROM s)""")
 def mesh_files(spark, sf_dir):
     """What OBJ, PLY, DXF and STL files of a surface's mesh hold; DXF faces name four corners, STL faces three."""
-    v, f = mesh.grid_mesh(views.seabed(spark, sf_dir), 30.0)
+    v, f = mesh.grid_mesh(saved(views.seabed(spark, sf_dir)), 30.0)
+    v, f = saved(v), saved(f)  # every file takes them several times
     path = passing_folder(spark, "exchange")
     for kind in ("obj", "dxf"):
         writers.write_mesh(v, f, f"{path}/{kind}", kind)
