@@ -59,12 +59,12 @@ def regions(cells: DataFrame, tile: int | None = None) -> DataFrame:
     for axis, other in (("row", "col"), ("col", "row")):  # cells on both sides of a border between tiles
         high = local.where(F.pmod(F.col(axis) + 1, F.lit(tile)) == 0).select((F.col(axis) + 1).alias(axis), other, "class", F.col("region").alias("a"))
         low = local.where(F.pmod(F.col(axis), F.lit(tile)) == 0).select(axis, other, "class", F.col("region").alias("b"))
-        met = high.join(low, [axis, other, "class"]).select("a", "b")
+        met = high.join(low.hint("merge"), [axis, other, "class"]).select("a", "b")
         edges = met if edges is None else edges.unionByName(met)
     edges = saved(edges.distinct())
     nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
     whole = components(nodes, edges).select(F.col("id").alias("region"), "component")
-    return local.join(whole, "region", "left").select("row", "col", "class", F.coalesce("component", "region").alias("region"))
+    return local.join(whole.hint("merge"), "region", "left").select("row", "col", "class", F.coalesce("component", "region").alias("region"))
 
 
 #: Sides of a cell (0 south, 1 east, 2 north, 3 west), counter-clockwise: where they begin and end (columns, rows), the cell beyond,
@@ -115,13 +115,13 @@ def rings(cells: DataFrame, cell: float = 1.0) -> tuple[DataFrame, DataFrame]:
     a hole is negative, so a region's areas add up to that of its cells.
     """
     edges = saved(ring_edges(cells))
-    placed = saved(edges.join(chained(edges.select("id", "nxt")), "id"))
+    placed = saved(edges.join(chained(edges.select("id", "nxt")).hint("merge"), "id"))
     area = (F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")) / 2
     facts = placed.groupBy("region", F.col("chain").alias("ring")).agg((F.sum(area) * cell * cell).alias("area"), (F.count(F.lit(1)) * cell).alias("length"))
     facts = saved(facts.select("region", "ring", (F.col("area") > 0).alias("outer"), "area", "length"))
     corner = placed.where("turns").select("region", F.col("chain").alias("ring"), (-F.col("left")).alias("seq"), (F.col("x2") * cell).alias("x"), (F.col("y2") * cell).alias("y"))
     inner = facts.where("not outer").select("ring", F.lit(False).alias("outer"))
-    return facts, corner.join(inner, "ring", "left").select("region", "ring", F.coalesce("outer", F.lit(True)).alias("outer"), "seq", "x", "y")
+    return facts, corner.join(inner.hint("merge"), "ring", "left").select("region", "ring", F.coalesce("outer", F.lit(True)).alias("outer"), "seq", "x", "y")
 
 
 def polygons(corners: DataFrame) -> DataFrame:

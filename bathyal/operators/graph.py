@@ -49,7 +49,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Every round each node with a smaller neighbour points to the least of them, pointers double their reach until all end at a
     node without one, and edges are drawn again between such nodes. At most half of the nodes are left after a round, and edges,
-    once each, travel once a round, not once a doubling.
+    once each, travel once a round, not once a doubling. Joins are by merging, here and in `chained`: a table small enough to be
+    broadcast would pass through the driver in every round.
     """
     least, most = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     left = saved(edges.select("a", "b").where("a <> b").select(least, most).distinct())
@@ -58,14 +59,14 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         up = saved(left.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("up")))
         while True:
             onward = up.select(F.col("id").alias("up"), F.col("up").alias("further"))
-            stepped = saved(up.join(onward, "up", "left").select("id", F.coalesce("further", "up").alias("up"), F.col("further").isNotNull().alias("moved")))
+            stepped = saved(up.join(onward.hint("merge"), "up", "left").select("id", F.coalesce("further", "up").alias("up"), F.col("further").isNotNull().alias("moved")))
             up = stepped.drop("moved")
             if stepped.where("moved").isEmpty():
                 break
-        labels = saved(labels.join(up.select(F.col("id").alias("component"), "up"), "component", "left").select("id", F.coalesce("up", "component").alias("component")))
+        labels = saved(labels.join(up.select(F.col("id").alias("component"), "up").hint("merge"), "component", "left").select("id", F.coalesce("up", "component").alias("component")))
         for side in "ab":
             other = "b" if side == "a" else "a"
-            left = left.join(up.withColumnRenamed("id", side), side, "left").select(F.coalesce("up", side).alias(side), other)
+            left = left.join(up.withColumnRenamed("id", side).hint("merge"), side, "left").select(F.coalesce("up", side).alias(side), other)
         left = saved(left.where("a <> b").select(least, most).distinct())
     return labels
 
@@ -81,19 +82,19 @@ def chained(links: DataFrame) -> DataFrame:
     now = saved(links.select("id", F.col("nxt").alias("jump"), F.col("id").alias("least")))
     while True:  # the smallest id ahead; the ways of open chains come to an end
         onward = now.select(F.col("id").alias("jump"), F.col("jump").alias("further"), F.col("least").alias("other"))
-        live = now.where("jump IS NOT NULL").join(onward, "jump")
+        live = now.where("jump IS NOT NULL").join(onward.hint("merge"), "jump")
         live = live.select("id", F.col("further").alias("jump"), F.least("least", "other").alias("least"), (F.col("further").isNull() | (F.col("other") < F.col("least"))).alias("moved"))
         stepped = saved(live.unionByName(now.where("jump IS NULL").withColumn("moved", F.lit(False))))
         now = stepped.drop("moved")
         if stepped.where("moved").isEmpty():
             break
-    cut = links.join(now.select("id", F.col("jump").isNotNull().alias("cycle"), "least"), "id")
+    cut = links.join(now.select("id", F.col("jump").isNotNull().alias("cycle"), "least").hint("merge"), "id")
     cut = cut.select("id", F.when(~(F.col("cycle") & (F.col("nxt") == F.col("least"))), F.col("nxt")).alias("jump"), "cycle")
     state = cut.select("id", "jump", "cycle", F.coalesce("jump", "id").alias("chain"), F.col("jump").isNotNull().cast("long").alias("left"))
     now = saved(state)
     while not now.where("jump IS NOT NULL").isEmpty():
         onward = now.select(F.col("id").alias("jump"), F.col("jump").alias("further"), F.col("chain").alias("end"), F.col("left").alias("more"))
-        live = now.where("jump IS NOT NULL").join(onward, "jump")
+        live = now.where("jump IS NOT NULL").join(onward.hint("merge"), "jump")
         live = live.select("id", F.col("further").alias("jump"), "cycle", F.col("end").alias("chain"), (F.col("left") + F.col("more")).alias("left"))
         now = saved(live.unionByName(now.where("jump IS NULL")))
     return now.select("id", "chain", "left", "cycle")

@@ -35,3 +35,24 @@ def test_components_of_chains_and_random_edges(spark, monkeypatch):
     monkeypatch.setattr(graph, "saved", lambda df: written.append(df.columns) or saved(df))
     graph.components(frame([(i,) for i in range(40)], ["id"]), frame(edges[:39], ["a", "b"]))
     assert written.count(["a", "b"]) == 2 and written.count(["id", "component"]) == 1
+
+
+def test_rounds_broadcast_nothing(spark, monkeypatch):
+    """Tables of a round are small here, yet no join sends one through the driver."""
+    from pyspark.sql import functions as F
+
+    from bathyal.operators import areas, graph
+
+    plans = []
+    write = graph.saved
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(graph, "saved", kept)
+    monkeypatch.setattr(areas, "saved", kept)
+    cells = spark.range(60).select((F.col("id") % 10).alias("row"), F.floor(F.col("id") / 10).alias("col"), F.lit(1).alias("class"))
+    facts, corners = areas.rings(areas.regions(cells, tile=4))
+    assert facts.count() == 1 and corners.count() == 4
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
