@@ -248,8 +248,7 @@ m AS (SELECT a, avg(d) AS mean_d FROM k WHERE rank <= 8 GROUP BY a)"""
 @query("vec3", f"{KNN} SELECT a AS point_id, round(mean_d, 6) AS mean_d FROM m")
 def knn_mean_distance(spark, sf_dir):
     v = views.vec3(spark, sf_dir)
-    near = knn.knn(v, v, 8, 0.08, same=True)
-    return near.groupBy(F.col("a").alias("point_id")).agg(round6(F.avg("d")).alias("mean_d"))
+    return knn.mean_distances(v, 8).select("point_id", round6(F.col("mean_d")).alias("mean_d"))
 
 
 @query("vec3", f"{KNN} SELECT a AS point_id, round(mean_d, 6) AS mean_d FROM m WHERE mean_d > (SELECT avg(mean_d) + 2 * stddev_pop(mean_d) FROM m)")
