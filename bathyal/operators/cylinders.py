@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +36,12 @@ def _minus(a: Vector, b: Vector) -> Vector:
     return tuple(c - d for c, d in zip(a, b, strict=True))
 
 
+def _first_of_slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The row of least hash in each cell and slot, of those in a batch."""
+    for batch in batches:
+        yield batch.sort_values(["hash", "point_id"]).drop_duplicates(["cx", "cy", "cz", "slot"])
+
+
 def cylinder_hypotheses(points: DataFrame, size: float, axis: str, r_min: float, r_max: float, seed: int) -> DataFrame:
     """cx, cy, cz (a cell), h, a place on the axis (px, py, pz), its direction (ax, ay, az) and r for up to DRAWS pairs of a cell.
 
@@ -42,9 +49,10 @@ def cylinder_hypotheses(points: DataFrame, size: float, axis: str, r_min: float,
     normals, seen in its direction, meet. points: point_id, x, y, z, nx, ny, nz.
     """
     at = F.struct(*AXES, *NORMAL)
-    slot = F.pmod(F.xxhash64("point_id", F.lit(seed)), F.lit(2 * DRAWS))
-    rank = F.struct(F.xxhash64("point_id", F.lit(seed), F.lit(1)), "point_id")
-    drawn = points.groupBy(*_cells(size), slot.alias("slot")).agg(F.min_by(at, rank).alias("p"))
+    slot = F.pmod(F.xxhash64("point_id", F.lit(seed)), F.lit(2 * DRAWS)).alias("slot")
+    ranked = points.select("point_id", *AXES, *NORMAL, *_cells(size), slot, F.xxhash64("point_id", F.lit(seed), F.lit(1)).alias("hash"))
+    first = ranked.mapInPandas(_first_of_slots, ranked.schema)  # Spark sorts what min_by takes: few rows of a crowded cell are left for it
+    drawn = first.groupBy("cx", "cy", "cz", "slot").agg(F.min_by(at, F.struct("hash", "point_id")).alias("p"))
     pairs = drawn.groupBy("cx", "cy", "cz", F.floor(F.col("slot") / 2).cast("int").alias("h")).agg(
         F.max(F.when(F.col("slot") % 2 == 0, F.col("p"))).alias("p"), F.max(F.when(F.col("slot") % 2 == 1, F.col("p"))).alias("q")
     )
@@ -85,17 +93,49 @@ def _cells(size: float) -> list[Column]:
     return [cell_of(c, size).alias(f"c{c}") for c in AXES]
 
 
+HYPOTHESIS = ("px", "py", "pz", "ax", "ay", "az", "r")
+
+
+def _scored(limit: float):
+    """Rows of points (x, y, z, nx, ny, nz, cx, cy, cz) with the hypotheses of their cell (h, px, ... as lists) to rows of cells and
+    hypotheses: points that agree and the sum of their errors in millionths. All pairs of a batch are held as columns."""
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            one = lambda c: batch.column(c).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            many = lambda c: batch.column(c).flatten().to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            sizes = batch.column("h").value_lengths().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            h, (px, py, pz, ax, ay, az, r) = many("h"), (many(c) for c in HYPOTHESIS)
+            dx, dy, dz = one("x")[row] - px, one("y")[row] - py, one("z")[row] - pz
+            along = dx * ax + dy * ay + dz * az
+            off = np.abs(np.sqrt(np.maximum(dx * dx + dy * dy + dz * dz - along * along, 0.0)) - r)
+            loose = np.maximum(2 * limit, SHARES[2] * r)
+            agrees = (off < loose) & (np.abs(one("nx")[row] * ax + one("ny")[row] * ay + one("nz")[row] * az) < 0.4)
+            on = np.flatnonzero(agrees)
+            cell = pd.DataFrame({c: one(c) for c in ("cx", "cy", "cz")}).groupby(["cx", "cy", "cz"], sort=False).ngroup().to_numpy()
+            _, first, which = np.unique(cell[row[on]] * DRAWS + h[on], return_index=True, return_inverse=True)
+            # sums of whole millionths, so that their order doesn't matter
+            error = np.bincount(which, np.floor(off[on] / loose[on] * 1e6 + 0.5), len(first)).astype(np.int64)
+            at = on[first]
+            facts = [a[at] for a in (px, py, pz, ax, ay, az, r)]
+            columns = [one(c)[row[at]] for c in ("cx", "cy", "cz")] + [h[at], np.bincount(which, minlength=len(first)).astype(np.int64), error, *facts]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["cx", "cy", "cz", "h", "n", "e", *HYPOTHESIS])
+
+    return scored
+
+
 def _best_of_cells(points: DataFrame, hypotheses: DataFrame, limit: float, size: float, least: int) -> list:
     """The hypothesis on which most points of its own cell agree, for the REFINED cells with most."""
-    rows = points.select(*AXES, *NORMAL, *_cells(size)).join(hypotheses, ["cx", "cy", "cz"])
-    a = _fields_of("ax", "ay", "az")
-    off = _across(_minus(_fields_of(*AXES), _fields_of("px", "py", "pz")), a) - F.col("r")
-    loose = F.greatest(F.lit(2 * limit), SHARES[2] * F.col("r"))
-    agrees = (F.abs(off) < loose) & (F.abs(dot(_fields_of(*NORMAL), a)) < 0.4)
-    # sums of whole millionths, so that their order doesn't matter
-    error = F.sum(F.when(agrees, F.round(F.abs(off) / loose * 1e6).cast("long")))
-    facts = ["px", "py", "pz", "ax", "ay", "az", "r"]
-    scores = rows.groupBy("cx", "cy", "cz", "h").agg(F.count_if(agrees).alias("n"), error.alias("e"), *[F.first(c).alias(c) for c in facts])
+    lists = hypotheses.groupBy("cx", "cy", "cz").agg(F.collect_list(F.struct("h", *HYPOTHESIS)).alias("l"))
+    lists = lists.select("cx", "cy", "cz", *[F.col(f"l.{c}").alias(c) for c in ("h", *HYPOTHESIS)])  # DRAWS of a cell at most
+    rows = points.select(*AXES, *NORMAL, *_cells(size)).join(lists, ["cx", "cy", "cz"])
+    kind = f"cx long, cy long, cz long, h int, n long, e long, {', '.join(f'{c} double' for c in HYPOTHESIS)}"
+    parts = rows.mapInArrow(_scored(limit), kind)
+    facts = list(HYPOTHESIS)
+    scores = parts.groupBy("cx", "cy", "cz", "h").agg(F.sum("n").alias("n"), F.sum("e").alias("e"), *[F.first(c).alias(c) for c in facts])
     best = scores.where(F.col("n") >= least).groupBy("cx", "cy", "cz").agg(F.max_by(F.struct("n", *facts), F.struct("n", -F.col("e"), "h")).alias("s"))
     return best.select("cx", "cy", "cz", "s.*").orderBy(F.desc("n"), "cx", "cy", "cz").limit(REFINED).collect()
 
@@ -122,6 +162,35 @@ class Bundle:
         q2 = (p * p).sum(1)[:, None] - 2 * p @ self.place.T + (self.place * self.place).sum(1)
         return t, np.sqrt(np.maximum(q2 - t * t, 0)) - self.r
 
+    def balls(self, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Factors of (1, x, y, z, x2 + y2 + z2) whose sum is positive outside the ball around all that may lie within the limits of a
+        cylinder's stretch, and a share of these numbers that is more than rounding; None where a stretch has no end."""
+        reach = np.maximum(np.abs(self.low), np.abs(self.high))
+        if not np.isfinite(reach).all():
+            return None
+        own = (self.place * self.place).sum(1)
+        return np.vstack([own - reach * reach - (self.r + limits) ** 2, -2 * self.place.T, np.ones(len(own))]), 1e-12 * (1 + own)
+
+    def near(self, p: np.ndarray, limits: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each cylinder the rows within its limits and stretch, if any: steps from its place, places along its axis, distances.
+
+        One product tells which rows lie in the ball around a stretch; only those are looked at further."""
+        balls = self.balls(limits)
+        inside = None
+        if balls is not None:
+            p2 = (p * p).sum(1)
+            factors, slack = balls
+            inside = (factors.T @ np.vstack([np.ones(len(p)), p.T, p2])) <= (slack + 1e-12 * p2.max(initial=0.0))[:, None]
+        for k in range(len(self.r)):
+            q = (p if inside is None else p[np.flatnonzero(inside[k])]) - self.place[k]
+            if not len(q):
+                continue
+            t = q @ self.along[k]
+            e = np.sqrt(np.maximum(np.einsum("ij,ij->i", q, q) - t * t, 0)) - self.r[k]
+            on = np.flatnonzero((np.abs(e) < limits[k]) & (t >= self.low[k]) & (t <= self.high[k]))
+            if len(on):
+                yield k, q[on], t[on], e[on]
+
 
 def _normal_equations(points: DataFrame, found: Bundle, limit: float | np.ndarray) -> dict[int, np.ndarray]:
     """For each cylinder the sums of its points' weighted Jacobians (5 x 5), right sides (5), weights and squares, in one pass."""
@@ -132,17 +201,12 @@ def _normal_equations(points: DataFrame, found: Bundle, limit: float | np.ndarra
         total = np.zeros((len(found.r), 32))
         for batch in batches:
             p = batch[list(AXES)].to_numpy(np.float64)
-            t, e = found.offsets(p)
-            near = (np.abs(e) < limits) & (t >= found.low) & (t <= found.high)
-            for k in np.flatnonzero(near.any(0)):
-                on = near[:, k]
-                q, tk, ek = p[on] - found.place[k], t[on, k], e[on, k]
-                radial = (q - tk[:, None] * found.along[k]) / np.maximum(ek + found.r[k], 1e-12)[:, None]
-                ru, rw = radial @ u[k], radial @ w[k]
-                j = np.column_stack([-tk * ru, -tk * rw, -ru, -rw, -np.ones(len(tk))])
-                weight = 1 / np.sqrt(1 + (2 * ek / limits[k]) ** 2)
-                jw = j * weight[:, None]
-                total[k] += np.concatenate([(jw.T @ j).ravel(), jw.T @ ek, [len(tk), float(ek @ ek)]])
+            for k, q, tk, ek in found.near(p, limits):
+                d = np.maximum(ek + found.r[k], 1e-12)
+                ru, rw = (q @ u[k]) / d, (q @ w[k]) / d
+                j = np.stack([-tk * ru, -tk * rw, -ru, -rw, np.full(len(tk), -1.0)])
+                jw = j / np.sqrt(1 + (2 * ek / limits[k]) ** 2)
+                total[k] += np.concatenate([(jw @ j.T).ravel(), jw @ ek, [len(tk), float(ek @ ek)]])
         kept = np.flatnonzero(total[:, 30])
         if len(kept):  # a column without any list has no type that Arrow knows
             yield pd.DataFrame({"k": kept.astype(np.int32), "s": list(total[kept])})
@@ -214,8 +278,8 @@ def detect_cylinders(
 
     axis: `vertical` looks at points with a flat normal only and takes tilts up to max_tilt; `any` takes every direction. Points within
     the limit of a surface in one run along its axis are the cylinder's, if they are min_points or more. size: of the cells that
-    hypotheses are drawn in, twice r_max by default. normals: point_id, nx, ny, nz; without it they are those of local planes of
-    k points. Points without finite coordinates take no part; an empty cloud has no cylinders; of repeated points all are counted.
+    hypotheses are drawn in, twice r_max by default. normals: point_id, nx, ny, nz, or points itself if it holds them, which saves a
+    join; without it they are those of local planes of k points. Points without finite coordinates take no part; an empty cloud has no cylinders; of repeated points all are counted.
     Search ends with max_count cylinders (the number asked for), or after two rounds in a row without one.
     """
     if axis not in ("vertical", "any"):
@@ -223,10 +287,11 @@ def detect_cylinders(
     spark = points.sparkSession
     kind = points.schema["point_id"].dataType.simpleString()
     size = size or 2 * r_max
-    held = placed(points.select("point_id", *AXES), AXES)
+    own = normals is points and list(NORMAL) or []
+    held = placed(saved(points.select("point_id", *AXES, *own)), AXES)
     middle = held.agg(*[F.round((F.min(c) + F.max(c)) / 2).alias(c) for c in AXES]).first()
     centre = np.array([middle[c] or 0.0 for c in AXES])
-    held = saved(held.select("point_id", *[(F.col(c) - float(centre[i])).alias(c) for i, c in enumerate(AXES)]))
+    held = held.select("point_id", *[(F.col(c) - float(centre[i])).alias(c) for i, c in enumerate(AXES)], *own)
     if normals is None:
         start = max(r_min, limit)
         normals = local_planes(held, k, start) if held.limit(k + 1).count() > k else None
@@ -234,7 +299,7 @@ def detect_cylinders(
     members = None
     if normals is None:
         return spark.createDataFrame(facts, FACTS), spark.createDataFrame([], f"point_id {kind}, cylinder int")
-    pool = held.join(normals.select("point_id", *NORMAL), "point_id")
+    pool = held if own else held.join(normals.select("point_id", *NORMAL), "point_id")
     if axis == "vertical":
         pool = pool.where(F.abs("nz") < 0.5)
     pool = saved(pool)
@@ -295,7 +360,8 @@ def detect_cylinders(
             facts.append((name, n, r, float(length), *map(float, a), *map(float, base), *map(float, top), tilt, rms[name]))
         more = mine.select("point_id", "cylinder")
         members = more if members is None else members.unionByName(more)
-        pool = saved(pool.join(more.select("point_id").distinct(), "point_id", "left_anti"))
+        if len(facts) < max_count:
+            pool = saved(pool.join(more.select("point_id").distinct(), "point_id", "left_anti"))
     return spark.createDataFrame(facts, FACTS), members if members is not None else spark.createDataFrame([], f"point_id {kind}, cylinder int")
 
 

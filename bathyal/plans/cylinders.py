@@ -54,17 +54,17 @@ def _pipe(k: int) -> str:
 @query("pts", f"p AS (SELECT CASE WHEN point_id % 10 = 9 THEN 2 ELSE point_id % 2 END AS part, {_SHARE_SQL} AS s FROM pts) {' UNION ALL '.join(map(_pipe, range(2)))}")
 def pipe_segments(spark, sf_dir):
     """All points on two pipes of any direction, but one in ten, which lie about: points, radius, length, axis, and the volume of the mesh."""
-    bent = views.pts(spark, sf_dir).withColumns({"g": F.expr(_ANGLE), "s": F.expr(_SHARE)})
+    bent = views.pts(spark, sf_dir).withColumns({"g": F.expr(_ANGLE), "s": F.expr(_SHARE)}).withColumns({"u": F.cos("g"), "v": F.sin("g")})
     part = F.when(F.col("point_id") % 10 == 9, 2).otherwise(F.col("point_id") % 2)
     place, normal = [F.lit(None).cast("double")] * 3, [F.lit(None).cast("double")] * 3
     for k, (at, d, u, r, length) in enumerate(PIPES):
         w = (d[1] * u[2] - d[2] * u[1], d[2] * u[0] - d[0] * u[2], d[0] * u[1] - d[1] * u[0])
-        out = [u[i] * F.cos("g") + w[i] * F.sin("g") for i in range(3)]
+        out = [u[i] * F.col("u") + w[i] * F.col("v") for i in range(3)]
         place = [F.when(part == k, at[i] + F.col("s") * length * d[i] + r * out[i]).otherwise(place[i]) for i in range(3)]
         normal = [F.when(part == k, out[i]).otherwise(normal[i]) for i in range(3)]
     loose = [500 + 60 * F.col("s"), F.pmod(F.col("g"), F.lit(60.0)), 40 + F.pmod(F.col("g") * 7, F.lit(90.0))]
     rows = bent.select("point_id", *[F.coalesce(c, e).alias(n) for c, e, n in zip(place, loose, "xyz", strict=True)], *[F.coalesce(c, F.lit(float(i == 0))).alias(f"n{'xyz'[i]}") for i, c in enumerate(normal)])
-    facts, _ = cylinders.detect_cylinders(rows, limit=0.03, r_min=0.1, r_max=2.0, min_points=60, max_count=2, axis="any", normals=rows.select("point_id", "nx", "ny", "nz"))
+    facts, _ = cylinders.detect_cylinders(rows, limit=0.03, r_min=0.1, r_max=2.0, min_points=60, max_count=2, axis="any", normals=rows)
     vertices, faces = cylinders.cylinder_meshes(facts, sides=100)
     volume = mesh.volume(faces, vertices).select(F.col("mesh_id").alias("cylinder"), F.round("volume", 1).alias("volume"))
     kept = facts.join(volume, "cylinder")

@@ -84,3 +84,31 @@ def test_mesh_is_closed(spark):
     vertices, faces = cylinders.cylinder_meshes(spark.createDataFrame([fact], cylinders.FACTS), 100)
     assert mesh.boundary_edges(faces).count() == 0
     assert abs(mesh.volume(faces, vertices).first().volume - np.pi * 4 * 5) < 0.1
+
+
+def test_cells_score_their_hypotheses_without_a_row_for_each_pair(spark, scene):
+    """As by pairs of points and hypotheses; the join brings lists, so a point stays one row."""
+    points = spark.createDataFrame(scene)
+    hypotheses = cylinders.cylinder_hypotheses(points, 3.0, "any", 0.1, 1.5, 1)
+    h = hypotheses.toPandas()
+    best = cylinders._best_of_cells(points, hypotheses, 0.03, 3.0, 20)
+    want = {}
+    keys = np.floor(scene[list("xyz")].to_numpy() / 3.0).astype(int)
+    for r in h.itertuples():
+        own = scene[(keys == [r.cx, r.cy, r.cz]).all(1)]
+        a, d = np.array([r.ax, r.ay, r.az]), own[list("xyz")].to_numpy() - [r.px, r.py, r.pz]
+        off = np.abs(np.linalg.norm(np.cross(d, a), axis=1) - r.r)
+        n = ((off < max(0.06, cylinders.SHARES[2] * r.r)) & (np.abs(own[["nx", "ny", "nz"]].to_numpy() @ a) < 0.4)).sum()
+        want[r.cx, r.cy, r.cz] = max(n, want.get((r.cx, r.cy, r.cz), 0))
+    assert {(b.cx, b.cy, b.cz): b.n for b in best} == {k: n for k, n in want.items() if n >= 20}
+    sizes = next(cylinders._first_of_slots(iter([pd.DataFrame({"cx": [1, 1, 1, 2], "cy": 0, "cz": 0, "slot": [3, 3, 4, 3], "hash": [9, 7, 8, 1], "point_id": [1, 2, 3, 4]})])))
+    assert sorted(sizes.point_id) == [2, 3, 4]
+
+
+def test_points_that_hold_their_normals(spark, scene):
+    df = spark.createDataFrame(scene.drop(columns="kind"))
+    settings = dict(limit=0.03, r_min=0.1, r_max=1.5, min_points=200, axis="any")
+    joined, _ = cylinders.detect_cylinders(df, normals=df.select("point_id", "nx", "ny", "nz"), **settings)
+    own, members = cylinders.detect_cylinders(df, normals=df, **settings)
+    pd.testing.assert_frame_equal(joined.toPandas().round(6), own.toPandas().round(6))
+    assert members.columns == ["point_id", "cylinder"] and members.count() == sum(r.points for r in own.collect())
