@@ -7,7 +7,7 @@ corners of one footprint, after simplification a few dozen, are one small group,
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -142,21 +142,19 @@ def footprints(points: DataFrame, cell: float, close: bool = True) -> DataFrame:
 ROOFS = {"median": lambda z: F.percentile(z, F.lit(0.5)), "p90": lambda z: F.percentile(z, F.lit(0.9)), "max": F.max}
 
 
-def _bodies(cell: float, tolerance: float):
-    def bodies(rows: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for _, ring in rows.sort_values("seq").groupby(["hole", "ring"], sort=True):
-            parts.append(simplified(list(zip(ring["x"], ring["y"], strict=True)), tolerance))
-        if _twice_area(parts[0]) < 0:
-            parts[0] = parts[0][::-1]
-        for k in range(1, len(parts)):
-            if _twice_area(parts[k]) > 0:
-                parts[k] = parts[k][::-1]
-        head = rows.iloc[0]
-        vertices, faces = prism(parts, float(head["ground"]), float(head["roof"]))
-        points = [{"x": p[0], "y": p[1], "z": p[2]} for p in vertices]
-        area = sum(_twice_area(p) for p in parts) / 2
-        return pd.DataFrame({"region": [head["region"]], "area": [area], "vertices": [points], "faces": [[{"a": a, "b": b, "c": c} for a, b, c in faces]]})
+def _bodies(tolerance: float):
+    """Rows of regions (region, ground, roof, xs, ys: the rings' corners, outer ring first) to their bodies, thousands at a time."""
+
+    def bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for region, ground, roof, xs, ys in batch[["region", "ground", "roof", "xs", "ys"]].itertuples(index=False, name=None):
+                parts = [simplified(list(zip(x.tolist(), y.tolist(), strict=True)), tolerance) for x, y in zip(xs, ys, strict=True)]
+                parts = [p[::-1] if (_twice_area(p) < 0 if k == 0 else _twice_area(p) > 0) else p for k, p in enumerate(parts)]
+                vertices, faces = prism(parts, ground, roof)
+                points = [{"x": x, "y": y, "z": z} for x, y, z in vertices]
+                out.append((region, sum(map(_twice_area, parts)) / 2, points, [{"a": a, "b": b, "c": c} for a, b, c in faces]))
+            yield pd.DataFrame(out, columns=["region", "area", "vertices", "faces"])
 
     return bodies
 
@@ -185,7 +183,12 @@ def building_models(points: DataFrame, cell: float = 0.5, min_area: float = 20.0
     _, corners = rings(cells.join(heights.select("region"), "region", "left_semi"), cell)
     rows = corners.join(heights.select("region", "ground", "roof"), "region").withColumn("hole", ~F.col("outer"))
     body = "region long, area double, vertices array<struct<x: double, y: double, z: double>>, faces array<struct<a: long, b: long, c: long>>"
-    bodies = saved(rows.groupBy("region").applyInPandas(_bodies(cell, tolerance), body))
+    # corners are few bytes but much work, so their partitions, whose number is given, aren't coalesced
+    rows = rows.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "region")
+    ring = rows.groupBy("region", "ground", "roof", "hole", "ring").agg(F.sort_array(F.collect_list(F.struct("seq", "x", "y"))).alias("p"))
+    parts = ring.groupBy("region", "ground", "roof").agg(F.sort_array(F.collect_list(F.struct("hole", "ring", "p"))).alias("r"))
+    sides = [F.transform("r", lambda r: r["p"]["x"]).alias("xs"), F.transform("r", lambda r: r["p"]["y"]).alias("ys")]
+    bodies = saved(parts.select("region", F.col("ground").cast("double").alias("ground"), F.col("roof").cast("double").alias("roof"), *sides).mapInPandas(_bodies(tolerance), body))
     vertices = bodies.select(F.col("region").alias("mesh_id"), F.posexplode("vertices").alias("vid", "p")).select("mesh_id", F.col("vid").cast("long").alias("vid"), "p.*")
     faces = bodies.select(F.col("region").alias("mesh_id"), F.posexplode("faces").alias("fid", "t")).select("mesh_id", F.col("fid").cast("long").alias("fid"), "t.*")
     height = F.col("roof") - F.col("ground")

@@ -76,3 +76,21 @@ def test_no_ground_no_buildings_and_missing_heights(spark):
     assert facts.count() == 0 and v.count() == 0 and f.count() == 0
     facts, _, _ = buildings.building_models(p.withColumn("z", F.lit(None).cast("double")), 1.0)
     assert facts.count() == 0
+
+
+def test_bodies_are_made_by_the_batch_in_all_tasks(spark, monkeypatch):
+    """No group in Python for each region, and partitions that few bytes don't coalesce; bodies are those of their footprints."""
+    seen = []
+    saved = buildings.saved
+    monkeypatch.setattr(buildings, "saved", lambda df: (seen.append(df), saved(df))[1])
+    i = np.arange(6400)
+    x, y = (i % 80) * 1.0 + 0.5, (i // 80) * 1.0 + 0.5
+    block = (x % 8 < 5) & (y % 8 < 5) & ~((x % 8 > 2) & (x % 8 < 3) & (y % 8 > 2) & (y % 8 < 3) & (x > 40))  # half of them have a court
+    points = spark.createDataFrame(pd.DataFrame({"point_id": i, "x": x, "y": y, "z": np.where(block, 7.0, 1.0), "classification": np.where(block, 6, 2)}))
+    facts, vertices, faces = buildings.building_models(points, 1.0, 4.0, 0.0, close=False, min_points=1)
+    volume = {r.mesh_id: r.volume for r in mesh.volume(faces, vertices).collect()}
+    rows = facts.collect()
+    assert sorted(r.footprint for r in rows) == [24.0] * 50 + [25.0] * 50 and all(volume[r.region] == pytest.approx(6 * r.footprint) for r in rows)
+    plan = seen[-1]._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan
+    assert seen[-1].rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
